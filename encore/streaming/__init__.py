@@ -1,0 +1,4 @@
+"""No operator of the inventory is a stream operator; every job here is a batch job.
+
+The gap sessions and calendar windows live in ``encore.operators.sessions``.
+"""
