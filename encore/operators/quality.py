@@ -169,10 +169,11 @@ def readiness_gate(
 
 def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Nulls to the exact column median, found from per-value counts."""
-    for c in cols:
-        median = exact_quantiles(df.select(c), c, [0.5]).select("q_0").scalar()
-        df = df.withColumn(c, F.coalesce(F.col(c).cast("double"), median))
-    return df
+    long = unpivot(df.select(*cols), cols)
+    medians = exact_quantiles(long, "x", [0.5], ["feature"]).groupBy().pivot("feature", list(cols)).agg(F.first("q_0"))
+    row = medians.select(F.struct(*[F.col(c) for c in cols])).scalar()
+    out = df.withColumn("__m", row)
+    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col("__m")[c]) for c in cols}).drop("__m")
 
 
 def impute_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:

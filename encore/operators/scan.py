@@ -32,16 +32,20 @@ def number_cell(col: str | Column, width: int) -> Column:
     return F.floor(col / F.lit(width))
 
 
-def depth_cell(df: DataFrame, col: str, cells: int = 64) -> Column:
-    """Equi-depth cell of a numeric column, from a mergeable quantile sketch.
+def with_depth_cell(df: DataFrame, col: str, keys: Sequence[str] = (), cells: int = 64) -> DataFrame:
+    """Adds the equi-depth cell of a numeric column, from a mergeable quantile sketch.
 
-    The split points are one array of ``cells - 1`` numbers, read as a scalar
-    subquery, so each cell holds about ``1 / cells`` of the distinct values
-    whatever their distribution.
+    The split points are one array of ``cells - 1`` numbers per key, so each
+    cell holds about ``1 / cells`` of a key's rows whatever their distribution.
     """
     probs = [i / cells for i in range(1, cells)]
-    splits = df.select(F.percentile_approx(F.col(col).cast("double"), probs, 10000)).scalar()
-    return F.size(F.filter(F.coalesce(splits, F.array().cast("array<double>")), lambda s: s <= F.col(col)))
+    sketch = F.percentile_approx(F.col(col).cast("double"), probs, 10000).alias("__splits")
+    at = F.size(F.filter(F.coalesce("__splits", F.array().cast("array<double>")), lambda s: s <= F.col(col)))
+    if keys:
+        out = df.join(df.groupBy(*keys).agg(sketch), list(keys))
+    else:
+        out = df.withColumn("__splits", df.select(sketch).scalar())
+    return out.withColumn(CELL, at).drop("__splits")
 
 
 def segment_rows(
@@ -223,7 +227,7 @@ def value_counts_below(df: DataFrame, value: str, keys: Sequence[str] = (), cell
     """
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn(CELL, depth_cell(counts, value, cells))
+    counts = with_depth_cell(counts, value, keys, cells)
     wk = Window.partitionBy(*keys).orderBy(CELL)
     per_cell = (
         counts.groupBy(*keys, CELL)

@@ -81,7 +81,7 @@ class Tables:
         """One row per date of the multi-year log."""
         return self.history.groupBy(F.to_date("ts").alias("date")).agg(
             F.count(F.lit(1)).alias("n_plays"),
-            F.avg("value").alias("avg_value"),
+            (F.avg("value") / 100000).alias("avg_value"),
             F.avg((F.col("label") == "1-URGENT").cast("double")).alias("urgent_share"),
             F.avg((F.col("status") == "O").cast("double")).alias("open_share"),
         )
@@ -109,7 +109,7 @@ CTES = {
         l_quantity AS quantity, o_orderdate AS ts, o_custkey AS user_id, o_orderpriority AS label,
         o_orderstatus AS status, o_totalprice AS value
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
-    "daily": """SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n_plays, avg(o_totalprice) AS avg_value,
+    "daily": """SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n_plays, avg(o_totalprice) / 100000 AS avg_value,
         avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.0 END) AS urgent_share,
         avg(CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END) AS open_share FROM orders GROUP BY 1""",
     "signals": """SELECT date, 'n_plays' AS signal, CAST(n_plays AS DOUBLE) AS x FROM daily

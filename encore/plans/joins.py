@@ -47,7 +47,7 @@ def _(t):
 @query(
     "e3_attach_group_stats",
     sql(
-        """SELECT event_id, n_tracks, n_plays, round(mean_value, 6) AS mean_value FROM plays JOIN (SELECT user_id,
+        """SELECT event_id, n_tracks, n_plays, round(mean_value + 1e-9, 6) AS mean_value FROM plays JOIN (SELECT user_id,
         count(DISTINCT track_id) AS n_tracks, count(*) AS n_plays, avg(value) AS mean_value FROM plays GROUP BY 1) USING (user_id)""",
         "plays",
     ),
@@ -56,7 +56,7 @@ def _(t):
     aggs = [
         F.countDistinct("track_id").alias("n_tracks"),
         F.count(F.lit(1)).alias("n_plays"),
-        F.round(F.avg("value"), 6).alias("mean_value"),
+        F.round(F.avg("value") + 1e-9, 6).alias("mean_value"),
     ]
     return J.attach_group_stats(t.plays, ["user_id"], aggs).select("event_id", "n_tracks", "n_plays", "mean_value")
 
@@ -294,7 +294,7 @@ def _(t):
 @query(
     "e16_new_top_k_vs_previous_year",
     sql(
-        """SELECT year, item_id, rn AS rank FROM ranked a WHERE rn <= 5 AND NOT EXISTS (SELECT 1 FROM ranked b
+        """SELECT year, item_id, rn AS rank FROM ranked a WHERE rn <= 5 AND year > (SELECT min(year) FROM ranked) AND NOT EXISTS (SELECT 1 FROM ranked b
         WHERE b.item_id = a.item_id AND b.year = a.year - 1 AND b.rn <= 10)""",
         "baskets",
         ranked="""SELECT year(ts) AS year, item_id, row_number() OVER (PARTITION BY year(ts) ORDER BY count(*) DESC, item_id) AS rn
@@ -304,8 +304,9 @@ def _(t):
 def _(t):
     counts = t.baskets.groupBy(F.year("ts").alias("year"), "item_id").agg(F.count(F.lit(1)).alias("n"))
     top10 = K.top_k_per_group(counts, ["year"], [F.desc("n"), F.col("item_id")], 10)
+    first = top10.select(F.min("year")).scalar()
     previous = top10.select((F.col("year") + 1).alias("year"), "item_id")
-    return top10.filter("rank <= 5").join(previous, ["year", "item_id"], "left_anti").select("year", "item_id", "rank")
+    return top10.filter((F.col("rank") <= 5) & (F.col("year") > first)).join(previous, ["year", "item_id"], "left_anti").select("year", "item_id", "rank")
 
 
 TOP_ARTISTS = [{"name": "ring", "plays": 90}, {"name": "RED", "plays": 150}, {"name": "widget", "plays": 20}]
