@@ -51,6 +51,11 @@ class Tables:
             ((F.col("p_size") * 7 % 50) / 50).alias("danceability"),
             ((F.col("p_partkey") % 11) / 10).alias("acousticness"),
             (F.col("p_size") * 3 + 60).cast("double").alias("tempo"),
+            F.when(F.col("p_type").isin("ECONOMY", "SMALL"), "vietnamese")
+            .when(F.col("p_type").isin("STANDARD", "MEDIUM"), "western")
+            .when(F.col("p_type") == "LARGE", "bridge")
+            .otherwise("other")
+            .alias("culture"),
         )
 
     @cached_property
@@ -102,7 +107,9 @@ CTES = {
     "tracks": """SELECT CAST(p_partkey AS INTEGER) AS track_id, p_name AS track_name, p_brand AS artist_name,
         p_type AS genres, p_size / 50.0 AS energy, (p_retailprice - 900) / 100 AS valence,
         (p_size * 7 % 50) / 50.0 AS danceability, (p_partkey % 11) / 10.0 AS acousticness,
-        CAST(p_size * 3 + 60 AS DOUBLE) AS tempo FROM part""",
+        CAST(p_size * 3 + 60 AS DOUBLE) AS tempo, CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN 'vietnamese'
+        WHEN p_type IN ('STANDARD', 'MEDIUM') THEN 'western' WHEN p_type = 'LARGE' THEN 'bridge' ELSE 'other' END AS culture
+        FROM part""",
     "history": """SELECT o_orderkey AS event_id, o_orderdate AS ts, o_custkey AS user_id, o_orderpriority AS label,
         o_orderstatus AS status, o_totalprice AS value FROM orders""",
     "baskets": """SELECT l_orderkey AS event_id, l_partkey AS item_id, l_suppkey AS artist_id,
