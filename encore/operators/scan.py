@@ -220,13 +220,16 @@ def drop_ghosts(df: DataFrame) -> DataFrame:
     return df.filter(~F.col("__ghost")).drop("__ghost", CELL)
 
 
-def value_counts_below(df: DataFrame, value: str, keys: Sequence[str] = (), cells: int = 64) -> DataFrame:
-    """Distinct values with ``n`` (count), ``below`` (rows with a smaller value) and ``total``.
+def value_counts_below(
+    df: DataFrame, value: str, keys: Sequence[str] = (), cells: int = 64, weight: str | None = None
+) -> DataFrame:
+    """Distinct values with ``n`` (rows, or summed weight), ``below`` (rows with a smaller value) and ``total``.
 
     This is what ranks with ties and exact quantiles need, without a global sort.
     """
     keys = list(keys)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("n"))
     counts = with_depth_cell(counts, value, keys, cells)
     wk = Window.partitionBy(*keys).orderBy(CELL)
     per_cell = (
@@ -244,14 +247,16 @@ def value_counts_below(df: DataFrame, value: str, keys: Sequence[str] = (), cell
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
     """Linear-interpolated quantiles, one column ``q_<i>`` per probability.
 
     ``percentile`` keeps every distinct value of a group in one task; this keeps
     per-cell counts and picks the two neighbouring order statistics.
     """
     keys = list(keys)
-    ranked = value_counts_below(df, value, keys)
+    ranked = value_counts_below(df, value, keys, weight=weight)
     aggs = []
     for i, p in enumerate(probs):
         at = F.lit(float(p)) * (F.col("total") - 1)
