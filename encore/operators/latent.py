@@ -142,7 +142,7 @@ def svd_factors(matrix: DataFrame, user: str, item: str, rating: str, k: int = 2
     """
     k = min(k, 64)
     cols = [f"f{i}" for i in range(k)]
-    data = matrix.select(user, item, F.col(rating).cast("double").alias("__x"))
+    data = checkpointed(matrix.select(user, item, F.col(rating).cast("double").alias("__x")))
     noise = [(F.pmod(F.xxhash64(item, F.lit(seed + i)), F.lit(20011)) / 10005.5 - 1).alias(c) for i, c in enumerate(cols)]
     v = data.select(item).distinct().select(item, *noise)
 
@@ -179,7 +179,7 @@ def nmf_factors(matrix: DataFrame, user: str, item: str, rating: str, k: int = 1
 
 def factor_sweep(matrix: DataFrame, user: str, item: str, rating: str, counts: Sequence[int] = (3, 5, 7, 10, 15), iterations: int = 5) -> DataFrame:
     """Explained share and reconstruction error for each factor count: the whole curve, for an elbow or a threshold."""
-    out = None
+    matrix, out = checkpointed(matrix.select(user, item, rating)), None
     for k in counts:
         spectrum = svd_factors(matrix, user, item, rating, k, iterations)[2]
         error = nmf_factors(matrix, user, item, rating, k, iterations=iterations)[2]

@@ -19,6 +19,7 @@ from encore.functions.tails import chi2_upper_col
 from encore.operators.ranking import top_k
 from encore.operators.sessions import lag_features, sessionize
 from encore.operators.stats import mann_whitney
+from encore.session import checkpointed
 
 
 def _hash_share(*key: str, seed: int = 42) -> Column:
@@ -71,6 +72,7 @@ def volume_regressor(daily: DataFrame, features: Sequence[str] = VOLUME_FEATURES
 
 def expanding_cv(daily: DataFrame, date: str, fit, label: str = "plays", folds: int = 5) -> DataFrame:
     """MAE per fold: train on all earlier dates, test on the next block. One fit per fold."""
+    daily = checkpointed(daily)
     cuts = daily.select(F.percentile(F.unix_date(date), [i / (folds + 1) for i in range(1, folds + 2)]).alias("c")).first()["c"]
     out = None
     for i in range(folds):
@@ -170,7 +172,7 @@ SESSION_FEATURES = ["hour", "day", "is_weekend", "position", "session_length", "
 
 def session_artist_classifier(rows: DataFrame, artist: str, row_id: str, trees: int = 100, seed: int = 42, features: Sequence[str] = SESSION_FEATURES):
     """Random forest for the next artist; 80/20 hash split; (model, accuracy row)."""
-    tagged = rows.withColumn("__a", F.col(artist).cast("string")).withColumn("__u", _hash_share(row_id, seed=seed))
+    tagged = checkpointed(rows.withColumn("__a", F.col(artist).cast("string")).withColumn("__u", _hash_share(row_id, seed=seed)))
     stages = [
         StringIndexer(inputCol="__a", outputCol="label", handleInvalid="keep"),
         VectorAssembler(inputCols=list(features), outputCol="features"),
@@ -209,6 +211,7 @@ MOOD_FEATURES = ["hour", "day_of_week", "is_weekend", "session_length", "span_ho
 
 def mood_classifier(sessions: DataFrame, trees: int = 100, clusters: int = 5, seed: int = 42, features: Sequence[str] = MOOD_FEATURES):
     """One-vs-rest boosted trees for the mood and k-means over the same features; (model, clusters model)."""
+    sessions = checkpointed(sessions)
     prep = Pipeline(stages=[
         StringIndexer(inputCol="mood", outputCol="label"),
         VectorAssembler(inputCols=list(features), outputCol="raw"),
@@ -230,7 +233,8 @@ def bridge_classifier(rows: DataFrame, features: Sequence[str], label: str, row_
     """
     from encore.operators.ranking import balanced_negatives
 
-    data = balanced_negatives(rows, label, [row_id], ratio, seed).withColumn("label", F.col(label).cast("double"))
+    data = balanced_negatives(checkpointed(rows), label, [row_id], ratio, seed)
+    data = checkpointed(data.withColumn("label", F.col(label).cast("double")))
     split = data.withColumn("__u", _hash_share(row_id, label, seed=seed))
     selector = UnivariateFeatureSelector(featuresCol="scaled", outputCol="features", labelCol="label", selectionMode="numTopFeatures")
     selector.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(min(top, len(features)))

@@ -28,6 +28,7 @@ from encore.functions.tails import (
 )
 from encore.operators.scan import exact_quantiles, value_counts_below
 from encore.operators.timeseries import anova, spaced_change_points
+from encore.session import checkpointed
 
 ALPHA = 0.05
 
@@ -342,7 +343,8 @@ def cluster_stability(df: DataFrame, vector: str, row_id: str, k: int, replicate
     """Adjusted Rand index between the clustering of all rows and of each Poisson resample."""
     from pyspark.ml.clustering import KMeans
 
-    base = KMeans(k=k, seed=seed, featuresCol=vector, predictionCol="base").fit(df).transform(df).select(row_id, vector, "base")
+    df = checkpointed(df.select(row_id, vector))
+    base = KMeans(k=k, seed=seed, featuresCol=vector, predictionCol="base").fit(df).transform(df)
     parts = None
     for rep in range(1, replicates + 1):
         drawn = base.withColumn("w", poisson_weight(row_id, F.lit(rep), F.lit(seed)).cast("double")).filter("w > 0")

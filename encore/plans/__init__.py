@@ -2,6 +2,6 @@
 
 from encore.plans.base import ORACLES, QUERIES, Tables
 
-from encore.plans import scalar, quality, joins, activity, sessions, timeseries, recommend, evaluate, stats, models  # noqa: F401, E402 isort: skip
+from encore.plans import sources, scalar, quality, joins, activity, sessions, timeseries, recommend, evaluate, stats, models  # noqa: F401, E402 isort: skip
 
 __all__ = ["ORACLES", "QUERIES", "Tables"]

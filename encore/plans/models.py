@@ -190,18 +190,18 @@ def _(t):
 
 
 SIMILAR = [
-    {"id": "p1", "profile": {"v": 0.9, "w": 0.1}, "strength": 0.2},
-    {"id": "p2", "profile": {"v": 0.2, "w": 0.8}, "strength": 0.4},
-    {"id": "p3", "profile": {"v": 0.5, "w": 0.5}, "strength": 0.1},
+    {"id": "p1", "profile": {"v": 0.93, "w": 0.11}, "strength": 0.2},
+    {"id": "p2", "profile": {"v": 0.17, "w": 0.79}, "strength": 0.4},
+    {"id": "p3", "profile": {"v": 0.47, "w": 0.53}, "strength": 0.1},
 ]
 
 
 @query(
     "l12_assign_personality_similarity",
     sql(
-        """SELECT user_id, CASE WHEN s1 >= s2 AND s1 >= s3 THEN 'p1' WHEN s2 >= s3 THEN 'p2' ELSE 'p3' END AS personality, round(greatest(s1, s2, s3), 6) AS similarity FROM (
-        SELECT user_id, 0.9 * v + 0.1 * w + CASE WHEN c > 0.3 THEN 0.1 ELSE 0 END AS s1, 0.2 * v + 0.8 * w + CASE WHEN c > 0.3 THEN 0.2 ELSE 0 END AS s2,
-        0.5 * v + 0.5 * w + CASE WHEN c > 0.3 THEN 0.05 ELSE 0 END AS s3 FROM u JOIN (SELECT user_id, max(n) / sum(n) AS c FROM (SELECT user_id, label, count(*) AS n
+        """SELECT user_id, CASE WHEN s1 >= s2 AND s1 >= s3 THEN 'p1' WHEN s2 >= s3 THEN 'p2' ELSE 'p3' END AS personality, round(greatest(s1, s2, s3) + 1e-9, 6) AS similarity FROM (
+        SELECT user_id, 0.93 * v + 0.11 * w + CASE WHEN c > 0.3 THEN 0.1 ELSE 0 END AS s1, 0.17 * v + 0.79 * w + CASE WHEN c > 0.3 THEN 0.2 ELSE 0 END AS s2,
+        0.47 * v + 0.53 * w + CASE WHEN c > 0.3 THEN 0.05 ELSE 0 END AS s3 FROM u JOIN (SELECT user_id, max(n) / sum(n) AS c FROM (SELECT user_id, label, count(*) AS n
         FROM plays GROUP BY 1, 2) GROUP BY 1) USING (user_id))""",
         "plays",
         "tracks",
@@ -211,7 +211,7 @@ SIMILAR = [
 def _(t):
     by = t.plays.groupBy("user_id", "label").agg(F.count("*").alias("n")).groupBy("user_id").agg((F.max("n") / F.sum("n")).alias("c"))
     out = L.assign_by_similarity(user_means(t).join(by, "user_id"), SIMILAR, ["v", "w"], "c")
-    return rounded(out.select("user_id", "personality", "similarity"), "similarity")
+    return out.select("user_id", "personality", F.round(F.col("similarity") + 1e-9, 6).alias("similarity"))
 
 
 def daily_table(t):
