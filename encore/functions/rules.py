@@ -11,17 +11,20 @@ from encore.functions import vocab
 from encore.functions.columns import _c
 
 CJK = "[一-鿿]"
-# Word edges that also hold next to letters with diacritics.
-EDGE_L, EDGE_R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+# A character that is no part of a word, also next to letters with diacritics.
+NO_WORD = r"[^\p{L}\p{N}_]"
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: text.contains(w))
+    out = text.contains(words[0])
+    for w in words[1:]:
+        out = out | text.contains(w)
+    return out
 
 
 def count_contained(text: Column, words: Sequence[str]) -> Column:
     """Number of listed words that occur in the text as substrings."""
-    return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: text.contains(w)))
+    return sum((text.contains(w).cast("int") for w in words), F.lit(0))
 
 
 def classify_by_name(
@@ -40,13 +43,21 @@ def classify_by_name(
 
 
 def pattern_hit_score(text: str | Column) -> Column:
-    """Share of nine pattern groups found: seven letter groups, two name lists."""
+    """Share of nine pattern groups found: seven letter groups, two name lists.
+
+    The text is reduced to its non-ASCII letters once; the letter groups look at
+    that rest only. The rare full names are searched as plain substrings before
+    their word edges are checked.
+    """
     low = F.lower(_c(text))
+    rest = F.regexp_replace(low, r"[\x00-\x7F]+", "")
     groups = [vocab.VI_A, vocab.VI_E, vocab.VI_I, vocab.VI_O, vocab.VI_U, vocab.VI_Y, vocab.VI_D]
-    patterns = [f"[{g}]" for g in groups]
-    patterns += [EDGE_L + "(" + "|".join(names) + ")" + EDGE_R for names in (vocab.VI_FAMILY_NAMES, vocab.VI_KNOWN_NAMES)]
-    total = sum((low.rlike(p).cast("int") for p in patterns), F.lit(0))
-    return F.coalesce(total, F.lit(0)) / len(patterns)
+    hits = [rest.rlike(f"[{g}]") for g in groups]
+    for names, gated in ((vocab.VI_FAMILY_NAMES, False), (vocab.VI_KNOWN_NAMES, True)):
+        hit = low.rlike(f"(?:^|{NO_WORD})(?:{'|'.join(names)})(?:{NO_WORD}|$)")
+        hits.append(contains_any(low, names) & hit if gated else hit)
+    total = sum((h.cast("int") for h in hits), F.lit(0))
+    return F.coalesce(total, F.lit(0)) / len(hits)
 
 
 def genre_share(genres: str | Column, vocabulary: Sequence[str]) -> Column:

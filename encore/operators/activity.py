@@ -90,7 +90,7 @@ def class_statistics(df: DataFrame, flags: dict[str, Column], confidence: str) -
     for name, cond in flags.items():
         cond = F.coalesce(cond, F.lit(False))
         any_flag = any_flag | cond
-        aggs += [F.count_if(cond).alias(f"n_{name}"), (F.count_if(cond) * 100.0 / n).alias(f"pct_{name}")]
+        aggs += [F.count_if(cond).alias(f"n_{name}"), F.try_divide(F.count_if(cond) * 100.0, n).alias(f"pct_{name}")]
     return df.agg(
         *aggs,
         F.count_if(~any_flag).alias("n_uncategorised"),
@@ -260,7 +260,7 @@ def user_personality_features(df: DataFrame, user: str, ts: str, artist: str, la
         F.count("*").alias("plays"),
         F.countDistinct(artist).alias("unique_artists"),
         F.var_samp(F.hour(ts)).alias("hour_variance"),
-        (F.count("*") / F.countDistinct(F.to_date(ts))).alias("listening_consistency"),
+        F.try_divide(F.count("*"), F.countDistinct(F.to_date(ts))).alias("listening_consistency"),
         (F.countDistinct(label) / 4).alias("cultural_diversity"),
     ).filter(F.col("plays") >= min_rows)
     return base.join(top, user).withColumn("artist_concentration", F.col("__top") / F.col("plays")).drop("__top")

@@ -118,13 +118,14 @@ def ndcg(recs: DataFrame, test: DataFrame, keys: Sequence[str], item: str, k: in
     hits = _hits(recs, test, keys, item, k)
     gain = F.col("hit") / F.log2(F.col("rank") + 1)
     by = hits.groupBy(*keys).agg(F.sum(gain).alias("dcg"), F.sum("hit").alias("hits"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.col("hits")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
-    return by.withColumn("ndcg", F.when(F.col("hits") > 0, F.col("dcg") / ideal).otherwise(F.lit(0.0))).select(*keys, "hits", "ndcg")
+    places = F.when(F.col("hits") > 0, F.sequence(F.lit(1), F.col("hits"))).otherwise(F.array().cast("array<bigint>"))
+    ideal = F.aggregate(places, F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    return by.withColumn("ndcg", F.coalesce(F.try_divide(F.col("dcg"), ideal), F.lit(0.0))).select(*keys, "hits", "ndcg")
 
 
 def coverage(recs: DataFrame, catalog: DataFrame, item: str) -> DataFrame:
     total = catalog.select(F.countDistinct(item)).scalar()
-    return recs.agg(F.countDistinct(item).alias("n_recommended")).withColumn("coverage", F.col("n_recommended") / total)
+    return recs.agg(F.countDistinct(item).alias("n_recommended")).withColumn("coverage", F.try_divide(F.col("n_recommended"), total))
 
 
 def intra_list_diversity(recs: DataFrame, features: DataFrame, keys: Sequence[str], item: str, cols: Sequence[str], k: int) -> DataFrame:
@@ -150,7 +151,7 @@ def normalised_entropy(df: DataFrame, keys: Sequence[str], label: str) -> DataFr
     p = F.col("n") / F.col("t")
     rows = counts.join(totals, list(keys)) if keys else counts.withColumn("__s", totals.select(F.struct("t", "c")).scalar()).select("*", "__s.*")
     out = rows.groupBy(*keys, "c").agg((-F.sum(p * F.log2(p + 1e-10))).alias("h"))
-    return out.select(*keys, F.when(F.col("c") > 1, F.col("h") / F.log2("c")).otherwise(F.lit(0.0)).alias("cultural_diversity"))
+    return out.select(*keys, F.when(F.col("c") > 1, F.try_divide(F.col("h"), F.log2("c"))).otherwise(F.lit(0.0)).alias("cultural_diversity"))
 
 
 def serendipity(recs: DataFrame, history: DataFrame, test: DataFrame, keys: Sequence[str], item: str, artist: str) -> DataFrame:

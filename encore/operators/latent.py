@@ -104,7 +104,8 @@ def interaction_matrix(
     """(user, item, user_idx, item_idx, rating): support filter, summed ratings, contiguous indices in key order."""
     kept = min_support(df, user, item, min_user, min_item)
     cells = kept.groupBy(user, item).agg((F.sum(value) if value else F.count("*")).alias("__v"))
-    rated = cells.withColumn("rating", C.implicit_rating("__v")).drop("__v")
+    # read three times below, so it is written once
+    rated = checkpointed(cells.withColumn("rating", C.implicit_rating("__v")).drop("__v"))
     for key, idx in ((user, "user_idx"), (item, "item_idx")):
         ids = numbered(rated.select(key).distinct(), [], [key], number_cell(key, width))
         rated = rated.join(ids.select(key, (F.col("row_no") - 1).alias(idx)), key)
@@ -113,7 +114,7 @@ def interaction_matrix(
 
 def sparsity(matrix: DataFrame) -> DataFrame:
     row = matrix.agg((F.max("user_idx") + 1).alias("n_users"), (F.max("item_idx") + 1).alias("n_items"), F.count("*").alias("n_cells"))
-    return row.withColumn("sparsity", 1 - F.col("n_cells") / (F.col("n_users") * F.col("n_items")))
+    return row.withColumn("sparsity", 1 - F.try_divide(F.col("n_cells"), F.col("n_users") * F.col("n_items")))
 
 
 def _combine(df: DataFrame, keep: Sequence[str], old: Sequence[str], new: Sequence[str], coef: np.ndarray) -> DataFrame:
@@ -199,7 +200,7 @@ def interpret_factors(loadings: DataFrame, items: DataFrame, item: str, features
     out = loadings.join(long, item).groupBy("factor", "feature").agg(
         F.corr("loading", "x").alias("r"), F.count("*").alias("n"), F.stddev_pop("loading").alias("factor_strength")
     )
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
+    t = F.col("r") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-15)))
     out = out.withColumn("p_value", t_two_sided_col(t, F.col("n") - 2))
     return out.withColumn("kept", (F.abs("r") > min_r) & (F.col("p_value") < alpha))
 

@@ -285,7 +285,7 @@ def regression_metrics(df: DataFrame, label: str, prediction: str, keys: Sequenc
     n = F.count(y)
     out = df.groupBy(*keys).agg(
         n.alias("n"), F.avg(F.abs(y - p)).alias("mae"), F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"),
-        (1 - F.sum((y - p) * (y - p)) / (F.var_pop(y) * n)).alias("r2"),
+        (1 - F.try_divide(F.sum((y - p) * (y - p)), F.var_pop(y) * n)).alias("r2"),
     )
     return out
 
@@ -299,5 +299,5 @@ def class_metrics(df: DataFrame, label: str, prediction: str, score: str) -> Dat
         (hits / F.greatest(F.count_if(p), F.lit(1))).alias("precision"), (hits / F.greatest(F.count_if(y), F.lit(1))).alias("recall"),
     )
     u = mann_whitney(df, score, label, 1, 0)
-    auc = u.select(F.col("statistic") / (F.col("n_a") * (F.col("n") - F.col("n_a")))).scalar()
+    auc = u.select(F.try_divide(F.col("statistic"), F.col("n_a") * (F.col("n") - F.col("n_a")))).scalar()
     return out.withColumn("auc", auc)

@@ -73,7 +73,7 @@ def overlap_report(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
         shared.alias("shared"),
         F.count_if(F.col("r").isNull()).alias("left_only"),
         F.count_if(F.col("l").isNull()).alias("right_only"),
-        (shared * 100.0 / n).alias("overlap_pct"),
+        F.try_divide(shared * 100.0, n).alias("overlap_pct"),
     )
 
 

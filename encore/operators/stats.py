@@ -44,8 +44,8 @@ def paired_t(df: DataFrame, base: str, improved: str, keys: Sequence[str] = (),
     ).filter(F.col("n") >= min_n)
     out = out.withColumns(
         {
-            "statistic": F.col("mean_improvement") / (F.col("sd") / F.sqrt("n")),
-            "effect_size": F.col("mean_improvement") / F.col("sd"),
+            "statistic": F.try_divide(F.col("mean_improvement"), F.col("sd") / F.sqrt("n")),
+            "effect_size": F.try_divide(F.col("mean_improvement"), F.col("sd")),
         }
     ).drop("sd")
     return out.withColumn("magnitude", effect_size_label("effect_size")).withColumn(
@@ -67,7 +67,7 @@ def wilcoxon_signed_rank(df: DataFrame, base: str, improved: str) -> DataFrame:
     )
     n = F.col("n")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("__ties") / 48)
-    out = out.withColumn("z", (F.col("statistic") - n * (n + 1) / 4) / sd).drop("__ties")
+    out = out.withColumn("z", F.try_divide(F.col("statistic") - n * (n + 1) / 4, sd)).drop("__ties")
     out = out.withColumn("effect_size", F.abs("z") / F.sqrt("n"))
     return out.withColumn("p_value", F.when(F.col("z") > 0, 0.5).otherwise(F.lit(1.0)) * normal_two_sided_col(F.col("z")))
 
@@ -91,9 +91,11 @@ def two_sample_t(df: DataFrame, x: str, group: str, a, b, keys: Sequence[str] =
     pooled = ((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)
     diff = F.col("m_a") - F.col("m_b")
     se2 = pooled * (1 / na + 1 / nb) if equal_var else va / na + vb / nb
-    free = na + nb - 2 if equal_var else F.pow(va / na + vb / nb, 2) / (F.pow(va / na, 2) / (na - 1) + F.pow(vb / nb, 2) / (nb - 1))
+    free = na + nb - 2 if equal_var else F.try_divide(
+        F.pow(va / na + vb / nb, 2), F.pow(va / na, 2) / (na - 1) + F.pow(vb / nb, 2) / (nb - 1)
+    )
     out = out.withColumns(
-        {"mean_difference": diff, "statistic": diff / F.sqrt(se2), "free": free.cast("double"), "effect_size": diff / F.sqrt(pooled)}
+        {"mean_difference": diff, "statistic": F.try_divide(diff, F.sqrt(se2)), "free": free.cast("double"), "effect_size": F.try_divide(diff, F.sqrt(pooled))}
     )
     return out.drop("m_a", "m_b", "v_a", "v_b").withColumn("p_value", t_two_sided_col("statistic", "free"))
 
@@ -114,9 +116,9 @@ def mann_whitney(df: DataFrame, x: str, group: str, a, b, keys: Sequence[str] =
     )
     na, n = F.col("n_a"), F.col("n")
     nb = n - na
-    sd = F.sqrt(na * nb / 12 * ((n + 1) - F.col("__ties") / (n * (n - 1))))
+    sd = F.sqrt(na * nb / 12 * ((n + 1) - F.try_divide(F.col("__ties"), n * (n - 1))))
     out = out.withColumn("statistic", F.col("__r") - na * (na + 1) / 2)
-    out = out.withColumn("z", (F.col("statistic") - na * nb / 2) / sd).drop("__r", "__ties")
+    out = out.withColumn("z", F.try_divide(F.col("statistic") - na * nb / 2, sd)).drop("__r", "__ties")
     out = out.withColumn("effect_size", F.abs("z") / F.sqrt("n"))
     return out.withColumn("p_value", normal_two_sided_col(F.col("z")))
 
@@ -248,7 +250,8 @@ def calinski_harabasz(df: DataFrame, vector: str, label: str, keys: Sequence[str
     )
     out = out.withColumn("__t", total).withColumn("__m", F.transform("__t", lambda x: x / F.col("n")))
     between = F.aggregate("r", F.lit(0.0), lambda s, x: s + x["n"] * _dist2(x["c"], F.col("__m")))
-    score = (between / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))
+    within = F.try_divide(F.col("within"), F.col("n") - F.col("k"))
+    score = F.try_divide(F.try_divide(between, F.col("k") - 1), within)
     return out.select(*keys, "n", "k", score.alias("calinski_harabasz"))
 
 
@@ -264,7 +267,7 @@ def davies_bouldin(df: DataFrame, vector: str, label: str, keys: Sequence[str] =
     worst = F.transform(
         "r",
         lambda a: F.array_max(
-            F.transform(F.filter("r", lambda b: b[label] != a[label]), lambda b: (a["s"] + b["s"]) / F.sqrt(_dist2(a["c"], b["c"])))
+            F.transform(F.filter("r", lambda b: b[label] != a[label]), lambda b: F.try_divide(a["s"] + b["s"], F.sqrt(_dist2(a["c"], b["c"]))))
         ),
     )
     return rows.select(*keys, (_sum(worst) / F.size("r")).alias("davies_bouldin"))
@@ -302,7 +305,7 @@ def adjusted_rand_index(df: DataFrame, a: str, b: str, keys: Sequence[str] = ())
         out = both.join(rows, keys).join(cols, keys)
     else:
         out = both.withColumns({"ra": rows.select("ra").scalar(), "rb": cols.select("rb").scalar()})
-    expected = F.col("ra") * F.col("rb") / pairs(F.col("n"))
+    expected = F.coalesce(F.try_divide(F.col("ra") * F.col("rb"), pairs(F.col("n"))), F.lit(0.0))
     best = (F.col("ra") + F.col("rb")) / 2
     value = F.when(best == expected, 1.0).otherwise((F.col("ri") - expected) / (best - expected))
     return out.select(*keys, F.col("n").cast("long").alias("n"), value.alias("ari"))
@@ -371,7 +374,7 @@ def correlation_test(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) ->
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     out = both.groupBy(*keys).agg(F.corr(x, y).alias("r"), F.count("*").alias("n")).filter(F.col("n") > 3)
     z, se = F.atanh("r"), 1.96 / F.sqrt(F.col("n") - 3)
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
+    t = F.col("r") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-15)))
     out = out.withColumns({"ci_low": F.tanh(z - se), "ci_high": F.tanh(z + se)})
     return out.withColumn("p_value", t_two_sided_col(t, F.col("n") - 2))
 
@@ -381,7 +384,10 @@ def one_sample_t(df: DataFrame, x: str, mu: float, keys: Sequence[str] = ()) ->
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.stddev_pop(x).alias("__sp")
     ).filter(F.col("n") > 1)
     out = out.withColumns(
-        {"statistic": (F.col("mean") - mu) / (F.col("sd") / F.sqrt("n")), "effect_size": F.abs(F.col("mean") - mu) / F.col("__sp")}
+        {
+            "statistic": F.try_divide(F.col("mean") - mu, F.col("sd") / F.sqrt("n")),
+            "effect_size": F.try_divide(F.abs(F.col("mean") - mu), F.col("__sp")),
+        }
     ).drop("__sp")
     return out.withColumn("p_value", t_two_sided_col(F.col("statistic"), F.col("n") - 1))
 
@@ -393,7 +399,7 @@ def change_count_test(series: DataFrame, keys: Sequence[str], date: str, x: str)
     out = sizes.join(found, list(keys), "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
     gap = F.col("observed") - F.col("expected")
     out = out.withColumns(
-        {"statistic": gap * gap / F.col("expected"), "effect_size": F.abs(gap) / F.greatest(F.col("expected"), F.lit(1.0))}
+        {"statistic": F.try_divide(gap * gap, F.col("expected")), "effect_size": F.abs(gap) / F.greatest(F.col("expected"), F.lit(1.0))}
     )
     return out.withColumn("p_value", chi2_upper_col(F.col("statistic"), F.lit(1)))
 
@@ -405,8 +411,8 @@ def decay_test(curve: DataFrame, keys: Sequence[str], horizon: str, accuracy: st
         F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("r2"), F.regr_sxx(y, x).alias("__sxx"),
         F.regr_syy(y, x).alias("__syy"), F.count("*").alias("n"),
     )
-    se = F.sqrt((1 - F.col("r2")) * F.col("__syy") / (F.col("n") - 2) / F.col("__sxx"))
-    out = out.withColumn("se", se).withColumn("statistic", F.col("slope") / F.col("se"))
+    se = F.sqrt(F.try_divide((1 - F.col("r2")) * F.col("__syy"), (F.col("n") - 2) * F.col("__sxx")))
+    out = out.withColumn("se", se).withColumn("statistic", F.try_divide(F.col("slope"), F.col("se")))
     out = out.withColumn("p_value", t_two_sided_col(F.col("statistic"), F.col("n") - 2)).drop("__sxx", "__syy")
     return out.withColumns(
         {

@@ -208,7 +208,7 @@ def merge_anchor(points: DataFrame, keys: Sequence[str], date: str, signal: str,
 
 def _slope_p(slope_cols: DataFrame) -> DataFrame:
     n, r2 = F.col("n"), F.col("r_squared")
-    t = F.sqrt(r2 * (n - 2) / (1 - r2))
+    t = F.sqrt(F.try_divide(r2 * (n - 2), F.greatest(1 - r2, F.lit(1e-15))))
     return slope_cols.withColumn("p_value", t_two_sided_col(t, n - 2))
 
 
@@ -288,7 +288,8 @@ def anova(df: DataFrame, keys: Sequence[str], group: str, x: str, min_rows: int
         F.sum(F.col("n") * F.col("v")).alias("within"),
     )
     between = F.col("smm") - F.col("sm") * F.col("sm") / F.col("n_total")
-    f = (between / (F.col("k") - 1)) / (F.col("within") / (F.col("n_total") - F.col("k")))
+    within = F.try_divide(F.col("within"), F.col("n_total") - F.col("k"))
+    f = F.try_divide(F.try_divide(between, F.col("k") - 1), within)
     out = s.filter((F.col("n_total") >= min_rows) & (F.col("k") > 1)).select(*keys, "k", "n_total", f.alias("f_statistic"))
     return out.withColumn("p_value", f_upper_col(F.col("f_statistic"), F.col("k") - 1, F.col("n_total") - F.col("k")))
 
@@ -322,7 +323,8 @@ def seasonal_decompose(series: DataFrame, keys: Sequence[str], date: str, x: str
 
 def component_strength(parts: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     return parts.groupBy(*keys).agg(
-        (F.var_pop("trend") / F.var_pop(x)).alias("trend_strength"), (F.var_pop("seasonal") / F.var_pop(x)).alias("seasonal_strength")
+        F.try_divide(F.var_pop("trend"), F.var_pop(x)).alias("trend_strength"),
+        F.try_divide(F.var_pop("seasonal"), F.var_pop(x)).alias("seasonal_strength"),
     )
 
 
@@ -394,7 +396,7 @@ def stability_periods(
     )
     for c in scores:
         n, r2 = F.col("n"), F.col(f"r2_{c}")
-        stats = stats.withColumn(f"p_{c}", t_two_sided_col(F.sqrt(r2 * (n - 2) / (1 - r2)), n - 2))
+        stats = stats.withColumn(f"p_{c}", t_two_sided_col(F.sqrt(r2 * (n - 2) / F.greatest(1 - r2, F.lit(1e-15))), n - 2))
         steady = F.col(f"std_{c}") / F.greatest(F.col(f"mean_{c}"), F.lit(0.001)) <= max_cv
         drift = (n >= 7) & (F.col(f"p_{c}") < alpha) & (F.abs(f"slope_{c}") > max_slope)
         stats = stats.filter((F.col("kind") != "between") | (F.coalesce(steady, F.lit(True)) & ~F.coalesce(drift, F.lit(False))))
@@ -422,7 +424,7 @@ def month_clustering(points: DataFrame, date: str) -> DataFrame:
     year = Window.partitionBy()  # 12 rows
     expected = F.sum("n").over(year) / 12
     out = out.withColumn("__e", expected)
-    out = out.withColumn("chi_square", F.sum((F.col("n") - F.col("__e")) ** 2 / F.col("__e")).over(year)).drop("__e")
+    out = out.withColumn("chi_square", F.sum(F.try_divide((F.col("n") - F.col("__e")) ** 2, F.col("__e"))).over(year)).drop("__e")
     out = out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "month")))
     return out.withColumn("p_value", chi2_upper_col(F.col("chi_square"), F.lit(11)))
 

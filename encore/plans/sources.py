@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from encore.plans.base import query, sql
+from encore.session import scratch_folder
 from encore.sources import readers as R
 from encore.sources import writers as W
 
@@ -40,7 +41,7 @@ def shown(df):
 
 @query("a1_read_history_json", sql(PARSED, "plays"))
 def _(t):
-    folder = W.scratch_folder(t.spark)
+    folder = scratch_folder(t.spark)
     W.write_json_arrays(exported(t), folder, "part")
     return shown(R.parse_history(R.read_history_json(t.spark, folder, "part-*")))
 
@@ -120,7 +121,7 @@ CSV_SCHEMA = T.StructType(
     p_size / 50.0 AS valence FROM part""",
 )
 def _(t):
-    folder = W.scratch_folder(t.spark)
+    folder = scratch_folder(t.spark)
     rows = t.part.select(
         "p_type", F.col("p_name").alias("Track Name"), F.col("p_brand").alias("Artist Name(s)"),
         F.when(F.col("p_size") > 25, "2024-01-02T03:04:05Z").otherwise("someday").alias("Added At"), (F.col("p_size") / 50).alias("Valence"),
@@ -157,7 +158,7 @@ def monthly(rows, month):
     f"SELECT 'month=2001-08' AS name, CAST(n AS BIGINT) AS n, total FROM ({MONTHLY}) WHERE month = '2001-08'",
 )
 def _(t):
-    folder = W.scratch_folder(t.spark)
+    folder = scratch_folder(t.spark)
     rows = monthly(t.orders, F.date_format("o_orderdate", "yyyy-MM"))
     rows.repartition("month").write.partitionBy("month").json(folder)
     name = F.regexp_extract(F.col("_metadata.file_path"), "/(month=[^/]+)/", 1)
@@ -168,7 +169,7 @@ def _(t):
 
 @query("a9_write_parquet", MONTHLY)
 def _(t):
-    path = W.scratch_folder(t.spark)
+    path = scratch_folder(t.spark)
     W.write_parquet(t.orders, path, "o_orderdate")
     return monthly(t.spark.read.parquet(path), F.col("month").cast("string"))
 
@@ -176,14 +177,14 @@ def _(t):
 @query("a10_write_csv", "SELECT c_custkey, c_name, c_mktsegment, '[\"' || c_mktsegment || '\"]' AS tags FROM customer")
 def _(t):
     rows = t.customer.select("c_custkey", "c_name", "c_mktsegment", F.array("c_mktsegment").alias("tags"))
-    paths = W.write_csv({"customers": rows}, W.scratch_folder(t.spark), "20240101_000000")
+    paths = W.write_csv({"customers": rows}, scratch_folder(t.spark), "20240101_000000")
     schema = "c_custkey bigint, c_name string, c_mktsegment string, tags string"
     return t.spark.read.schema(schema).option("header", True).option("escape", '"').csv(paths["customers"])
 
 
 @query("a11_write_json_report", MONTHLY)
 def _(t):
-    path = W.scratch_folder(t.spark)
+    path = scratch_folder(t.spark)
     W.write_json_report(monthly(t.orders, F.date_format("o_orderdate", "yyyy-MM")), path)
     return t.spark.read.schema("month string, n bigint, total double").json(path)
 
@@ -199,7 +200,7 @@ def _(t):
     from pyspark.ml.regression import LinearRegression
 
     stages = [VectorAssembler(inputCols=["l_quantity"], outputCol="features"), LinearRegression(labelCol="l_extendedprice", solver="normal")]
-    path = W.scratch_folder(t.spark)
+    path = scratch_folder(t.spark)
     W.save_model(Pipeline(stages=stages).fit(t.lineitem), path)
     scored = W.load_model(path).transform(t.lineitem)
     return scored.select("l_orderkey", "l_linenumber", "l_partkey", F.round("prediction", 3).alias("prediction"))

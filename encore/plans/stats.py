@@ -370,13 +370,13 @@ def _(t):
 
 
 RECORDS = """SELECT artist_name AS hypothesis, genres = 'ECONOMY' AS is_primary, abs(avg(energy) - 0.5) > 0.04 AS significant,
-    abs(avg(energy) - 0.5) / stddev_samp(energy) AS effect_size, least(1, count(*) / 20) AS power FROM tracks GROUP BY artist_name, genres"""
+    abs(avg(energy) - 0.5) / nullif(stddev_samp(energy), 0) AS effect_size, least(1, count(*) / 20) AS power FROM tracks GROUP BY artist_name, genres"""
 
 
 def records(t):
     m = F.abs(F.avg("energy") - 0.5)
     return t.tracks.groupBy(F.col("artist_name").alias("hypothesis"), "genres").agg(
-        (m > 0.04).alias("significant"), (m / F.stddev_samp("energy")).alias("effect_size"), F.least(F.lit(1.0), F.count("*") / 20).alias("power")
+        (m > 0.04).alias("significant"), F.try_divide(m, F.stddev_samp("energy")).alias("effect_size"), F.least(F.lit(1.0), F.count("*") / 20).alias("power")
     ).withColumn("is_primary", F.col("genres") == "ECONOMY")
 
 

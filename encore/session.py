@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,7 @@ def build_session(app: str = "encore", cores: str = "8", partitions: int = 8) ->
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", os.environ.get("ENCORE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.autoBroadcastJoinThreshold", "64m")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -25,14 +27,22 @@ def build_session(app: str = "encore", cores: str = "8", partitions: int = 8) ->
     return spark
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one the cluster names in ``spark.checkpoint.dir``.
+
+    Only where none is configured (local tests) is a local one made.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = base or tempfile.mkdtemp(prefix="encore-", dir="/tmp")
+    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder the cluster names in ``spark.checkpoint.dir``.
+    """Cut lineage by a table written to the shared folder.
 
-    Only where no folder is configured (local tests) is one made.
+    A lost executor re-reads the table instead of repeating the plan that made
+    it, and the planner knows its size.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="encore-ckpt-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

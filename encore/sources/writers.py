@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Mapping
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one the cluster names; only without one, a local folder (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = base or tempfile.mkdtemp(prefix="encore-", dir="/tmp")
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-
-
 def write_parquet(df: DataFrame, path: str, ts: str | None = None) -> None:
     """Overwrite; with a time column, partitioned by month so that later time slices prune folders.
 
