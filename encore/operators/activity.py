@@ -12,10 +12,17 @@ from encore.operators.ranking import top_k, top_k_per_group
 
 
 
+def modal_values(df: DataFrame, group: Sequence[str], col: str) -> DataFrame:
+    """Most frequent value per group, the smallest on ties: counts first, then one row per group."""
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*group, col).agg(F.count("*").alias("__n"))
+    best = F.min(F.struct((-F.col("__n")).alias("n"), F.col(col).alias("v")))
+    return counts.groupBy(*group).agg(best.alias("__b")).select(*group, F.col("__b.v").alias(f"modal_{col}"))
+
+
 def session_stats(df: DataFrame, group: Sequence[str], ts: str, track: str, artist: str, ms: str, skipped: Column, modal: Sequence[str]) -> DataFrame:
-    """One row per session. The modal columns are short category lists, so a mode per session stays small."""
+    """One row per session."""
     minutes = (F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 60_000_000
-    return df.withColumn("__skip", skipped.cast("int")).groupBy(*group).agg(
+    out = df.withColumn("__skip", skipped.cast("int")).groupBy(*group).agg(
         F.min(ts).alias("start_ts"),
         F.max(ts).alias("end_ts"),
         F.count("*").alias("plays"),
@@ -25,8 +32,10 @@ def session_stats(df: DataFrame, group: Sequence[str], ts: str, track: str, arti
         F.sum("__skip").alias("skips"),
         minutes.alias("duration_min"),
         F.avg("__skip").alias("skip_rate"),
-        *[F.mode(c, True).alias(f"modal_{c}") for c in modal],
     )
+    for c in modal:
+        out = out.join(modal_values(df, group, c), list(group), "left")
+    return out
 
 
 def session_intensity(df: DataFrame, group: Sequence[str], ts: str, is_class: Column) -> DataFrame:

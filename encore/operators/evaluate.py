@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.operators.joins import mean_pairwise_distance
-from encore.operators.scan import number_cell, numbered, time_cell
+from encore.operators.scan import HotCells, hot_cells, numbered
 
 
 def expanding_splits(
@@ -35,16 +35,16 @@ def expanding_splits(
     return out.withColumn("split_id", F.row_number().over(Window.orderBy("cut"))).select("split_id", "cut", "test_end", "n_train", "n_test")
 
 
-def ratio_split(df: DataFrame, ts: str, row_id: str, ratio: float = 0.8, cell: Column | None = None) -> DataFrame:
+def ratio_split(df: DataFrame, ts: str, row_id: str, ratio: float = 0.8, cell: Column | HotCells | None = None) -> DataFrame:
     """First floor(n * ratio) rows by time are train."""
-    out = numbered(df, [], [ts, row_id], time_cell(ts) if cell is None else cell)
+    out = numbered(df, [], [ts, row_id], hot_cells(ts) if cell is None else cell)
     train = F.col("row_no") <= F.floor(F.col("row_count") * ratio)
     return out.withColumn("split", F.when(train, "train").otherwise("test")).drop("row_no", "row_count")
 
 
 def three_way_time_split(df: DataFrame, ts: str, row_id: str, test: float = 0.2, validation: float = 0.1) -> DataFrame:
     """Train, validation and test by time; validation and test sizes are truncated."""
-    out = numbered(df, [], [ts, row_id], time_cell(ts))
+    out = numbered(df, [], [ts, row_id], hot_cells(ts))
     n = F.col("row_count")
     n_test, n_val = F.floor(n * test), F.floor(n * validation)
     split = F.when(F.col("row_no") <= n - n_test - n_val, "train").when(F.col("row_no") <= n - n_test, "validation").otherwise("test")
@@ -53,7 +53,7 @@ def three_way_time_split(df: DataFrame, ts: str, row_id: str, test: float = 0.2,
 
 def _hash_rank(df: DataFrame, key: Sequence[str], strata: Sequence[str], seed: int) -> DataFrame:
     tagged = df.withColumn("__h", F.xxhash64(*key, F.lit(seed)))
-    return numbered(tagged, strata, ["__h", *key], number_cell("__h", 2**56)).drop("__h")
+    return numbered(tagged, strata, ["__h", *key], HotCells(F.col("__h"))).drop("__h")
 
 
 def seeded_split(df: DataFrame, key: Sequence[str], test: float = 0.2, validation: float = 0.1, strata: Sequence[str] = (), seed: int = 42) -> DataFrame:
@@ -146,12 +146,12 @@ def novelty(recs: DataFrame, plays: DataFrame, keys: Sequence[str], item: str) -
 
 def normalised_entropy(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """-sum p log2(p + 1e-10) over log2 of the number of classes; 0 for at most one class."""
-    counts = df.filter(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.count("*").alias("n"))
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("t"), F.count("*").alias("c"))
-    p = F.col("n") / F.col("t")
-    rows = counts.join(totals, list(keys)) if keys else counts.withColumn("__s", totals.select(F.struct("t", "c")).scalar()).select("*", "__s.*")
-    out = rows.groupBy(*keys, "c").agg((-F.sum(p * F.log2(p + 1e-10))).alias("h"))
-    return out.select(*keys, F.when(F.col("c") > 1, F.try_divide(F.col("h"), F.log2("c"))).otherwise(F.lit(0.0)).alias("cultural_diversity"))
+    counts = df.filter(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.count("*").alias("__n"))
+    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__t"), F.count("*").alias("__c"))
+    p = F.col("__n") / F.col("__t")
+    rows = counts.join(totals, list(keys)) if keys else counts.withColumn("__s", totals.select(F.struct("__t", "__c")).scalar()).select("*", "__s.*")
+    out = rows.groupBy(*keys, "__c").agg((-F.sum(p * F.log2(p + 1e-10))).alias("__h"))
+    return out.select(*keys, F.when(F.col("__c") > 1, F.try_divide(F.col("__h"), F.log2("__c"))).otherwise(F.lit(0.0)).alias("cultural_diversity"))
 
 
 def serendipity(recs: DataFrame, history: DataFrame, test: DataFrame, keys: Sequence[str], item: str, artist: str) -> DataFrame:

@@ -38,12 +38,12 @@ def balanced_negatives(df: DataFrame, label: str, key: Sequence[str], ratio: int
 
     The hash threshold is cut at the exact rank, found from per-slice counts.
     """
-    from encore.operators.scan import number_cell, numbered
+    from encore.operators.scan import HotCells, numbered
 
     tagged = df.withColumn("__h", F.xxhash64(*key, F.lit(seed)))
     negatives = tagged.filter(~F.col(label))
     cap = df.filter(F.col(label)).select((F.count(F.lit(1)) * ratio).alias("cap")).scalar()
-    ranked = numbered(negatives, [], ["__h", *key], number_cell("__h", 2**54))
+    ranked = numbered(negatives, [], ["__h", *key], HotCells(F.col("__h")))
     kept = ranked.filter(F.col("row_no") <= cap).drop("row_no", "row_count", "__h")
     return df.filter(F.col(label)).unionByName(kept)
 

@@ -21,17 +21,83 @@ CELL = "__cell"
 FIRST, HERE = Window.unboundedPreceding, Window.currentRow
 
 
+PLAIN = "plain"  # every key is known to be small: an ordinary window will do
+
+
+class HotCells:
+    """Slices for busy keys only, each of about ``rows_per_cell`` rows or fewer.
+
+    Key sizes are counted first (a narrow, map-side combined aggregate). Without
+    a busy key the operators are ordinary windows over bounded keys.
+
+    A key with no more rows than that is one slice. A busier key is cut into
+    equal ranges of the order value, ``spread`` times as many as its row count
+    asks for, so that bursts stay small. At most rows / ``rows_per_cell`` keys
+    are busy, which bounds the joined table of their ranges.
+    """
+
+    def __init__(self, order: Column, rows_per_cell: int = 1_000_000, spread: int = 8):
+        self.order, self.rows_per_cell, self.spread = order.cast("double"), rows_per_cell, spread
+        self.decided = False
+
+    def decide(self, df: DataFrame, keys: Sequence[str]) -> HotCells | str:
+        """``PLAIN`` when no key is busy, else these slices."""
+        if not self.decided:
+            sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+            if sizes.filter(F.col("__n") > self.rows_per_cell).isEmpty():
+                return PLAIN
+            self.decided = True
+        return self
+
+    def apply(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        t = self.order
+        n_cells = F.ceil(F.col("__n") * self.spread / self.rows_per_cell)
+        busy = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(t).alias("__lo"), F.max(t).alias("__hi"))
+        busy = busy.filter(F.col("__n") > self.rows_per_cell).select(
+            *keys, "__lo", F.try_divide(n_cells, F.col("__hi") - F.col("__lo")).alias("__per")
+        )
+        if keys:
+            out = df.join(busy, list(keys), "left")
+        else:
+            out = df.withColumn("__b", busy.select(F.struct("__lo", "__per")).scalar()).select("*", "__b.*").drop("__b")
+        return out.withColumn(CELL, F.coalesce(F.floor((t - F.col("__lo")) * F.col("__per")), F.lit(0))).drop("__lo", "__per")
+
+
+def hot_cells(ts: str | Column, rows_per_cell: int = 1_000_000) -> HotCells:
+    """Slices of a timestamp for busy keys."""
+    return HotCells(F.unix_micros(ts), rows_per_cell)
+
+
 def time_cell(ts: str | Column, seconds: int = DAY) -> Column:
-    """Slice number of a timestamp. Narrow the slice for busier keys."""
+    """Fixed slice number of a timestamp."""
     ts = F.col(ts) if isinstance(ts, str) else ts
     return F.floor(F.unix_timestamp(ts) / F.lit(seconds))
 
 
 def number_cell(col: str | Column, width: int) -> Column:
+    """Fixed slice number of a number."""
     col = F.col(col) if isinstance(col, str) else col
     return F.floor(col / F.lit(width))
 
 
+Cells = Column | HotCells | str
+
+
+def decide(df: DataFrame, keys: Sequence[str], cell: Cells) -> Cells:
+    """Settle once whether any key needs slices; the answer can be passed on to further operators."""
+    return cell.decide(df, keys) if isinstance(cell, HotCells) else cell
+
+
+def is_plain(cell: Cells) -> bool:
+    return isinstance(cell, str) and cell == PLAIN
+
+
+def with_cells(df: DataFrame, keys: Sequence[str], cell: Cells) -> DataFrame:
+    if is_plain(cell):
+        return df.withColumn(CELL, F.lit(0))
+    return cell.apply(df, keys) if isinstance(cell, HotCells) else df.withColumn(CELL, cell)
+
+
 def with_depth_cell(df: DataFrame, col: str, keys: Sequence[str] = (), cells: int = 64) -> DataFrame:
     """Adds the equi-depth cell of a numeric column, from a mergeable quantile sketch.
 
@@ -54,7 +120,7 @@ def segment_rows(
     order: Sequence[str],
     carry: Sequence[str],
     starts: Callable[[Column, Column], Column],
-    cell: Column,
+    cell: Cells,
 ) -> DataFrame:
     """Number gap-and-island segments per key.
 
@@ -63,10 +129,11 @@ def segment_rows(
     row), ``is_start``, ``segment_no``, ``row_no`` and ``position`` (1-based).
     """
     keys = list(keys)
+    cell = decide(df, keys, cell)
     w = Window.partitionBy(*keys, CELL).orderBy(*order)
     upto = w.rowsBetween(FIRST, HERE)
     local = (
-        df.withColumn(CELL, cell)
+        with_cells(df, keys, cell)
         .withColumn("__cur", F.struct(*carry))
         .withColumn("__prev", F.lag("__cur").over(w))
         .withColumn("__rn", F.row_number().over(w))
@@ -77,6 +144,16 @@ def segment_rows(
         .withColumn("__seg", F.coalesce(F.sum("__new").over(upto), F.lit(0)))
         .withColumn("__start", F.max(F.when(F.col("__new") == 1, F.col("__rn"))).over(upto))
     )
+    added = ["prev", "is_start", "segment_no", "row_no", "position"]
+    if is_plain(cell):
+        return (
+            local.withColumn("prev", F.col("__prev"))
+            .withColumn("is_start", F.coalesce(F.col("__new"), F.lit(1)) == 1)
+            .withColumn("segment_no", F.col("__seg") + 1)
+            .withColumn("row_no", F.col("__rn").cast("long"))
+            .withColumn("position", F.col("row_no") - F.coalesce("__start", F.lit(1)) + 1)
+            .select(*df.columns, *added)
+        )
     at = F.struct(*order)
     wk = Window.partitionBy(*keys).orderBy(CELL)
     past = wk.rowsBetween(FIRST, -1)
@@ -115,7 +192,7 @@ def segment_rows(
         .withColumn("segment_no", F.col("__seg0") + F.col("__seg"))
         .withColumn("row_no", F.col("__rn0") + F.col("__rn"))
         .withColumn("position", F.col("row_no") - F.coalesce(F.col("__start") + F.col("__rn0"), F.col("__start0")) + 1)
-        .select(*df.columns, "prev", "is_start", "segment_no", "row_no", "position")
+        .select(*df.columns, *added)
     )
 
 
@@ -124,15 +201,20 @@ def neighbours(
     keys: Sequence[str],
     order: Sequence[str],
     cols: Sequence[str],
-    cell: Column,
+    cell: Cells,
     forward: bool = False,
 ) -> DataFrame:
     """Previous (and with ``forward`` next) row of the same key as struct columns ``prev`` / ``next``."""
     keys = list(keys)
+    cell = decide(df, keys, cell)
     w = Window.partitionBy(*keys, CELL).orderBy(*order)
     wk = Window.partitionBy(*keys).orderBy(CELL)
     cur, at = F.struct(*cols), F.struct(*order)
-    base = df.withColumn(CELL, cell)
+    base = with_cells(df, keys, cell)
+    if is_plain(cell):
+        out = base.withColumn("prev", F.lag(cur).over(w))
+        out = out.withColumn("next", F.lead(cur).over(w)) if forward else out
+        return out.drop(CELL)
     aggs = [F.max_by(cur, at).alias("__last")] + ([F.min_by(cur, at).alias("__first")] if forward else [])
     edges = base.groupBy(*keys, CELL).agg(*aggs).withColumn("__in", F.lag("__last").over(wk))
     out = base.withColumn("prev", F.lag(cur).over(w))
@@ -145,12 +227,17 @@ def neighbours(
     return out.select(*df.columns, "prev", *(["next"] if forward else []))
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Column) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Cells) -> DataFrame:
     """1-based ``row_no`` in key order and ``row_count`` of the key."""
     keys = list(keys)
+    cell = decide(df, keys, cell)
     wk = Window.partitionBy(*keys).orderBy(CELL)
     whole = Window.partitionBy(*keys)
-    base = df.withColumn(CELL, cell)
+    base = with_cells(df, keys, cell)
+    if is_plain(cell):
+        w = Window.partitionBy(*keys, CELL)
+        row_no = F.row_number().over(w.orderBy(*order)).cast("long")
+        return base.withColumns({"row_no": row_no, "row_count": F.count(F.lit(1)).over(w)}).drop(CELL)
     counts = (
         base.groupBy(*keys, CELL)
         .agg(F.count(F.lit(1)).alias("__n"))
@@ -172,7 +259,7 @@ def haloed(
     keys: Sequence[str],
     order: Sequence[str],
     cols: Sequence[str],
-    cell: Column,
+    cell: Cells,
     before: int = 0,
     after: int = 0,
 ) -> tuple[DataFrame, Window]:
@@ -183,8 +270,11 @@ def haloed(
     are copied, and Spark limits them per map task before the shuffle.
     """
     keys, order = list(keys), list(order)
+    cell = decide(df, keys, cell)
     need = list(dict.fromkeys([*order, *cols]))
-    base = df.withColumn(CELL, cell)
+    base = with_cells(df, keys, cell)
+    if is_plain(cell):
+        return base.withColumn("__ghost", F.lit(False)), Window.partitionBy(*keys, CELL).orderBy(*order)
     wk = Window.partitionBy(*keys).orderBy(CELL)
     out = base.withColumn("__ghost", F.lit(False))
 

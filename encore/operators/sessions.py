@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from encore.functions.columns import time_of_day_bands
 from encore.operators.joins import attach_group_stats, membership
 from encore.operators.ranking import top_k_per_group
-from encore.operators.scan import DAY, drop_ghosts, haloed, neighbours, numbered, segment_rows, time_cell
+from encore.operators.scan import Cells, decide, drop_ghosts, haloed, hot_cells, neighbours, numbered, segment_rows, time_cell
+
+
+def _cells(ts: str, seconds: int | None) -> Cells:
+    return hot_cells(ts) if seconds is None else time_cell(ts, seconds)
 
 
 def sessionize(
@@ -19,7 +23,7 @@ def sessionize(
     keys: Sequence[str] = ("user_id",),
     row_id: str = "event_id",
     gap_minutes: float = 30,
-    cell_seconds: int = DAY,
+    cell_seconds: int | None = None,
 ) -> DataFrame:
     """``session_no`` per key: a gap strictly longer than ``gap_minutes`` opens a session.
 
@@ -27,7 +31,7 @@ def sessionize(
     """
     gap = int(gap_minutes * 60_000_000)
     opens = lambda prev, cur: F.unix_micros(cur[ts]) - F.unix_micros(prev[ts]) > gap
-    out = segment_rows(df, keys, [ts, row_id], [ts], opens, time_cell(ts, cell_seconds))
+    out = segment_rows(df, keys, [ts, row_id], [ts], opens, _cells(ts, cell_seconds))
     return out.select(
         *df.columns, F.col("segment_no").alias("session_no"), F.col("position").alias("session_position"), "is_start"
     )
@@ -43,7 +47,7 @@ def derive_users(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(ts, row_id)).alias("__first")
     )
     kept = users.filter(F.col("n") >= min_rows).withColumns({"__t": F.col(f"__first.{ts}"), "__i": F.col(f"__first.{row_id}")})
-    named = numbered(kept, [], ["__t", "__i"], time_cell("__t")).select(
+    named = numbered(kept, [], ["__t", "__i"], hot_cells("__t")).select(
         *group, F.format_string("user_%04d", F.col("row_no") - 1).alias("derived_user")
     )
     return tagged.join(named, group)
@@ -55,14 +59,14 @@ def position_in_group(df: DataFrame, group: Sequence[str], position: str, out: s
     return sized.withColumn(out, F.col(position) / F.col("group_size"))
 
 
-def time_since_last_same(df: DataFrame, item: str, ts: str, row_id: str, out: str, cell_seconds: int = DAY) -> DataFrame:
+def time_since_last_same(df: DataFrame, item: str, ts: str, row_id: str, out: str, cell_seconds: int | None = None) -> DataFrame:
     """Hours since the previous play of the same item."""
-    near = neighbours(df, [item], [ts, row_id], [ts], time_cell(ts, cell_seconds))
+    near = neighbours(df, [item], [ts, row_id], [ts], _cells(ts, cell_seconds))
     hours = (F.unix_micros(ts) - F.unix_micros(F.col("prev")[ts])) / 3_600_000_000
     return near.withColumn(out, hours).drop("prev")
 
 
-def neighbor_labels(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, cell: Column) -> DataFrame:
+def neighbor_labels(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, cell: Cells) -> DataFrame:
     """Previous and next label per key and the change flag (false on the first row)."""
     near = neighbours(df, keys, order, [label], cell, forward=True)
     prev = F.col("prev")[label]
@@ -74,14 +78,14 @@ def neighbor_labels(df: DataFrame, keys: Sequence[str], order: Sequence[str], la
     )
 
 
-def transition_flag(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, cell: Column) -> DataFrame:
+def transition_flag(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, cell: Cells) -> DataFrame:
     """1 where the label differs from the previous row's; the first row counts as a change."""
     near = neighbours(df, keys, order, [label], cell)
     return near.withColumn("label_transition", F.coalesce((F.col(label) != F.col("prev")[label]).cast("int"), F.lit(1))).drop("prev")
 
 
 def rolling_mean_last_n(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, cell: Column, n: int = 10, out: str = "rolling_mean"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, cell: Cells, n: int = 10, out: str = "rolling_mean"
 ) -> DataFrame:
     """Mean of the last n rows, null until n non-null values are in the frame."""
     ext, w = haloed(df, keys, order, [value], cell, before=n - 1)
@@ -153,7 +157,7 @@ def lag_features(monthly: DataFrame, order: str, value: str, keys: Sequence[str]
     return out.withColumns({"idx_sin": F.sin(angle), "idx_cos": F.cos(angle)}).dropna(subset=["lag_1", "lag_2", value])
 
 
-def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, cell: Column) -> DataFrame:
+def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, cell: Cells) -> DataFrame:
     """Gaps-and-islands: one row per run of equal labels with its length."""
     seg = segment_rows(df, keys, order, [label], lambda p, c: ~p[label].eqNullSafe(c[label]), cell)
     return seg.groupBy(*keys, "segment_no").agg(
@@ -167,7 +171,7 @@ def transitions_after_run(
     ts: str,
     row_id: str,
     label: str,
-    cell: Column,
+    cell: Cells,
     main: Sequence[str],
     min_run: int = 3,
     unknown: str = "unknown",
@@ -179,6 +183,7 @@ def transitions_after_run(
     length, so one segmented pass and one neighbour pass are enough.
     """
     known = df.filter(F.col(label).isNotNull() & (F.col(label) != unknown))
+    cell = decide(known, keys, cell)
     seg = segment_rows(known, keys, [ts, row_id], [label], lambda p, c: p[label] != c[label], cell)
     seg = seg.withColumn("from_label", F.col("prev")[label]).drop("prev")
     near = neighbours(seg, keys, [ts, row_id], ["position"], cell)
@@ -199,7 +204,7 @@ def transitions_after_run(
 
 
 def adjacent_transitions(
-    df: DataFrame, keys: Sequence[str], ts: str, row_id: str, label: str, cell: Column, carry: Sequence[str], unknown: str = "unknown"
+    df: DataFrame, keys: Sequence[str], ts: str, row_id: str, label: str, cell: Cells, carry: Sequence[str], unknown: str = "unknown"
 ) -> DataFrame:
     """Adjacent rows with different, known labels: gap in minutes, the carried columns on both sides."""
     near = neighbours(df, keys, [ts, row_id], [ts, label, *carry], cell)
@@ -217,13 +222,13 @@ def adjacent_transitions(
     )
 
 
-def next_label(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, cell: Column) -> DataFrame:
+def next_label(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, cell: Cells) -> DataFrame:
     near = neighbours(df, keys, order, [label], cell, forward=True)
     return near.withColumn("next_label", F.col("next")[label]).drop("prev", "next")
 
 
 def exposure_windows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, exposed: Column, cell: Column, span: int = 5, min_rows: int = 10
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, exposed: Column, cell: Cells, span: int = 5, min_rows: int = 10
 ) -> DataFrame:
     """Distinct-label share of the ``span`` rows before and after each exposure with full context."""
     ext, w = haloed(df.withColumn("__hit", exposed), keys, order, [label], cell, before=span, after=span)

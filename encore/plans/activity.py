@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from encore.functions import columns as C
 from encore.operators import activity as A
 from encore.operators import sessions as S
-from encore.operators.scan import time_cell
+from encore.operators.scan import hot_cells
 from encore.plans.base import query, sql
 from encore.plans.scalar import BANDS_SQL, six
 
@@ -696,7 +696,7 @@ def _(t):
     ),
 )
 def _(t):
-    moves = S.adjacent_transitions(t.plays, ["user_id"], "ts", "event_id", "label", time_cell("ts"), ["track_id"], "error")
+    moves = S.adjacent_transitions(t.plays, ["user_id"], "ts", "event_id", "label", hot_cells("ts"), ["track_id"], "error")
     return A.transition_counts(moves, "ts").withColumn("mean_gap", F.round("mean_gap", 6))
 
 

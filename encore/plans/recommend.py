@@ -9,7 +9,7 @@ from encore.operators import bridges as B
 from encore.operators import recommend as M
 from encore.operators import sessions as S
 from encore.operators.ranking import top_k_per_group
-from encore.operators.scan import time_cell
+from encore.operators.scan import hot_cells
 from encore.plans.activity import modal, playlist, PLAYLIST
 from encore.plans.base import query, sql
 from encore.plans.scalar import BANDS_SQL, six
@@ -67,7 +67,7 @@ def _(t):
     ),
 )
 def _(t):
-    nxt = S.next_label(t.plays, ["user_id"], ["ts", "event_id"], "label", time_cell("ts"))
+    nxt = S.next_label(t.plays, ["user_id"], ["ts", "event_id"], "label", hot_cells("ts"))
     out = B.gateway_items(nxt, "track_id", "label", "next_label", unknown="error")
     text = F.concat_ws(",", F.transform(F.map_entries("moves"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
     return rounded(out.withColumn("moves", text), "transition_rate")

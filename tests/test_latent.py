@@ -22,7 +22,7 @@ def test_svd_matches_numpy(spark):
 
 def test_matrix_indices_are_contiguous_and_sorted(rows):
     df = rows([(10, 7, 1.0), (10, 3, 2.0), (4, 7, 3.0), (4, 7, 4.0)], "u long, i long, v double")
-    got = {(r.u, r.i): (r.user_idx, r.item_idx, r.rating) for r in L.interaction_matrix(df, "u", "i", "v", width=5).collect()}
+    got = {(r.u, r.i): (r.user_idx, r.item_idx, r.rating) for r in L.interaction_matrix(df, "u", "i", "v", rows_per_cell=1).collect()}
     assert got[(4, 7)] == (0, 1, pytest.approx(np.log1p(7.0))) and got[(10, 3)][:2] == (1, 0)
 
 

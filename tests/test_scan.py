@@ -19,13 +19,18 @@ def log(spark):
     return pdf, spark.createDataFrame(pdf).cache()
 
 
-WIDTHS = [1, 37, 400, 100000]
+WIDTHS = [1, 37, 400, 100000, "hot"]
+
+
+def cell(width):
+    """A fixed width, or adaptive slices small enough to cut the busy key."""
+    return scan.HotCells(F.col("t"), 50, 2) if width == "hot" else scan.number_cell("t", width)
 
 
 @pytest.mark.parametrize("width", WIDTHS)
 def test_segment_rows(log, width):
     pdf, df = log
-    out = scan.segment_rows(df, ["user"], ["t", "id"], ["t", "label"], lambda p, c: c["t"] - p["t"] > 12, scan.number_cell("t", width))
+    out = scan.segment_rows(df, ["user"], ["t", "id"], ["t", "label"], lambda p, c: c["t"] - p["t"] > 12, cell(width))
     got = out.select("id", "is_start", "segment_no", "row_no", "position", F.col("prev.t").alias("pt")).toPandas().sort_values("id")
     exp = pdf.sort_values(["user", "t", "id"]).copy()
     exp["pt"] = exp.groupby("user").t.shift()
@@ -42,7 +47,7 @@ def test_segment_rows(log, width):
 @pytest.mark.parametrize("width", WIDTHS)
 def test_neighbours(log, width):
     pdf, df = log
-    out = scan.neighbours(df, ["user"], ["t", "id"], ["label"], scan.number_cell("t", width), forward=True)
+    out = scan.neighbours(df, ["user"], ["t", "id"], ["label"], cell(width), forward=True)
     got = out.select("id", F.col("prev.label").alias("p"), F.col("next.label").alias("n")).toPandas().sort_values("id")
     exp = pdf.sort_values(["user", "t", "id"]).copy()
     exp["p"], exp["n"] = exp.groupby("user").label.shift(), exp.groupby("user").label.shift(-1)
@@ -54,7 +59,7 @@ def test_neighbours(log, width):
 @pytest.mark.parametrize("width", WIDTHS)
 def test_halo_gives_exact_row_frames(log, width):
     pdf, df = log
-    ext, w = scan.haloed(df, ["user"], ["t", "id"], ["v"], scan.number_cell("t", width), before=9, after=4)
+    ext, w = scan.haloed(df, ["user"], ["t", "id"], ["v"], cell(width), before=9, after=4)
     out = scan.drop_ghosts(ext.withColumn("s", F.sum("v").over(w.rowsBetween(-9, 4))))
     got = out.select("id", "s").toPandas().sort_values("id").s.to_numpy()
     exp = {}
@@ -68,7 +73,7 @@ def test_halo_gives_exact_row_frames(log, width):
 @pytest.mark.parametrize("keys", [[], ["user"]])
 def test_numbered(log, keys):
     pdf, df = log
-    got = scan.numbered(df, keys, ["t", "id"], scan.number_cell("t", 300)).toPandas().sort_values("id")
+    got = scan.numbered(df, keys, ["t", "id"], cell("hot")).toPandas().sort_values("id")
     srt = pdf.sort_values(["t", "id"])
     rank = (srt.groupby("user").cumcount() if keys else pd.Series(range(len(srt)), index=srt.index)) + 1
     assert got.row_no.tolist() == rank.sort_index().tolist()
