@@ -57,17 +57,18 @@ def unseen(candidates: DataFrame, seen: DataFrame, on: Sequence[str]) -> DataFra
 def within_days(left: DataFrame, right: DataFrame, left_date: str, right_date: str, days: int, keys: Sequence[str] = ()) -> DataFrame:
     """Pairs at most ``days`` apart, as an equi-join.
 
-    The right side is repeated for each day it can match, so Spark hashes on
-    the date instead of comparing every pair. ``day_diff`` is right minus left.
+    The left side, the short one (change points, shifts), is repeated for each
+    day it can match, so Spark hashes on the date instead of comparing every
+    pair. ``day_diff`` is right minus left.
     """
-    offsets = F.sequence(F.date_sub(right_date, days), F.date_add(right_date, days))
-    spread = right.withColumn("__day", F.explode(offsets))
-    cond = left[left_date] == spread["__day"]
+    offsets = F.sequence(F.date_sub(left_date, days), F.date_add(left_date, days))
+    spread = left.withColumn("__day", F.explode(offsets))
+    cond = spread["__day"] == right[right_date]
     for k in keys:
-        cond = cond & (left[k] == spread[k])
-    out = left.join(spread, cond)
+        cond = cond & (spread[k] == right[k])
+    out = spread.join(right, cond)
     for k in keys:
-        out = out.drop(spread[k])
+        out = out.drop(right[k])
     return out.drop("__day").withColumn("day_diff", F.datediff(right_date, left_date))
 
 

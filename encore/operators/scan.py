@@ -98,20 +98,34 @@ def with_cells(df: DataFrame, keys: Sequence[str], cell: Cells) -> DataFrame:
     return cell.apply(df, keys) if isinstance(cell, HotCells) else df.withColumn(CELL, cell)
 
 
-def with_depth_cell(df: DataFrame, col: str, keys: Sequence[str] = (), cells: int = 64) -> DataFrame:
+def order_value(df: DataFrame, key: str) -> Column:
+    """A number that never decreases with the key: the key itself, or the first six bytes of a text."""
+    if dict(df.dtypes)[key] == "string":
+        return F.conv(F.rpad(F.substring(F.hex(key), 1, 12), 12, "0"), 16, 10).cast("double")
+    return F.col(key).cast("double")
+
+
+def with_depth_cell(df: DataFrame, col: str, keys: Sequence[str] = (), width: int = 64) -> DataFrame:
     """Adds the equi-depth cell of a numeric column, from a mergeable quantile sketch.
 
-    The split points are one array of ``cells - 1`` numbers per key, so each
-    cell holds about ``1 / cells`` of a key's rows whatever their distribution.
+    Without keys there are ``width`` squared cells, looked up in two steps of
+    ``width`` comparisons; with keys, ``width`` cells per key. So a cell holds a
+    small share of the rows whatever their distribution.
     """
+    x = F.col(col)
+    cells = width if keys else width * width
     probs = [i / cells for i in range(1, cells)]
-    sketch = F.percentile_approx(F.col(col).cast("double"), probs, 10000).alias("__splits")
-    at = F.size(F.filter(F.coalesce("__splits", F.array().cast("array<double>")), lambda s: s <= F.col(col)))
+    sketch = F.percentile_approx(x.cast("double"), probs, 20000).alias("__splits")
+    below = lambda splits: F.size(F.filter(splits, lambda s: s <= x))
+    empty = F.array().cast("array<double>")
     if keys:
         out = df.join(df.groupBy(*keys).agg(sketch), list(keys))
-    else:
-        out = df.withColumn("__splits", df.select(sketch).scalar())
-    return out.withColumn(CELL, at).drop("__splits")
+        return out.withColumn(CELL, below(F.coalesce("__splits", empty))).drop("__splits")
+    every = F.filter("__splits", lambda s, i: (i + 1) % width == 0)
+    coarse = df.select(sketch).select(F.struct(F.col("__splits").alias("fine"), every.alias("coarse"))).scalar()
+    out = df.withColumn("__s", coarse).withColumn("__c", below(F.coalesce("__s.coarse", empty)))
+    near = F.slice(F.coalesce("__s.fine", empty), F.col("__c") * width + 1, width - 1)
+    return out.withColumn(CELL, F.col("__c") * width + below(near)).drop("__s", "__c")
 
 
 def segment_rows(
@@ -311,28 +325,36 @@ def drop_ghosts(df: DataFrame) -> DataFrame:
 
 
 def value_counts_below(
-    df: DataFrame, value: str, keys: Sequence[str] = (), cells: int = 64, weight: str | None = None
+    df: DataFrame, value: str, keys: Sequence[str] = (), width: int = 64, weight: str | None = None, probs: Sequence[float] = ()
 ) -> DataFrame:
     """Distinct values with ``n`` (rows, or summed weight), ``below`` (rows with a smaller value) and ``total``.
 
     This is what ranks with ties and exact quantiles need, without a global sort.
+    With ``probs`` only the cells that hold those quantiles are sorted and returned.
     """
     keys = list(keys)
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("n"))
-    counts = with_depth_cell(counts, value, keys, cells)
+    counts = with_depth_cell(counts, value, keys, width)
     wk = Window.partitionBy(*keys).orderBy(CELL)
     per_cell = (
         counts.groupBy(*keys, CELL)
         .agg(F.sum("n").alias("__n"))
         .withColumn("__below", F.coalesce(F.sum("__n").over(wk.rowsBetween(FIRST, -1)), F.lit(0)))
         .withColumn("total", F.sum("__n").over(Window.partitionBy(*keys)))
-        .drop("__n")
     )
+    if probs:
+        wanted = F.lit(False)
+        for p in probs:
+            at = F.lit(float(p)) * (F.col("total") - 1)
+            for rank in (F.floor(at), F.ceil(at)):
+                wanted = wanted | ((F.col("__below") <= rank) & (rank < F.col("__below") + F.col("__n")))
+        per_cell = per_cell.filter(wanted)
+    per_cell = per_cell.drop("__n")
     w = Window.partitionBy(*keys, CELL).orderBy(value).rowsBetween(FIRST, -1)
     return (
-        counts.withColumn("__in", F.coalesce(F.sum("n").over(w), F.lit(0)))
-        .join(per_cell, [*keys, CELL])
+        counts.join(per_cell, [*keys, CELL])
+        .withColumn("__in", F.coalesce(F.sum("n").over(w), F.lit(0)))
         .select(*keys, value, "n", (F.col("__below") + F.col("__in")).alias("below"), "total")
     )
 
@@ -346,7 +368,7 @@ def exact_quantiles(
     per-cell counts and picks the two neighbouring order statistics.
     """
     keys = list(keys)
-    ranked = value_counts_below(df, value, keys, weight=weight)
+    ranked = value_counts_below(df, value, keys, weight=weight, probs=probs)
     aggs = []
     for i, p in enumerate(probs):
         at = F.lit(float(p)) * (F.col("total") - 1)

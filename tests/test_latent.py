@@ -49,3 +49,10 @@ def test_personality_score_in_bounds_and_first_artist(rows):
     got = {r.track_id: r.personality_score for r in M.personality_scores(tracks, p, ["energy", "valence"]).collect()}
     assert got[1] == pytest.approx((0.4 + 0.4 * 0.5 + 0.2 * 0.9) / 1.0)
     assert 0 <= got[2] <= 1
+
+
+def test_text_keys_are_indexed_in_order(rows):
+    names = ["zed", "Ána", "bob", "bobby-long-name-a", "bobby-long-name-b", ""]
+    df = rows([(n, 1, 1.0) for n in names], "u string, i long, v double")
+    got = {r.u: r.user_idx for r in L.interaction_matrix(df, "u", "i", "v", rows_per_cell=1).collect()}
+    assert [n for n, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(names, key=lambda n: n.encode())
