@@ -16,6 +16,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from encore.session import checkpointed
+
 DAY = 86400
 CELL = "__cell"
 FIRST, HERE = Window.unboundedPreceding, Window.currentRow
@@ -105,7 +107,7 @@ def order_value(df: DataFrame, key: str) -> Column:
     return F.col(key).cast("double")
 
 
-def with_depth_cell(df: DataFrame, col: str, keys: Sequence[str] = (), width: int = 64) -> DataFrame:
+def with_depth_cell(df: DataFrame, col: str, keys: Sequence[str] = (), width: int = 32) -> DataFrame:
     """Adds the equi-depth cell of a numeric column, from a mergeable quantile sketch.
 
     Without keys there are ``width`` squared cells, looked up in two steps of
@@ -114,7 +116,7 @@ def with_depth_cell(df: DataFrame, col: str, keys: Sequence[str] = (), width: in
     """
     x = F.col(col)
     cells = width if keys else width * width
-    probs = [i / cells for i in range(1, cells)]
+    probs = F.split(F.lit(",".join(str(i / cells) for i in range(1, cells))), ",").cast("array<double>")
     sketch = F.percentile_approx(x.cast("double"), probs, 20000).alias("__splits")
     below = lambda splits: F.size(F.filter(splits, lambda s: s <= x))
     empty = F.array().cast("array<double>")
@@ -325,7 +327,7 @@ def drop_ghosts(df: DataFrame) -> DataFrame:
 
 
 def value_counts_below(
-    df: DataFrame, value: str, keys: Sequence[str] = (), width: int = 64, weight: str | None = None, probs: Sequence[float] = ()
+    df: DataFrame, value: str, keys: Sequence[str] = (), width: int = 32, weight: str | None = None, probs: Sequence[float] = ()
 ) -> DataFrame:
     """Distinct values with ``n`` (rows, or summed weight), ``below`` (rows with a smaller value) and ``total``.
 
@@ -335,6 +337,7 @@ def value_counts_below(
     keys = list(keys)
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("n"))
+    counts = checkpointed(counts)  # read three times below; the source is scanned once
     counts = with_depth_cell(counts, value, keys, width)
     wk = Window.partitionBy(*keys).orderBy(CELL)
     per_cell = (

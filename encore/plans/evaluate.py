@@ -10,6 +10,7 @@ from encore.operators.ranking import top_k_per_group
 from encore.plans.base import query, sql
 from encore.plans.recommend import FEATURES, IDS, scored_bridges, wide
 from encore.plans.timeseries import rounded
+from encore.session import checkpointed
 
 SPLITS = """SELECT row_number() OVER (ORDER BY cut) AS split_id, cut, n_train, n_test FROM (SELECT CAST(cut AS DATE) AS cut,
     (SELECT count(*) FROM history WHERE ts < cut) AS n_train, (SELECT count(*) FROM history WHERE ts >= cut AND ts < cut + INTERVAL 180 DAYS) AS n_test
@@ -236,15 +237,13 @@ def split_metrics(t):
     """The whole evaluation of the last three splits in one plan: the split is one more key column."""
     splits = V.expanding_splits(t.history, "ts").orderBy(F.desc("split_id")).limit(3)
     rows = V.assign_splits(t.baskets.withColumnRenamed("item_id", "track_id"), splits, "ts")
+    rows = checkpointed(rows.groupBy(*SPLIT_KEYS, "split", "track_id").agg(F.count("*").alias("n")))
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
-    counts = train.select(*SPLIT_KEYS, "track_id", F.struct(*SPLIT_KEYS).alias("who"))
-    profiles = M.user_profiles(counts, wide(t), t.tracks, "who", "track_id", IDS, FEATURES)
-    profiles = profiles.select("who.*", *[c for c in profiles.columns if c != "who"])
-    fresh = test.select(*SPLIT_KEYS, "track_id").distinct().join(
-        train.select(*SPLIT_KEYS, "track_id").distinct(), [*SPLIT_KEYS, "track_id"], "left_anti"
-    )
-    scored = M.score_pairs(fresh, profiles, wide(t), scored_bridges(t), SPLIT_KEYS, "track_id", IDS)
-    recs = M.recommend(scored, SPLIT_KEYS, "track_id", 50)
+    scores = checkpointed(wide(t))
+    profiles = M.user_profiles(train, scores, t.tracks, SPLIT_KEYS, "track_id", IDS, FEATURES, weight="n")
+    fresh = test.select(*SPLIT_KEYS, "track_id").join(train.select(*SPLIT_KEYS, "track_id"), [*SPLIT_KEYS, "track_id"], "left_anti")
+    scored = M.score_pairs(fresh, profiles, scores, scored_bridges(t), SPLIT_KEYS, "track_id", IDS)
+    recs = checkpointed(M.recommend(scored, SPLIT_KEYS, "track_id", 50))
     keys, item = SPLIT_KEYS, "track_id"
     audio = ["energy", "valence", "danceability"]
     out = V.precision_recall(recs, test, keys, item).join(V.ndcg(recs, test, keys, item).drop("hits"), keys)
