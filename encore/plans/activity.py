@@ -476,7 +476,7 @@ def _(t):
     "f27_user_features",
     sql(
         """SELECT *, round(plays / (span_days + 1), 6) AS plays_per_day, round(artists / plays, 6) AS artist_diversity FROM (
-        SELECT user_id, round(avg(energy), 6) AS mean_energy, round(avg(valence), 6) AS mean_valence, count(DISTINCT artist_id) AS artists,
+        SELECT user_id, round(avg(energy) + 1e-9, 6) AS mean_energy, round(avg(valence) + 1e-9, 6) AS mean_valence, count(DISTINCT artist_id) AS artists,
         count(DISTINCT track_id) AS tracks, count(DISTINCT label) AS classes, round(avg(hour(ts)), 6) AS mean_hour,
         strftime(min(ts), '%Y-%m-%d') AS first_ts, strftime(max(ts), '%Y-%m-%d') AS last_ts, count(*) AS plays,
         (epoch_us(max(ts)) - epoch_us(min(ts))) // 86400000000 AS span_days FROM plays JOIN tracks USING (track_id) GROUP BY 1)""",
@@ -488,14 +488,14 @@ def _(t):
     out = A.user_features(t.plays.join(t.tracks, "track_id"), "user_id", "ts", "track_id", "artist_id", "label", ["energy", "valence"])
     rounded = ["mean_energy", "mean_valence", "mean_hour", "plays_per_day", "artist_diversity"]
     return out.withColumns(
-        {**{c: F.round(c, 6) for c in rounded}, **{c: F.date_format(c, "yyyy-MM-dd") for c in ("first_ts", "last_ts")}}
+        {**{c: F.round(F.col(c) + (1e-9 if c in rounded[:2] else 0.0), 6) for c in rounded}, **{c: F.date_format(c, "yyyy-MM-dd") for c in ("first_ts", "last_ts")}}
     )
 
 
 @query(
     "f28_user_personality_features",
     sql(
-        """SELECT user_id, round(avg(energy), 6) AS energy_ratio, count(*) AS plays, count(DISTINCT artist_id) AS unique_artists,
+        """SELECT user_id, round(avg(energy) + 1e-9, 6) AS energy_ratio, count(*) AS plays, count(DISTINCT artist_id) AS unique_artists,
         round(var_samp(hour(ts)), 6) AS hour_variance, round(count(*) / count(DISTINCT CAST(ts AS DATE)), 6) AS listening_consistency,
         round(count(DISTINCT label) / 4, 6) AS cultural_diversity, round(min(top) / count(*), 6) AS artist_concentration
         FROM plays JOIN tracks USING (track_id) JOIN (SELECT user_id, max(n) AS top FROM (SELECT user_id, artist_id, count(*) AS n
@@ -507,7 +507,7 @@ def _(t):
 def _(t):
     out = A.user_personality_features(t.plays.join(t.tracks, "track_id"), "user_id", "ts", "artist_id", "label", ["energy"])
     cols = ["energy_ratio", "hour_variance", "listening_consistency", "cultural_diversity", "artist_concentration"]
-    return out.withColumns({c: F.round(c, 6) for c in cols})
+    return out.withColumns({c: F.round(F.col(c) + (1e-9 if c == "energy_ratio" else 0.0), 6) for c in cols})
 
 
 # Playlists: documents grouped by source, with derived audio features and dates.
