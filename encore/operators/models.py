@@ -84,7 +84,7 @@ def expanding_cv(daily: DataFrame, date: str, fit, label: str = "plays", folds:
     return out
 
 
-def volume_forecast(model, recent: DataFrame, targets: DataFrame, ts: str, label: str, date: str, features: Sequence[str] = VOLUME_FEATURES, spread: float = 0.2) -> DataFrame:
+def volume_forecast(model, recent: DataFrame, targets: DataFrame, ts: str, label: str, date: str, main_class: str, features: Sequence[str] = VOLUME_FEATURES, spread: float = 0.2) -> DataFrame:
     """One row per target date: prediction, interval, class shares, peak hours, expected sessions.
 
     The history features of a target come from the most recent plays.
@@ -101,7 +101,7 @@ def volume_forecast(model, recent: DataFrame, targets: DataFrame, ts: str, label
     ms, mc = C.cyclical(F.month(date), 12)
     known = {
         "hour_sin": hs, "hour_cos": hc, "day_sin": ds, "day_cos": dc, "month_sin": ms, "month_cos": mc,
-        "is_weekend": (F.weekday(date) >= 5).cast("double"), "class_share": F.coalesce(F.element_at("class_counts", "click") / F.col("__n"), F.lit(0.0)),
+        "is_weekend": (F.weekday(date) >= 5).cast("double"), "class_share": F.coalesce(F.try_element_at("class_counts", F.lit(main_class)) / F.col("__n"), F.lit(0.0)),
         "mean_7d": F.col("__s.m"), "std_7d": F.col("__s.s"), "mean_30d": F.col("__s.m"), "std_30d": F.col("__s.s"),
     }
     scored = model.transform(out.withColumns({f: known[f] for f in features}))

@@ -94,10 +94,16 @@ def day_to_day_change(series: DataFrame, keys: Sequence[str], date: str, x: str)
     )
 
 
-def change_type(signal: Column) -> Column:
+CLASS_WORDS = ("vietnamese", "western")
+
+
+def change_type(signal: Column, class_words: Sequence[str] = CLASS_WORDS) -> Column:
     """Type of change from the signal's name."""
+    of_class = F.lit(False)
+    for word in class_words:
+        of_class = of_class | signal.contains(word)
     return (
-        F.when(signal.contains("urgent") | signal.contains("vietnamese") | signal.contains("western"), "cultural_shift")
+        F.when(of_class, "cultural_shift")
         .when(signal.contains("energy") | signal.contains("valence"), "energy_change")
         .when(signal.contains("exploration"), "exploration_burst")
         .otherwise("preference_change")
@@ -160,7 +166,9 @@ def strongest(points: DataFrame, keys: Sequence[str], date: str, k: int = 5) ->
     return points.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def merge_chain(points: DataFrame, keys: Sequence[str], date: str, signal: str, gap_days: int = 3) -> DataFrame:
+def merge_chain(
+    points: DataFrame, keys: Sequence[str], date: str, signal: str, gap_days: int = 3, class_words: Sequence[str] = CLASS_WORDS
+) -> DataFrame:
     """Group points while each is at most ``gap_days`` after the previous one.
 
     Keeps the date of the most confident point, mean magnitude and confidence, the modal type.
@@ -170,7 +178,7 @@ def merge_chain(points: DataFrame, keys: Sequence[str], date: str, signal: str,
     tagged = points.withColumn("__new", opens).withColumn(
         "group_no", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
     )
-    return tagged.withColumn("__type", change_type(F.col(signal))).groupBy(*keys, "group_no").agg(
+    return tagged.withColumn("__type", change_type(F.col(signal), class_words)).groupBy(*keys, "group_no").agg(
         F.min_by(date, F.struct(-F.col("confidence"), F.col(date), F.col(signal))).alias(date),
         F.avg("magnitude").alias("magnitude"),
         F.avg("confidence").alias("confidence"),

@@ -233,7 +233,7 @@ def _(t):
     recent = S.trailing_n_events(t.history, [], "ts", "event_id", 1000)
     last = t.history.agg(F.to_date(F.max("ts")).alias("d"))
     targets = last.select(F.explode(F.sequence(F.date_add("d", 1), F.date_add("d", 7))).alias("date"))
-    out = ML.volume_forecast(model, recent, targets, "ts", "label", "date")
+    out = ML.volume_forecast(model, recent, targets, "ts", "label", "date", "1-URGENT")
     return rounded(out, "predicted_plays", "low", "high", "expected_sessions").select(
         F.col("date").cast("string").alias("date"), "predicted_plays", "low", "high", "expected_sessions", F.concat_ws(",", "peak_hours").alias("peak_hours")
     )

@@ -61,7 +61,7 @@ TYPE_SQL = "CASE WHEN signal LIKE '%urgent%' THEN 'cultural_shift' ELSE 'prefere
     ),
 )
 def _(t):
-    out = TS.merge_chain(points(t), [], "date", "signal").drop("group_no")
+    out = TS.merge_chain(points(t), [], "date", "signal", class_words=["urgent"]).drop("group_no")
     return dated(rounded(out, "magnitude", "confidence"))
 
 
