@@ -40,7 +40,7 @@ def modal(src: str, keys: str, value: str, name: str) -> str:
         f"""SELECT s.user_id, CAST(s.session_no AS BIGINT) AS session_no, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start_ts, count(*) AS plays,
         count(DISTINCT track_id) AS tracks, count(DISTINCT artist_id) AS artists, CAST(sum(ms_played) AS BIGINT) AS total_ms,
         CAST(sum(CASE WHEN {SKIP} THEN 1 ELSE 0 END) AS BIGINT) AS skips, min(m.modal_label) AS modal_label,
-        round((epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0, 6) AS duration_min,
+        round((epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0::DOUBLE + 1e-9, 6) AS duration_min,
         round(avg(CASE WHEN {SKIP} THEN 1.0 ELSE 0.0 END), 6) AS skip_rate
         FROM sess s JOIN m ON s.user_id = m.user_id AND s.session_no = m.session_no GROUP BY 1, 2""",
         "sess",
@@ -54,7 +54,7 @@ def _(t):
     return out.select(
         "user_id", "session_no", F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("start_ts"), "plays", "tracks",
         "artists", "total_ms", "skips", "modal_label",
-        *six(("duration_min", F.col("duration_min")), ("skip_rate", F.col("skip_rate"))),
+        *six(("duration_min", F.col("duration_min") + 1e-9), ("skip_rate", F.col("skip_rate"))),
     )
 
 
