@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +32,37 @@ def build_session(app: str = "encore", cores: str = "8", partitions: int = 8) ->
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder below the shared one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where none is configured (local tests) is a local one made.
+    Only a local master without that setting (tests) gets a folder of this
+    machine; any other master without it is an error, since each executor would
+    write to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = base or tempfile.mkdtemp(prefix="encore-", dir="/tmp")
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="encore-", dir="/tmp")
     return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per Spark application.
+
+    Python functions are pickled by reference, so workers must be able to import
+    ``encore`` wherever the driver was started from.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_encore_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="encore-zip-"), "encore.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(target)
+    context._encore_shipped = True
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage by a table written to the shared folder.
 
