@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from encore.llm.bpe import decode_names, encode_names
 from encore.llm.chat import format_conversations, read_conversations
 from encore.llm.exact import exact_duplicates
+from encore.llm.html_text import extract_text
+from encore.llm.tokens import count_tokens
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -29,6 +32,27 @@ def tracks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("track_id"), F.col("text").alias("track_name"))
 
 
+@query("op1_token_counts")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(tracks_of(spark, sf_dir), limit=1024).withColumnRenamed("track_id", "doc_id")
+
+
+@query("op3_html_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query("op4_bpe_round_trip")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = decode_names(encode_names(tracks_of(spark, sf_dir)))
+    return back.select(
+        F.col("track_id").alias("doc_id"),
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("track_name", 256).alias("decoded_sha256"),
+    )
+
+
 @query(
     "op8_exact_dedup",
     r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
