@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from encore.llm.bpe import decode_names, encode_names
 from encore.llm.chat import format_conversations, read_conversations
+from encore.llm.contamination import contaminated
 from encore.llm.exact import exact_duplicates
 from encore.llm.html_text import extract_text
 from encore.llm.tokens import count_tokens
+from encore.llm.toxicity import score_explicit
+from encore.llm.warc import normalise_archives, plan_records, read_archives, write_monolithic
+from encore.session import scratch_folder
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -37,6 +41,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(tracks_of(spark, sf_dir), limit=1024).withColumnRenamed("track_id", "doc_id")
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("track_id"), F.col("toxic").alias("explicit"))
+    return score_explicit(tracks_of(spark, sf_dir), labels).withColumnRenamed("track_id", "doc_id")
+
+
 @query("op3_html_text")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -53,6 +63,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumnRenamed("text", "item_name")
+    return contaminated(tracks_of(spark, sf_dir), items).withColumnRenamed("track_id", "doc_id")
+
+
+@query("op7_warc")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    archives = write_monolithic(plan_records(pages), f"{folder}/streams")
+    normalise_archives(archives, f"{folder}/archives")
+    return read_archives(spark, f"{folder}/archives").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query(
     "op8_exact_dedup",
     r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
