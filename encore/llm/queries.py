@@ -12,6 +12,7 @@ from encore.llm.chat import format_conversations, read_conversations
 from encore.llm.contamination import contaminated
 from encore.llm.exact import exact_duplicates
 from encore.llm.html_text import extract_text
+from encore.llm.near import near_duplicates
 from encore.llm.tokens import count_tokens
 from encore.llm.toxicity import score_explicit
 from encore.llm.warc import normalise_archives, plan_records, read_archives, write_monolithic
@@ -123,3 +124,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(learned, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op9_ngram_jaccard")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(tracks_of(spark, sf_dir), words=4, percent=85).withColumnRenamed("track_id", "doc_id")
