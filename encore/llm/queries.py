@@ -13,6 +13,7 @@ from encore.llm.contamination import contaminated
 from encore.llm.exact import exact_duplicates
 from encore.llm.html_text import extract_text
 from encore.llm.near import near_duplicates
+from encore.llm.quality import score_quality
 from encore.llm.tokens import count_tokens
 from encore.llm.toxicity import score_explicit
 from encore.llm.warc import normalise_archives, plan_records, read_archives, write_monolithic
@@ -64,6 +65,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plays = documents.selectExpr("doc_id AS track_id", "text AS track_name", "source AS platform", "lang AS conn_country", "n_chars AS ms_played")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", "track_id")
+    return score_quality(plays, labels).withColumnRenamed("track_id", "doc_id")
+
+
 @query("op6_decontamination")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumnRenamed("text", "item_name")
