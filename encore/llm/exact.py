@@ -21,6 +21,18 @@ def without_white(text: Column) -> Column:
     return text
 
 
+def first_copies(tracks: DataFrame, track_id: str = "track_id", track_name: str = "track_name") -> DataFrame:
+    """Whole rows of ``tracks``, all columns, one per group of ``exact_duplicates``.
+
+    Rows are found again by id, digest and length; of rows that agree in all three
+    one stays.
+    """
+    kept = exact_duplicates(tracks, track_id, track_name).where("kept").select(F.col(track_id).alias("__id"), F.col("text_sha256").alias("__sha"), F.col("name_chars").alias("__chars"))
+    keys = {"__key": F.sha2(without_white(F.col(track_name)), 256), "__size": F.length(F.coalesce(track_name, F.lit("")))}
+    same = F.col(track_id).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")) & (F.col("__size") == F.col("__chars"))
+    return tracks.withColumns(keys).join(kept, same, "left_semi").dropDuplicates([track_id, "__key", "__size"]).select(*tracks.columns)
+
+
 def exact_duplicates(tracks: DataFrame, track_id: str = "track_id", track_name: str = "track_name", salts: int = 64) -> DataFrame:
     """One row per track: the track that stays for its name and the size of its group.
 
@@ -37,7 +49,7 @@ def exact_duplicates(tracks: DataFrame, track_id: str = "track_id", track_name:
     stay only when no other id is there. Repeated rows count each, and one of
     them is kept. An empty table gives no rows. Other columns are ignored.
 
-    Columns: track_id, keep_id, group_size, kept, text_sha256.
+    Columns: track_id, keep_id, group_size, kept, text_sha256, name_chars (code points).
     """
     text = F.coalesce(F.col(track_name), F.lit(""))
     rows = tracks.select(F.col(track_id).alias("id"), F.length(text).alias("points"), without_white(F.col(track_name)).alias("norm"))
@@ -61,5 +73,5 @@ def exact_duplicates(tracks: DataFrame, track_id: str = "track_id", track_name:
     pieces = runs.select("digest", "size", "salt", "run").join(groups, ["digest", "size"])
     stays = first & (F.col("salt") == F.col("best.salt")) & (F.col("run") == F.col("best.run"))
     return slim.join(pieces, ["digest", "size", "salt", "run"]).select(
-        F.col("id").alias(track_id), F.col("best.id").alias("keep_id"), "group_size", stays.alias("kept"), F.col("digest").alias("text_sha256")
+        F.col("id").alias(track_id), F.col("best.id").alias("keep_id"), "group_size", stays.alias("kept"), F.col("digest").alias("text_sha256"), F.col("points").alias("name_chars")
     )

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from encore.llm.bpe import decode_names, encode_names
 from encore.llm.chat import format_conversations, read_conversations
 from encore.llm.contamination import contaminated
@@ -97,7 +98,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM g""",
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(tracks_of(spark, sf_dir)).withColumnRenamed("track_id", "doc_id")
+    found = exact_duplicates(tracks_of(spark, sf_dir))
+    return found.select(F.col("track_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
 SAID = "</s>[INST] ok [/INST]"
@@ -138,3 +140,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_ngram_jaccard")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(tracks_of(spark, sf_dir), words=4, percent=85).withColumnRenamed("track_id", "doc_id")
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from encore.llm.words import slices, texts
 from encore.session import ship_package
@@ -119,29 +120,23 @@ def held_out(track_id):
     return F.coalesce(F.crc32(track_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score_explicit(
-    tracks: DataFrame, labels: DataFrame, track_id: str = "track_id", track_name: str = "track_name", explicit: str = "explicit", max_rows: int = 20_000
+def with_score(
+    tracks: DataFrame,
+    labels: DataFrame,
+    track_id: str = "track_id",
+    track_name: str = "track_name",
+    explicit: str = "explicit",
+    score: str = "score",
+    max_rows: int = 20_000,
+    label_id: str = "track_id",
 ) -> DataFrame:
-    """Score every whole track name for toxicity as ``labels.explicit`` (0 or 1) marks it.
-
-    The machine is fitted on at most ``max_rows`` labelled names, chosen by a hash
-    of the id among those that are not held out; this bounds the broadcast of the
-    chosen ids and what reaches the driver (hash buckets only). It takes the terms
-    whose share differs most between the classes, and learns a weight per term
-    and, through their factors, one per pair of terms. All names are then scored
-    where they lie, without a shuffle; id, language and source are no inputs.
-
-    Null names are empty and get the score of no terms. Null labels and null ids
-    teach nothing; of repeated labels the largest counts. Without labels of both
-    classes every score is the smoothed base rate. An empty table gives no rows;
-    other columns are ignored.
-
-    Columns: track_id, held_out, score, predicted (1 if score >= 0.5).
-    """
+    """All rows and columns of ``tracks`` with a column ``score``; see ``score_explicit``."""
     spark = tracks.sparkSession
     ship_package(spark)
+    if score in tracks.columns:
+        raise ValueError(f"tracks has a column {score} already")
     rows = tracks.select(F.col(track_id).alias("id"), F.col(track_name).alias("name"))
-    marked = labels.select(F.col(track_id).alias("id"), F.col(explicit).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
+    marked = labels.select(F.col(label_id).alias("id"), F.col(explicit).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     taught = marked.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,13 +149,37 @@ def score_explicit(
     order = sorted(range(len(known)), key=lambda i: (zlib.crc32(known[i].tobytes()), known[i].tobytes()))
     y = np.asarray(sample["y"].to_pylist(), np.float64)
     sent = spark.sparkContext.broadcast(fit_machine([known[i] for i in order], y[order] if len(y) else y))
+    at = tracks.columns.index(track_name)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = sent.value
         for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(machine.score(texts(part.column(1))), pa.float64())], ["id", "score"])
+            scores = pa.array(machine.score(texts(part.column(at))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, score])
+
+    return tracks.mapInArrow(scored, StructType([*tracks.schema.fields, StructField(score, DoubleType())]))
+
 
-    kind = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInArrow(score, f"id {kind}, score double")
+def score_explicit(
+    tracks: DataFrame, labels: DataFrame, track_id: str = "track_id", track_name: str = "track_name", explicit: str = "explicit", max_rows: int = 20_000
+) -> DataFrame:
+    """Score every whole track name for toxicity as ``labels.explicit`` (0 or 1) marks it.
+
+    The machine is fitted on at most ``max_rows`` labelled names, chosen by a hash
+    of the id among those that are not held out; this bounds the broadcast of the
+    chosen ids and what reaches the driver (hash buckets only). It takes the terms
+    whose share differs most between the classes, and learns a weight per term
+    and, through their factors, one per pair of terms. All names are then scored
+    where they lie, without a shuffle; id, language and source are no inputs.
+
+    Null names are empty and get the score of no terms. Null labels and null ids
+    teach nothing; of repeated labels the largest counts. Without labels of both
+    classes every score is the smoothed base rate. An empty table gives no rows;
+    other columns are ignored.
+
+    Columns: track_id, held_out, score, predicted (1 if score >= 0.5).
+    """
+    rows = tracks.select(F.col(track_id).alias("id"), F.col(track_name).alias("name"))
+    scored = with_score(rows, labels, "id", "name", explicit, max_rows=max_rows, label_id=track_id)
     predicted = (F.col("score") >= 0.5).cast("int")
     return scored.select(F.col("id").alias(track_id), held_out(F.col("id")).alias("held_out"), "score", predicted.alias("predicted"))
