@@ -37,14 +37,14 @@ def expanding_splits(
 
 def ratio_split(df: DataFrame, ts: str, row_id: str, ratio: float = 0.8, cell: Column | HotCells | None = None) -> DataFrame:
     """First floor(n * ratio) rows by time are train."""
-    out = numbered(df, [], [ts, row_id], hot_cells(ts) if cell is None else cell)
+    out = numbered(df, [], [ts, row_id], hot_cells() if cell is None else cell)
     train = F.col("row_no") <= F.floor(F.col("row_count") * ratio)
     return out.withColumn("split", F.when(train, "train").otherwise("test")).drop("row_no", "row_count")
 
 
 def three_way_time_split(df: DataFrame, ts: str, row_id: str, test: float = 0.2, validation: float = 0.1) -> DataFrame:
     """Train, validation and test by time; validation and test sizes are truncated."""
-    out = numbered(df, [], [ts, row_id], hot_cells(ts))
+    out = numbered(df, [], [ts, row_id], hot_cells())
     n = F.col("row_count")
     n_test, n_val = F.floor(n * test), F.floor(n * validation)
     split = F.when(F.col("row_no") <= n - n_test - n_val, "train").when(F.col("row_no") <= n - n_test, "validation").otherwise("test")
@@ -53,7 +53,7 @@ def three_way_time_split(df: DataFrame, ts: str, row_id: str, test: float = 0.2,
 
 def _hash_rank(df: DataFrame, key: Sequence[str], strata: Sequence[str], seed: int) -> DataFrame:
     tagged = df.withColumn("__h", F.xxhash64(*key, F.lit(seed)))
-    return numbered(tagged, strata, ["__h", *key], HotCells(F.col("__h"))).drop("__h")
+    return numbered(tagged, strata, ["__h", *key], HotCells()).drop("__h")
 
 
 def seeded_split(df: DataFrame, key: Sequence[str], test: float = 0.2, validation: float = 0.1, strata: Sequence[str] = (), seed: int = 42) -> DataFrame:

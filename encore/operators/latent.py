@@ -14,7 +14,7 @@ from encore.functions import columns as C
 from encore.functions.tails import t_two_sided_col
 from encore.operators.quality import min_support, unpivot
 from encore.operators.ranking import top_k_per_group
-from encore.operators.scan import HotCells, numbered, order_value
+from encore.operators.scan import HotCells, numbered
 from encore.operators.stats import with_vector
 from encore.session import checkpointed
 
@@ -63,7 +63,7 @@ def feature_table(plays: DataFrame, tracks: DataFrame, ts: str, user: str, item:
             "high_energy_score": C.when_score(F.col("energy") > 0.7, first),
         }
     )
-    out = S.transition_flag(out, [user], [ts, row_id], label, hot_cells(ts))
+    out = S.transition_flag(out, [user], [ts, row_id], label, hot_cells())
     out = S.time_since_last_same(out, item, ts, row_id, "hours_since_track")
     out = S.group_count(out, item, "track_plays", "is_single_play")
     return S.user_totals(out, user, item, artist, first)
@@ -107,7 +107,7 @@ def interaction_matrix(
     # read three times below, so it is written once
     rated = checkpointed(cells.withColumn("rating", C.implicit_rating("__v")).drop("__v"))
     for key, idx in ((user, "user_idx"), (item, "item_idx")):
-        ids = numbered(rated.select(key).distinct(), [], [key], HotCells(order_value(rated, key), rows_per_cell))
+        ids = numbered(rated.select(key).distinct(), [], [key], HotCells(rows_per_cell))
         rated = rated.join(ids.select(key, (F.col("row_no") - 1).alias(idx)), key)
     return rated.select(user, item, "user_idx", "item_idx", "rating")
 

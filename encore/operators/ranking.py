@@ -43,7 +43,7 @@ def balanced_negatives(df: DataFrame, label: str, key: Sequence[str], ratio: int
     tagged = df.withColumn("__h", F.xxhash64(*key, F.lit(seed)))
     negatives = tagged.filter(~F.col(label))
     cap = df.filter(F.col(label)).select((F.count(F.lit(1)) * ratio).alias("cap")).scalar()
-    ranked = numbered(negatives, [], ["__h", *key], HotCells(F.col("__h")))
+    ranked = numbered(negatives, [], ["__h", *key], HotCells())
     kept = ranked.filter(F.col("row_no") <= cap).drop("row_no", "row_count", "__h")
     return df.filter(F.col(label)).unionByName(kept)
 

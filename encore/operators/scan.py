@@ -23,51 +23,55 @@ CELL = "__cell"
 FIRST, HERE = Window.unboundedPreceding, Window.currentRow
 
 
-PLAIN = "plain"  # every key is known to be small: an ordinary window will do
-
-
 class HotCells:
-    """Slices for busy keys only, each of about ``rows_per_cell`` rows or fewer.
+    """Slices for busy keys only, of about ``rows_per_cell / spread`` rows each.
+
+    A key with no more than ``rows_per_cell`` rows is one slice. A busier key is
+    cut at equi-depth splitters over the whole order columns of the operator
+    (numbers, times or texts, with their tie-breakers), so neither outliers nor
+    bursts nor a common start of texts fill one slice. The splitters come from a
+    hash sample of the key's rows; their number follows its row count, and their
+    quality only decides how even the slices are. At most rows / ``rows_per_cell``
+    keys are busy, which bounds the joined table of splitters.
+    """
 
-    Key sizes are counted first (a narrow, map-side combined aggregate). Without
-    a busy key the operators are ordinary windows over bounded keys.
+    SAMPLED = 8  # sampled rows per slice
 
-    A key with no more rows than that is one slice. A busier key is cut into
-    equal ranges of the order value, ``spread`` times as many as its row count
-    asks for, so that bursts stay small. At most rows / ``rows_per_cell`` keys
-    are busy, which bounds the joined table of their ranges.
-    """
+    def __init__(self, rows_per_cell: int = 1_000_000, spread: int = 4):
+        self.rows_per_cell, self.spread = rows_per_cell, spread
 
-    def __init__(self, order: Column, rows_per_cell: int = 1_000_000, spread: int = 8):
-        self.order, self.rows_per_cell, self.spread = order.cast("double"), rows_per_cell, spread
-        self.decided = False
-
-    def decide(self, df: DataFrame, keys: Sequence[str]) -> HotCells | str:
-        """``PLAIN`` when no key is busy, else these slices."""
-        if not self.decided:
-            sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-            if sizes.filter(F.col("__n") > self.rows_per_cell).isEmpty():
-                return PLAIN
-            self.decided = True
-        return self
-
-    def apply(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
-        t = self.order
-        n_cells = F.ceil(F.col("__n") * self.spread / self.rows_per_cell)
-        busy = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(t).alias("__lo"), F.max(t).alias("__hi"))
-        busy = busy.filter(F.col("__n") > self.rows_per_cell).select(
-            *keys, "__lo", F.try_divide(n_cells, F.col("__hi") - F.col("__lo")).alias("__per")
-        )
+    def apply(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+        at = F.struct(*order)
+        size = F.count(F.lit(1)).alias("__hc_n")
+        narrow = df.select(*dict.fromkeys([*keys, *order]))
+        cells = F.ceil(F.col("__hc_n") * self.spread / self.rows_per_cell).cast("int")
+        busy = F.col("__hc_n") > self.rows_per_cell
+        if keys:
+            counted = narrow.join(narrow.groupBy(*keys).agg(size).filter(busy), list(keys))
+        else:
+            counted = narrow.withColumn("__hc_n", narrow.select(size).scalar()).filter(busy)
+        drawn = counted.filter(F.pmod(F.xxhash64(*keys, *order), F.col("__hc_n")) < cells * self.SAMPLED)
+        sample = drawn.groupBy(*keys).agg(F.max(cells).alias("__hc_c"), F.sort_array(F.collect_set(at)).alias("__hc_s"))
+        pick = lambda i: F.element_at("__hc_s", F.floor(i * F.size("__hc_s") / F.col("__hc_c")).cast("int") + 1)
+        fine = F.when(F.col("__hc_c") > 1, F.transform(F.sequence(F.lit(1), F.col("__hc_c") - 1), pick))
+        step = F.ceil(F.sqrt("__hc_c")).cast("int").alias("__hc_w")
+        every = F.filter("__hc_fine", lambda s, i: (i + 1) % F.col("__hc_w") == 0).alias("__hc_coarse")
+        splits = sample.select(*keys, step, fine.alias("__hc_fine")).select(*keys, "__hc_w", "__hc_fine", every)
         if keys:
-            out = df.join(busy, list(keys), "left")
+            out = df.join(splits, list(keys), "left")
         else:
-            out = df.withColumn("__b", busy.select(F.struct("__lo", "__per")).scalar()).select("*", "__b.*").drop("__b")
-        return out.withColumn(CELL, F.coalesce(F.floor((t - F.col("__lo")) * F.col("__per")), F.lit(0))).drop("__lo", "__per")
+            out = df.withColumn("__hc_b", splits.select(F.struct("__hc_w", "__hc_fine", "__hc_coarse")).scalar()).select("*", "__hc_b.*").drop("__hc_b")
+        # two steps: among every w-th splitter, then among the w - 1 that follow
+        first = F.size(F.filter("__hc_coarse", lambda s: s <= at))
+        rest = F.slice("__hc_fine", F.col("__hc_first") * F.col("__hc_w") + 1, F.col("__hc_w") - 1)
+        cell = F.col("__hc_first") * F.col("__hc_w") + F.size(F.filter(rest, lambda s: s <= at))
+        out = out.withColumn("__hc_first", F.when(F.col("__hc_w").isNotNull(), first))
+        return out.withColumn(CELL, F.coalesce(cell, F.lit(0)).cast("long")).drop("__hc_w", "__hc_fine", "__hc_coarse", "__hc_first")
 
 
-def hot_cells(ts: str | Column, rows_per_cell: int = 1_000_000) -> HotCells:
-    """Slices of a timestamp for busy keys."""
-    return HotCells(F.unix_micros(ts), rows_per_cell)
+def hot_cells(rows_per_cell: int = 1_000_000) -> HotCells:
+    """Slices of the operator's order columns for busy keys."""
+    return HotCells(rows_per_cell)
 
 
 def time_cell(ts: str | Column, seconds: int = DAY) -> Column:
@@ -82,29 +86,11 @@ def number_cell(col: str | Column, width: int) -> Column:
     return F.floor(col / F.lit(width))
 
 
-Cells = Column | HotCells | str
-
+Cells = Column | HotCells
 
-def decide(df: DataFrame, keys: Sequence[str], cell: Cells) -> Cells:
-    """Settle once whether any key needs slices; the answer can be passed on to further operators."""
-    return cell.decide(df, keys) if isinstance(cell, HotCells) else cell
 
-
-def is_plain(cell: Cells) -> bool:
-    return isinstance(cell, str) and cell == PLAIN
-
-
-def with_cells(df: DataFrame, keys: Sequence[str], cell: Cells) -> DataFrame:
-    if is_plain(cell):
-        return df.withColumn(CELL, F.lit(0))
-    return cell.apply(df, keys) if isinstance(cell, HotCells) else df.withColumn(CELL, cell)
-
-
-def order_value(df: DataFrame, key: str) -> Column:
-    """A number that never decreases with the key: the key itself, or the first six bytes of a text."""
-    if dict(df.dtypes)[key] == "string":
-        return F.conv(F.rpad(F.substring(F.hex(key), 1, 12), 12, "0"), 16, 10).cast("double")
-    return F.col(key).cast("double")
+def with_cells(df: DataFrame, keys: Sequence[str], cell: Cells, order: Sequence[str]) -> DataFrame:
+    return cell.apply(df, keys, order) if isinstance(cell, HotCells) else df.withColumn(CELL, cell)
 
 
 def with_depth_cell(df: DataFrame, col: str, keys: Sequence[str] = (), width: int = 32) -> DataFrame:
@@ -145,11 +131,10 @@ def segment_rows(
     row), ``is_start``, ``segment_no``, ``row_no`` and ``position`` (1-based).
     """
     keys = list(keys)
-    cell = decide(df, keys, cell)
     w = Window.partitionBy(*keys, CELL).orderBy(*order)
     upto = w.rowsBetween(FIRST, HERE)
     local = (
-        with_cells(df, keys, cell)
+        with_cells(df, keys, cell, order)
         .withColumn("__cur", F.struct(*carry))
         .withColumn("__prev", F.lag("__cur").over(w))
         .withColumn("__rn", F.row_number().over(w))
@@ -161,15 +146,6 @@ def segment_rows(
         .withColumn("__start", F.max(F.when(F.col("__new") == 1, F.col("__rn"))).over(upto))
     )
     added = ["prev", "is_start", "segment_no", "row_no", "position"]
-    if is_plain(cell):
-        return (
-            local.withColumn("prev", F.col("__prev"))
-            .withColumn("is_start", F.coalesce(F.col("__new"), F.lit(1)) == 1)
-            .withColumn("segment_no", F.col("__seg") + 1)
-            .withColumn("row_no", F.col("__rn").cast("long"))
-            .withColumn("position", F.col("row_no") - F.coalesce("__start", F.lit(1)) + 1)
-            .select(*df.columns, *added)
-        )
     at = F.struct(*order)
     wk = Window.partitionBy(*keys).orderBy(CELL)
     past = wk.rowsBetween(FIRST, -1)
@@ -222,15 +198,10 @@ def neighbours(
 ) -> DataFrame:
     """Previous (and with ``forward`` next) row of the same key as struct columns ``prev`` / ``next``."""
     keys = list(keys)
-    cell = decide(df, keys, cell)
     w = Window.partitionBy(*keys, CELL).orderBy(*order)
     wk = Window.partitionBy(*keys).orderBy(CELL)
     cur, at = F.struct(*cols), F.struct(*order)
-    base = with_cells(df, keys, cell)
-    if is_plain(cell):
-        out = base.withColumn("prev", F.lag(cur).over(w))
-        out = out.withColumn("next", F.lead(cur).over(w)) if forward else out
-        return out.drop(CELL)
+    base = with_cells(df, keys, cell, order)
     aggs = [F.max_by(cur, at).alias("__last")] + ([F.min_by(cur, at).alias("__first")] if forward else [])
     edges = base.groupBy(*keys, CELL).agg(*aggs).withColumn("__in", F.lag("__last").over(wk))
     out = base.withColumn("prev", F.lag(cur).over(w))
@@ -246,14 +217,9 @@ def neighbours(
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Cells) -> DataFrame:
     """1-based ``row_no`` in key order and ``row_count`` of the key."""
     keys = list(keys)
-    cell = decide(df, keys, cell)
     wk = Window.partitionBy(*keys).orderBy(CELL)
     whole = Window.partitionBy(*keys)
-    base = with_cells(df, keys, cell)
-    if is_plain(cell):
-        w = Window.partitionBy(*keys, CELL)
-        row_no = F.row_number().over(w.orderBy(*order)).cast("long")
-        return base.withColumns({"row_no": row_no, "row_count": F.count(F.lit(1)).over(w)}).drop(CELL)
+    base = with_cells(df, keys, cell, order)
     counts = (
         base.groupBy(*keys, CELL)
         .agg(F.count(F.lit(1)).alias("__n"))
@@ -286,11 +252,8 @@ def haloed(
     are copied, and Spark limits them per map task before the shuffle.
     """
     keys, order = list(keys), list(order)
-    cell = decide(df, keys, cell)
     need = list(dict.fromkeys([*order, *cols]))
-    base = with_cells(df, keys, cell)
-    if is_plain(cell):
-        return base.withColumn("__ghost", F.lit(False)), Window.partitionBy(*keys, CELL).orderBy(*order)
+    base = with_cells(df, keys, cell, order)
     wk = Window.partitionBy(*keys).orderBy(CELL)
     out = base.withColumn("__ghost", F.lit(False))
 

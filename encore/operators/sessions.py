@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from encore.functions.columns import time_of_day_bands
 from encore.operators.joins import attach_group_stats, membership
 from encore.operators.ranking import top_k_per_group
-from encore.operators.scan import Cells, decide, drop_ghosts, haloed, hot_cells, neighbours, numbered, segment_rows, time_cell
+from encore.operators.scan import Cells, drop_ghosts, haloed, hot_cells, neighbours, numbered, segment_rows, time_cell
 
 
 def _cells(ts: str, seconds: int | None) -> Cells:
-    return hot_cells(ts) if seconds is None else time_cell(ts, seconds)
+    return hot_cells() if seconds is None else time_cell(ts, seconds)
 
 
 def sessionize(
@@ -47,7 +47,7 @@ def derive_users(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(ts, row_id)).alias("__first")
     )
     kept = users.filter(F.col("n") >= min_rows).withColumns({"__t": F.col(f"__first.{ts}"), "__i": F.col(f"__first.{row_id}")})
-    named = numbered(kept, [], ["__t", "__i"], hot_cells("__t")).select(
+    named = numbered(kept, [], ["__t", "__i"], hot_cells()).select(
         *group, F.format_string("user_%04d", F.col("row_no") - 1).alias("derived_user")
     )
     return tagged.join(named, group)
@@ -183,7 +183,6 @@ def transitions_after_run(
     length, so one segmented pass and one neighbour pass are enough.
     """
     known = df.filter(F.col(label).isNotNull() & (F.col(label) != unknown))
-    cell = decide(known, keys, cell)
     seg = segment_rows(known, keys, [ts, row_id], [label], lambda p, c: p[label] != c[label], cell)
     seg = seg.withColumn("from_label", F.col("prev")[label]).drop("prev")
     near = neighbours(seg, keys, [ts, row_id], ["position"], cell)

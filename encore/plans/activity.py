@@ -696,7 +696,7 @@ def _(t):
     ),
 )
 def _(t):
-    moves = S.adjacent_transitions(t.plays, ["user_id"], "ts", "event_id", "label", hot_cells("ts"), ["track_id"], "error")
+    moves = S.adjacent_transitions(t.plays, ["user_id"], "ts", "event_id", "label", hot_cells(), ["track_id"], "error")
     return A.transition_counts(moves, "ts").withColumn("mean_gap", F.round("mean_gap", 6))
 
 

@@ -67,7 +67,7 @@ def _(t):
     ),
 )
 def _(t):
-    nxt = S.next_label(t.plays, ["user_id"], ["ts", "event_id"], "label", hot_cells("ts"))
+    nxt = S.next_label(t.plays, ["user_id"], ["ts", "event_id"], "label", hot_cells())
     out = B.gateway_items(nxt, "track_id", "label", "next_label", unknown="error")
     text = F.concat_ws(",", F.transform(F.map_entries("moves"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
     return rounded(out.withColumn("moves", text), "transition_rate")

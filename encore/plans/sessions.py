@@ -56,7 +56,7 @@ def _(t):
 )
 def _(t):
     sized = S.position_in_group(sess(t), ["user_id", "session_no"], "session_position")
-    users = numbered(sized, ["user_id"], ["ts", "event_id"], hot_cells("ts"))
+    users = numbered(sized, ["user_id"], ["ts", "event_id"], hot_cells())
     return users.select(
         "event_id", "session_position", F.round("share_of_group", 6).alias("relative"), (F.col("row_no") - 1).alias("user_position")
     )
@@ -86,7 +86,7 @@ def _(t):
     coalesce(role <> lag(role) OVER w, false) AS is_transition FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
 )
 def _(t):
-    out = S.neighbor_labels(t.conversations, ["conv_id"], ["turn"], "role", HotCells(F.col("turn")))
+    out = S.neighbor_labels(t.conversations, ["conv_id"], ["turn"], "role", HotCells())
     return out.select(
         "conv_id", "turn", F.coalesce("prev_label", F.lit("-")).alias("prev_label"),
         F.coalesce("next_label", F.lit("-")).alias("next_label"), "is_transition",
@@ -101,7 +101,7 @@ def _(t):
     ),
 )
 def _(t):
-    out = S.transition_flag(t.plays, [], ["ts", "event_id"], "label", hot_cells("ts"))
+    out = S.transition_flag(t.plays, [], ["ts", "event_id"], "label", hot_cells())
     return out.select("event_id", "label_transition")
 
 
@@ -116,7 +116,7 @@ def _(t):
 )
 def _(t):
     rows = t.plays.withColumn("v", F.when((F.col("label") != "error") | (F.col("value") > 20), F.col("value")))
-    out = S.rolling_mean_last_n(rows, ["user_id"], ["ts", "event_id"], "v", hot_cells("ts"))
+    out = S.rolling_mean_last_n(rows, ["user_id"], ["ts", "event_id"], "v", hot_cells())
     return out.select("event_id", F.round(F.coalesce("rolling_mean", F.lit(-1.0)) + 1e-9, 6).alias("rolling_mean"))
 
 
@@ -242,7 +242,7 @@ def _(t):
     ),
 )
 def _(t):
-    out = S.runs(t.plays, ["user_id"], ["ts", "event_id"], "label", hot_cells("ts"))
+    out = S.runs(t.plays, ["user_id"], ["ts", "event_id"], "label", hot_cells())
     return out.select("user_id", "label", "run_length", F.date_format("run_start", "yyyy-MM-dd HH:mm:ss").alias("run_start"))
 
 
@@ -258,7 +258,7 @@ TRANSITIONS = f"""SELECT user_id, event_id, ts, track_id, prev_label AS from_lab
 
 def after_runs(t):
     return S.transitions_after_run(
-        t.plays, ["user_id"], "ts", "event_id", "label", hot_cells("ts"), ["click", "view"], 2, "error", ["track_id"]
+        t.plays, ["user_id"], "ts", "event_id", "label", hot_cells(), ["click", "view"], 2, "error", ["track_id"]
     )
 
 
@@ -280,7 +280,7 @@ def _(t):
     ),
 )
 def _(t):
-    out = S.adjacent_transitions(t.plays, ["user_id"], "ts", "event_id", "label", hot_cells("ts"), ["track_id"], "error")
+    out = S.adjacent_transitions(t.plays, ["user_id"], "ts", "event_id", "label", hot_cells(), ["track_id"], "error")
     return out.select(
         "event_id", "from_label", "to_label", F.round(F.col("gap_minutes") + 1e-9, 6).alias("gap_minutes"), "track_id_before", "track_id_after"
     )
@@ -291,7 +291,7 @@ def _(t):
     sql(f"SELECT event_id, track_id, coalesce(lead(label) OVER {W}, '-') AS next_label FROM plays", "plays"),
 )
 def _(t):
-    out = S.next_label(t.plays, ["user_id"], ["ts", "event_id"], "label", hot_cells("ts"))
+    out = S.next_label(t.plays, ["user_id"], ["ts", "event_id"], "label", hot_cells())
     return out.select("event_id", "track_id", F.coalesce("next_label", F.lit("-")).alias("next_label"))
 
 
@@ -400,7 +400,7 @@ EXPOSURE = """SELECT user_id, event_id, len(list_distinct(b)) / 5 AS diversity_b
 
 
 def exposures(t):
-    return S.exposure_windows(t.plays, ["user_id"], ["ts", "event_id"], "label", F.col("track_id") < 20, hot_cells("ts"))
+    return S.exposure_windows(t.plays, ["user_id"], ["ts", "event_id"], "label", F.col("track_id") < 20, hot_cells())
 
 
 @query("g24_exposure_windows", sql(EXPOSURE, "plays"))
@@ -544,7 +544,7 @@ def _(t):
     sql("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS row_no FROM history", "history"),
 )
 def _(t):
-    return numbered(t.history, [], ["ts", "event_id"], hot_cells("ts")).select("event_id", "row_no")
+    return numbered(t.history, [], ["ts", "event_id"], hot_cells()).select("event_id", "row_no")
 
 
 # ---- I -------------------------------------------------------------------

@@ -311,7 +311,7 @@ HORIZONS = [1, 7, 14, 30, 60, 90, 180, 360]
 def curve(t):
     from encore.operators.scan import hot_cells, neighbours
 
-    near = neighbours(t.history, ["user_id"], ["ts", "event_id"], ["ts"], hot_cells("ts")).filter("prev IS NOT NULL")
+    near = neighbours(t.history, ["user_id"], ["ts", "event_id"], ["ts"], hot_cells()).filter("prev IS NOT NULL")
     gaps = near.select(F.col("label").alias("series"), F.datediff("ts", F.col("prev.ts")).alias("gap"))
     rows = gaps.groupBy("series").agg(
         *[F.avg((F.col("gap") > h).cast("double")).alias(f"h{h}") for h in HORIZONS]

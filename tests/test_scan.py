@@ -24,7 +24,7 @@ WIDTHS = [1, 37, 400, 100000, "hot"]
 
 def cell(width):
     """A fixed width, or adaptive slices small enough to cut the busy key."""
-    return scan.HotCells(F.col("t"), 50, 2) if width == "hot" else scan.number_cell("t", width)
+    return scan.HotCells(50, 2) if width == "hot" else scan.number_cell("t", width)
 
 
 @pytest.mark.parametrize("width", WIDTHS)
