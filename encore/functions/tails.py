@@ -11,8 +11,11 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from encore.session import ship_package
+
 
 def _betacf(a: float, b: float, x: float) -> float:
     tiny, c = 1e-300, 1.0
@@ -102,6 +105,8 @@ def binomial_upper(k: float, n: float, p: float) -> float:
 
 def _column(fn):
     def evaluate(*cols):
+        ship_package(SparkSession.active())
+
         @F.pandas_udf("double")
         def tail(*series: pd.Series) -> pd.Series:
             rows = zip(*[s.astype("float64") for s in series])

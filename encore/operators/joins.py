@@ -110,14 +110,12 @@ def consecutive_pairs(df: DataFrame, item: str, period_no: str, value: str) -> D
     return cur.join(nxt, ["period", item])
 
 
-def score_each(candidates: DataFrame, rows: Sequence[dict], limit: int = 64) -> DataFrame:
+def score_each(candidates: DataFrame, rows: Sequence[dict]) -> DataFrame:
     """Every candidate beside each of a few literal profiles, without a join.
 
-    The profiles are parameters of the plan (their number is checked), so the
-    rows are generated in place and no cross product is shuffled or broadcast.
+    The profiles are parameters of the plan, so the rows are generated in place
+    and no cross product is shuffled or broadcast.
     """
-    if len(rows) > limit:
-        raise ValueError(f"{len(rows)} literal profiles; at most {limit}")
 
     def lit(v):
         if isinstance(v, (list, tuple)):

@@ -124,8 +124,15 @@ def _combine(df: DataFrame, keep: Sequence[str], old: Sequence[str], new: Sequen
 
 
 def _gram(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """k x k inner products of the factor columns: one aggregate row."""
+    """k x k inner products of the factor columns; beyond what one aggregate row holds, grouped by (i, j)."""
     k = len(cols)
+    if k > 64:
+        both = df.select(F.array(*cols).alias("v")).select(F.posexplode("v").alias("i", "x"), "v").select("i", "x", F.posexplode("v").alias("j", "y"))
+        sums = both.filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g")).collect()
+        out = np.zeros((k, k))
+        for r in sums:
+            out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["g"] or 0.0
+        return out
     row = df.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
     out = np.zeros((k, k))
     for i in range(k):
@@ -141,7 +148,6 @@ def svd_factors(matrix: DataFrame, user: str, item: str, rating: str, k: int = 2
     join and a map-side combined sum. Only k x k inner products reach the
     driver. Each round is checkpointed, so lost executors repeat one round.
     """
-    k = min(k, 64)
     cols = [f"f{i}" for i in range(k)]
     data = checkpointed(matrix.select(user, item, F.col(rating).cast("double").alias("__x")))
     noise = [(F.pmod(F.xxhash64(item, F.lit(seed + i)), F.lit(20011)) / 10005.5 - 1).alias(c) for i, c in enumerate(cols)]
@@ -168,7 +174,12 @@ def svd_factors(matrix: DataFrame, user: str, item: str, rating: str, k: int = 2
 
 
 def nmf_factors(matrix: DataFrame, user: str, item: str, rating: str, k: int = 15, reg: float = 0.01, seed: int = 42, iterations: int = 10):
-    """Non-negative factorisation of max(x, 0) by alternating least squares: (user factors, item factors, error)."""
+    """Non-negative factorisation of max(x, 0) by alternating least squares: (user factors, item factors, error).
+
+    The library takes 32-bit ids, so ``user`` and ``item`` are contiguous indices
+    (``interaction_matrix`` numbers them) of at most 2^31 users and items; a larger
+    one is an error under ANSI casts.
+    """
     data = matrix.select(F.col(user).cast("int").alias("u"), F.col(item).cast("int").alias("i"), F.greatest(rating, F.lit(0.0)).alias("x"))
     als = ALS(rank=k, maxIter=iterations, regParam=reg, nonnegative=True, userCol="u", itemCol="i", ratingCol="x", seed=seed)
     model = als.fit(data)

@@ -178,9 +178,9 @@ def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def impute_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Nulls to the column mean."""
-    for c in cols:
-        df = df.withColumn(c, F.coalesce(F.col(c).cast("double"), df.select(F.avg(c)).scalar()))
-    return df
+    means = df.select(F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
+    out = df.withColumn("__m", means)
+    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col("__m")[c]) for c in cols}).drop("__m")
 
 
 def fill_forward_backward(df: DataFrame, cols: Sequence[str], date: str, keys: Sequence[str]) -> DataFrame:

@@ -28,7 +28,7 @@ from encore.functions.tails import (
 )
 from encore.operators.scan import exact_quantiles, value_counts_below
 from encore.operators.timeseries import anova, spaced_change_points
-from encore.session import checkpointed
+from encore.session import checkpointed, ship_package
 
 ALPHA = 0.05
 
@@ -177,6 +177,7 @@ def _solve_t2(diff: pd.Series, cov: pd.Series, na: pd.Series, nb: pd.Series) ->
 
 def hotelling_t2(df: DataFrame, features: Sequence[str], group: str, a, b, ridge: float = 1e-6) -> DataFrame:
     """Pooled covariance from pairwise aggregates in one pass; a k x k solve on the one result row."""
+    ship_package(df.sparkSession)
     k, aggs = len(features), []
     conds = {"a": F.col(group) == a, "b": F.col(group) == b}
     for g, cond in conds.items():
@@ -314,12 +315,13 @@ def adjusted_rand_index(df: DataFrame, a: str, b: str, keys: Sequence[str] = ())
 def poisson_weight(*cols: str | Column) -> Column:
     """Poisson(1) draw from a hash of the given columns: a resample that never depends on partitioning."""
     u = F.pmod(F.xxhash64(*cols), F.lit(2**31 - 1)) / F.lit(float(2**31 - 1))
-    out, p, total = None, float(np.exp(-1.0)), 0.0
-    for i in range(9):
+    out, p, total, i = None, float(np.exp(-1.0)), 0.0, 0
+    while 1.0 - total > 2.0**-32:  # what is left is below the resolution of the hash
         total += p
         out = F.when(u < total, i) if out is None else out.when(u < total, i)
-        p /= i + 1
-    return out.otherwise(9)
+        i += 1
+        p /= i
+    return out.otherwise(i)
 
 
 def bootstrap_ci(df: DataFrame, x: str, row_id: Sequence[str], replicates: int = 1000, level: float = 0.95, seed: int = 42, median: bool = False) -> DataFrame:

@@ -39,10 +39,17 @@ def shown(df):
     )
 
 
+def write_json_arrays(df, path, part):
+    """Input of the history reader: one JSON array per value of ``part``, which cuts the rows into small pieces."""
+    cols = [c for c in df.columns if c != part]
+    arrays = df.groupBy(part).agg(F.to_json(F.collect_list(F.struct(*cols))).alias("value"))
+    arrays.write.mode("overwrite").partitionBy(part).text(path)
+
+
 @query("a1_read_history_json", sql(PARSED, "plays"))
 def _(t):
     folder = scratch_folder(t.spark)
-    W.write_json_arrays(exported(t), folder, "part")
+    write_json_arrays(exported(t), folder, "part")
     return shown(R.parse_history(R.read_history_json(t.spark, folder, "part-*")))
 
 
@@ -162,8 +169,7 @@ def _(t):
     rows = monthly(t.orders, F.date_format("o_orderdate", "yyyy-MM"))
     rows.repartition("month").write.partitionBy("month").json(folder)
     name = F.regexp_extract(F.col("_metadata.file_path"), "/(month=[^/]+)/", 1)
-    texts = t.spark.read.option("wholetext", True).option("recursiveFileLookup", "true").text(folder).select(name.alias("name"), F.col("value").alias("payload"))
-    latest = R.latest_result(texts)
+    latest = R.read_latest_result(t.spark, folder).select("payload", name.alias("name"))
     return latest.select("name", F.from_json("payload", "n bigint, total double").alias("r")).select("name", "r.n", "r.total")
 
 

@@ -11,17 +11,20 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "encore", cores: str = "8", partitions: int = 8) -> SparkSession:
+def build_session(app: str = "encore", cores: str | None = None, partitions: int | None = None) -> SparkSession:
+    """A session; master, partitions and broadcast threshold are the cluster's unless a number of local cores is asked for."""
+    builder = SparkSession.builder
+    if cores is not None:
+        builder = builder.master(f"local[{cores}]").config("spark.sql.autoBroadcastJoinThreshold", "64m")
+    if partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", str(partitions))
+        builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", os.environ.get("ENCORE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.autoBroadcastJoinThreshold", "64m")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

@@ -61,16 +61,16 @@ def parse_history(raw: DataFrame) -> DataFrame:
     return raw.select(*cols).filter(F.col("played_at").isNotNull())
 
 
-def spread_map(df: DataFrame, col: str, keys: Sequence[str] | None = None, prefix: str = "audio_", limit: int = 64) -> DataFrame:
-    """Map entries as ``<prefix><key>`` columns. Undeclared keys are listed first; their number is checked."""
-    if keys is None:
-        found = df.select(F.explode(F.map_keys(col)).alias("k")).distinct().orderBy("k").limit(limit + 1).collect()
-        if len(found) > limit:
-            raise ValueError(f"more than {limit} keys in {col}; declare the wanted ones")
-        keys = [r["k"] for r in found]
+def spread_map(df: DataFrame, col: str, keys: Sequence[str], prefix: str = "audio_") -> DataFrame:
+    """Declared map entries as ``<prefix><key>`` columns; for keys that are not known beforehand see ``map_rows``."""
     return df.select(*[c for c in df.columns if c != col], *[F.try_element_at(col, F.lit(k)).alias(prefix + k) for k in keys])
 
 
+def map_rows(df: DataFrame, col: str, keep: Sequence[str]) -> DataFrame:
+    """Every entry of a map as a row (kept columns, key, value), whatever its keys."""
+    return df.select(*keep, F.explode(col).alias("key", "value"))
+
+
 PLAY_ITEM = (
     "struct<played_at:string,track:struct<id:string,name:string,artists:array<struct<id:string,name:string>>,"
     "album:struct<id:string,name:string,release_date:string>,duration_ms:bigint,popularity:int,explicit:boolean,"
@@ -151,7 +151,9 @@ def read_events_parquet(spark: SparkSession, path: str, ts: str) -> DataFrame:
     df = spark.read.parquet(path)
     if df.isEmpty():
         raise ValueError(f"no rows in {path}")
-    return df.withColumn(ts, F.try_to_timestamp(F.col(ts).cast("string")))
+    if dict(df.dtypes)[ts] != "string":  # already typed, so filters on it reach the scan
+        return df
+    return df.withColumn(ts, F.try_to_timestamp(ts))
 
 
 def read_result_json(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
@@ -160,6 +162,9 @@ def read_result_json(spark: SparkSession, folder: str, pattern: str = "*.json")
     return reader.text(folder).select(file_stem().alias("name"), F.col("value").alias("payload"))
 
 
-def latest_result(results: DataFrame) -> DataFrame:
-    """The result whose name sorts last."""
-    return results.agg(F.max("name").alias("name"), F.max_by("payload", "name").alias("payload"))
+def read_latest_result(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
+    """(name, payload) of the result file whose path sorts last; of the others only the names are listed."""
+    last = matching_files(spark, folder, pattern).agg(F.max("path")).first()[0]
+    if last is None:
+        raise FileNotFoundError(f"no file matches {pattern} in {folder}")
+    return read_result_json(spark, last)

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 def write_parquet(df: DataFrame, path: str, ts: str | None = None) -> None:
     """Overwrite; with a time column, partitioned by month so that later time slices prune folders.
 
-    Rows are spread by month and a hash, so one busy month is not one task.
+    Rows are cut into ranges of about equal size by time, so a busy month takes
+    several tasks and files, and short months share a task.
     """
     if ts is None:
         df.write.mode("overwrite").parquet(path)
         return
     dated = df.withColumn("month", F.date_format(ts, "yyyy-MM"))
-    dated.repartition("month", F.pmod(F.hash(ts), F.lit(16))).write.mode("overwrite").partitionBy("month").parquet(path)
+    dated.repartitionByRange("month", ts).write.mode("overwrite").partitionBy("month").parquet(path)
 
 
 def write_csv(tables: Mapping[str, DataFrame], folder: str, stamp: str) -> dict[str, str]:
@@ -35,13 +36,6 @@ def write_json_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_json_arrays(df: DataFrame, path: str, part: str) -> None:
-    """One JSON array per value of the ``part`` column, which must cut the rows into small pieces."""
-    cols = [c for c in df.columns if c != part]
-    arrays = df.groupBy(part).agg(F.to_json(F.collect_list(F.struct(*cols))).alias("value"))
-    arrays.write.mode("overwrite").partitionBy(part).text(path)
-
-
 def save_model(model: PipelineModel | Pipeline, path: str) -> None:
     model.write().overwrite().save(path)
 

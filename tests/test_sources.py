@@ -30,18 +30,17 @@ def test_playlists_with_different_headers(spark, tmp_path):
     assert R.read_playlists_csv(spark, str(tmp_path), mixed_headers=True, max_files=1).count() == 1
 
 
-def test_spread_map_lists_keys(rows):
+def test_declared_and_undeclared_map_keys(rows):
     df = rows([(1, {"a": 1.0}), (2, {"b": 2.0})], "id int, m map<string,double>")
-    out = R.spread_map(df, "m").orderBy("id").collect()
+    out = R.spread_map(df, "m", ["a", "b"]).orderBy("id").collect()
     assert [(r.audio_a, r.audio_b) for r in out] == [(1.0, None), (None, 2.0)]
-    with pytest.raises(ValueError):
-        R.spread_map(df, "m", limit=1)
+    assert sorted(map(tuple, R.map_rows(df, "m", ["id"]).collect())) == [(1, "a", 1.0), (2, "b", 2.0)]
 
 
 def test_latest_result_and_parquet(spark, rows, tmp_path):
     for name in ("r_1", "r_2"):
         (tmp_path / f"{name}.json").write_text(json.dumps({"n": name}))
-    last = R.latest_result(R.read_result_json(spark, str(tmp_path))).first()
+    last = R.read_latest_result(spark, str(tmp_path)).first()
     assert last.name == "r_2" and json.loads(last.payload) == {"n": "r_2"}
     path = str(tmp_path / "empty")
     W.write_parquet(rows([], "ts timestamp"), path)
