@@ -367,9 +367,13 @@ def yearly_class_ratio(df: DataFrame, ts: str, artist: str, is_class: Column, k:
 
 
 def transition_counts(transitions: DataFrame, ts: str, k: int = 5) -> DataFrame:
-    """Directions by count with their mean gap, the k most common first."""
+    """Directions by count with their mean gap and their counts by hour (0 to 23), the k most common first."""
+    hours = F.array(*[F.count_if(F.hour(ts) == h) for h in range(24)]).cast("array<string>")
     by = transitions.groupBy("from_label", "to_label").agg(
-        F.count("*").alias("n"), F.avg("gap_minutes").alias("mean_gap"), F.mode(F.hour(ts), True).alias("modal_hour")
+        F.count("*").alias("n"),
+        F.avg("gap_minutes").alias("mean_gap"),
+        F.mode(F.hour(ts), True).alias("modal_hour"),
+        F.array_join(hours, ",").alias("by_hour"),
     )
     return by.orderBy(F.desc("n"), "from_label", "to_label").limit(k)
 
@@ -410,6 +414,21 @@ def artist_deep_dive(df: DataFrame, artist: str, chosen: Sequence, ts: str, labe
     return base.join(lists, artist).withColumn("months", text).drop("r")
 
 
+def playlist_totals(df: DataFrame, item: str, group: str, added: str) -> DataFrame:
+    """Overall rows for ``playlist_insights``: tracks, unique tracks, playlists, and the range of dates."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    facts = {
+        "tracks": F.count("*"),
+        "unique_tracks": F.countDistinct(item),
+        "playlists": F.countDistinct(group),
+        "first_added": day(F.min(added)),
+        "last_added": day(F.max(added)),
+    }
+    row = df.agg(*[c.cast("string").alias(k) for k, c in facts.items()])
+    pairs = ", ".join(f"'{k}', {k}" for k in facts)
+    return row.selectExpr("'overall' AS kind", f"stack({len(facts)}, {pairs}) AS (subject, detail)")
+
+
 def playlist_insights(profile: DataFrame, ext: DataFrame, multi: DataFrame, group: str, min_classes: int = 3, min_groups: int = 3) -> DataFrame:
     """One (kind, subject, detail) table from the profile, extreme and multi-group tables."""
     diverse = profile.filter(F.col("diversity") >= min_classes).select(

@@ -123,9 +123,9 @@ def ndcg(recs: DataFrame, test: DataFrame, keys: Sequence[str], item: str, k: in
     return by.withColumn("ndcg", F.coalesce(F.try_divide(F.col("dcg"), ideal), F.lit(0.0))).select(*keys, "hits", "ndcg")
 
 
-def coverage(recs: DataFrame, catalog: DataFrame, item: str) -> DataFrame:
+def coverage(recs: DataFrame, catalog: DataFrame, item: str, keys: Sequence[str] = ()) -> DataFrame:
     total = catalog.select(F.countDistinct(item)).scalar()
-    return recs.agg(F.countDistinct(item).alias("n_recommended")).withColumn("coverage", F.try_divide(F.col("n_recommended"), total))
+    return recs.groupBy(*keys).agg(F.countDistinct(item).alias("n_recommended")).withColumn("coverage", F.try_divide(F.col("n_recommended"), total))
 
 
 def intra_list_diversity(recs: DataFrame, features: DataFrame, keys: Sequence[str], item: str, cols: Sequence[str], k: int) -> DataFrame:

@@ -407,14 +407,14 @@ def _(t):
         GROUP BY ALL HAVING count(*) > 10""",
         "plays",
         banded=BANDED,
-        top="SELECT artist_id FROM plays GROUP BY 1 ORDER BY count(*) DESC, artist_id LIMIT 15",
+        top="SELECT artist_id FROM plays GROUP BY 1 ORDER BY count(*) DESC, artist_id LIMIT 50",
         b=modal("banded", "artist_id", "band", "preferred_band"),
         h=modal("banded", "artist_id", "h", "preferred_hour"),
         l=modal("banded", "artist_id", "label", "modal_label"),
     ),
 )
 def _(t):
-    out = A.artist_temporal_profile(t.plays, "artist_id", "ts", "label", 15)
+    out = A.artist_temporal_profile(t.plays, "artist_id", "ts", "label", 50)
     return out.withColumns({c: F.round(c, 6) for c in ("weekend_share", "work_share")})
 
 
@@ -428,7 +428,7 @@ def _(t):
         USING (artist_id) JOIN (SELECT artist_id, avg(n) AS plays_per_session FROM (SELECT artist_id, user_id, session_no,
         count(*) AS n FROM sess GROUP BY ALL) GROUP BY 1) USING (artist_id)""",
         "sess",
-        top="SELECT artist_id, count(*) AS plays FROM plays GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+        top="SELECT artist_id, count(*) AS plays FROM plays GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
         tagged="SELECT *, hour(ts) AS hh, isodow(ts) - 1 AS dd FROM plays",
         h=modal("tagged", "artist_id", "hh", "peak_hour"),
         d=modal("tagged", "artist_id", "dd", "peak_day"),
@@ -436,7 +436,7 @@ def _(t):
     ),
 )
 def _(t):
-    out = A.artist_listening_patterns(sess(t), "artist_id", "ts", ["user_id", "session_no"], "label", 10)
+    out = A.artist_listening_patterns(sess(t), "artist_id", "ts", ["user_id", "session_no"], "label", 20)
     return out.withColumns({c: F.round(c, 6) for c in ("hour_spread", "plays_per_session")})
 
 
@@ -686,7 +686,8 @@ def _(t):
 @query(
     "f38_transition_counts",
     sql(
-        """SELECT from_label, to_label, count(*) AS n, round(avg(gap), 6) AS mean_gap, min(m.modal_hour) AS modal_hour
+        f"""SELECT from_label, to_label, count(*) AS n, round(avg(gap), 6) AS mean_gap, min(m.modal_hour) AS modal_hour,
+        array_to_string([{", ".join(f"count(*) FILTER (h = {i})" for i in range(24))}], ',') AS by_hour
         FROM tr JOIN m USING (from_label, to_label) GROUP BY 1, 2 ORDER BY n DESC, from_label, to_label LIMIT 5""",
         "plays",
         pairs="""SELECT user_id, ts, label AS to_label, lag(label) OVER w AS from_label, (epoch_us(ts) - epoch_us(lag(ts) OVER w))
@@ -773,7 +774,12 @@ def _(t):
         """SELECT 'diverse' AS kind, playlist AS subject, CAST(count(DISTINCT culture) AS VARCHAR) AS detail FROM pl GROUP BY 2
         HAVING count(DISTINCT culture) >= 3 UNION ALL SELECT 'highest', feature, highest FROM ext UNION ALL
         SELECT 'lowest', feature, lowest FROM ext UNION ALL
-        SELECT 'everywhere', CAST(item AS VARCHAR), CAST(n_groups AS VARCHAR) FROM multi WHERE n_groups >= 5""",
+        SELECT 'everywhere', CAST(item AS VARCHAR), CAST(n_groups AS VARCHAR) FROM multi WHERE n_groups >= 5 UNION ALL
+        SELECT 'overall', 'tracks', CAST(count(*) AS VARCHAR) FROM pl UNION ALL
+        SELECT 'overall', 'unique_tracks', CAST(count(DISTINCT item) AS VARCHAR) FROM pl UNION ALL
+        SELECT 'overall', 'playlists', CAST(count(DISTINCT playlist) AS VARCHAR) FROM pl UNION ALL
+        SELECT 'overall', 'first_added', strftime(min(added), '%Y-%m-%d') FROM pl UNION ALL
+        SELECT 'overall', 'last_added', strftime(max(added), '%Y-%m-%d') FROM pl""",
         "baskets",
         pl=PLAYLIST,
         prof=PROFILE,
@@ -790,4 +796,4 @@ def _(t):
         "playlist",
         3,
         5,
-    )
+    ).unionByName(A.playlist_totals(rows, "item", "playlist", "added"))

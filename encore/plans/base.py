@@ -83,12 +83,12 @@ class Tables:
 
     @cached_property
     def daily(self) -> DataFrame:
-        """One row per date of the multi-year log."""
+        """One row per date of the multi-year log; means are rounded so that equal ones tie in every engine."""
         return self.history.groupBy(F.to_date("ts").alias("date")).agg(
             F.count(F.lit(1)).alias("n_plays"),
-            (F.avg("value") / 100000).alias("avg_value"),
-            F.avg((F.col("label") == "1-URGENT").cast("double")).alias("urgent_share"),
-            F.avg((F.col("status") == "O").cast("double")).alias("open_share"),
+            F.round(F.avg("value") / 100000, 9).alias("avg_value"),
+            F.round(F.avg((F.col("label") == "1-URGENT").cast("double")), 9).alias("urgent_share"),
+            F.round(F.avg((F.col("status") == "O").cast("double")), 9).alias("open_share"),
         )
 
     @cached_property
@@ -116,9 +116,9 @@ CTES = {
         l_quantity AS quantity, o_orderdate AS ts, o_custkey AS user_id, o_orderpriority AS label,
         o_orderstatus AS status, o_totalprice AS value
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
-    "daily": """SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n_plays, avg(o_totalprice) / 100000 AS avg_value,
-        avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.0 END) AS urgent_share,
-        avg(CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END) AS open_share FROM orders GROUP BY 1""",
+    "daily": """SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n_plays, round(avg(o_totalprice) / 100000, 9) AS avg_value,
+        round(avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.0 END), 9) AS urgent_share,
+        round(avg(CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END), 9) AS open_share FROM orders GROUP BY 1""",
     "signals": """SELECT date, 'n_plays' AS signal, CAST(n_plays AS DOUBLE) AS x FROM daily
         UNION ALL SELECT date, 'avg_value', avg_value FROM daily
         UNION ALL SELECT date, 'urgent_share', urgent_share FROM daily

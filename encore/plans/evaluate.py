@@ -8,7 +8,7 @@ from encore.operators import evaluate as V
 from encore.operators import recommend as M
 from encore.operators.ranking import top_k_per_group
 from encore.plans.base import query, sql
-from encore.plans.recommend import FEATURES, IDS, scored_bridges, wide
+from encore.plans.recommend import CANDIDATES_PER_PERSONALITY, FEATURES, IDS, scored_bridges, wide
 from encore.plans.timeseries import rounded
 from encore.session import checkpointed
 
@@ -241,22 +241,26 @@ def split_metrics(t):
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
     scores = checkpointed(wide(t))
     profiles = M.user_profiles(train, scores, t.tracks, SPLIT_KEYS, "track_id", IDS, FEATURES, weight="n")
-    fresh = test.select(*SPLIT_KEYS, "track_id").join(train.select(*SPLIT_KEYS, "track_id"), [*SPLIT_KEYS, "track_id"], "left_anti")
-    scored = M.score_pairs(fresh, profiles, scores, scored_bridges(t), SPLIT_KEYS, "track_id", IDS)
+    bridges = scored_bridges(t)
+    fresh = M.unseen_pairs(train, train, scores, bridges, SPLIT_KEYS, "track_id", IDS, CANDIDATES_PER_PERSONALITY)
+    scored = M.score_pairs(fresh, profiles, scores, bridges, SPLIT_KEYS, "track_id", IDS)
     recs = checkpointed(M.recommend(scored, SPLIT_KEYS, "track_id", 50))
     keys, item = SPLIT_KEYS, "track_id"
     audio = ["energy", "valence", "danceability"]
+    artists = t.tracks.select("track_id", "artist_name")
     out = V.precision_recall(recs, test, keys, item).join(V.ndcg(recs, test, keys, item).drop("hits"), keys)
     for part in (
         V.intra_list_diversity(recs, t.tracks, keys, item, audio, 50),
         V.normalised_entropy(recs, keys, "culture"),
         V.temporal_consistency(recs, test, t.tracks, keys, item, audio),
+        V.novelty(recs, t.plays, keys, item),
+        V.serendipity(recs.join(artists, item), train.join(artists, item), test, keys, item, "artist_name"),
     ):
         out = out.join(part, keys)
-    return out
+    return out.join(V.coverage(recs, t.tracks, item, ["split_id"]).drop("n_recommended"), "split_id")
 
 
-METRICS = ["precision", "recall", "ndcg", "diversity", "cultural_diversity", "temporal_consistency"]
+METRICS = ["precision", "recall", "ndcg", "diversity", "cultural_diversity", "temporal_consistency", "novelty", "serendipity", "coverage"]
 
 
 @query("n16_evaluate_splits")

@@ -331,18 +331,36 @@ PAIR_SCORES = """SELECT user_id, track_id, bridge_score, br.culture AS culture,
 RECS = {"ws": WIDE, "pf": PROFILES, "lk": LOOKUP, "br": BRIDGE, "ps": PAIR_SCORES}
 
 
+CANDIDATES_PER_PERSONALITY = 100
+UNSEEN = " UNION ".join(
+    f"(SELECT track_id FROM ws JOIN br USING (track_id) ORDER BY round(0.6 * s_{i} + 0.2 * bridge_score, 9) DESC, track_id LIMIT {CANDIDATES_PER_PERSONALITY})"
+    for i in IDS
+)
+UNSEEN_SCORES = """SELECT user_id, track_id, 0.6 * (w_p1 * s_p1 + w_p2 * s_p2 + w_p3 * s_p3) + 0.2 * bridge_score + 0.16 AS score
+    FROM (SELECT user_id, track_id FROM (SELECT DISTINCT user_id FROM plays), best) x JOIN ws USING (track_id) JOIN br USING (track_id) JOIN pf USING (user_id)
+    WHERE NOT EXISTS (SELECT 1 FROM plays p WHERE p.user_id = x.user_id AND p.track_id = x.track_id)"""
+
+
+def unseen_scores(t):
+    known, bridges = wide(t), scored_bridges(t)
+    pairs = M.unseen_pairs(t.plays, t.plays, known, bridges, "user_id", "track_id", IDS, CANDIDATES_PER_PERSONALITY)
+    return M.score_pairs(pairs, user_profiles(t), known, bridges, "user_id", "track_id", IDS)
+
+
 @query(
     "m5_recommend",
     sql(
         """SELECT user_id, track_id, round(score, 6) AS score, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, track_id) AS rank
-        FROM ps QUALIFY rank <= 10""",
+        FROM us QUALIFY rank <= 10""",
         "plays",
         "tracks",
-        **RECS,
+        **{k: v for k, v in RECS.items() if k != "ps"},
+        best=UNSEEN,
+        us=UNSEEN_SCORES,
     ),
 )
 def _(t):
-    return rounded(M.recommend(pair_scores(t), "user_id", "track_id"), "score").select("user_id", "track_id", "score", "rank")
+    return rounded(M.recommend(unseen_scores(t), "user_id", "track_id"), "score").select("user_id", "track_id", "score", "rank")
 
 
 CTX = f"""SELECT event_id, {BANDS_SQL} AS band, h AS hour, isodow(ts) < 6 AND h >= 9 AND h < 17 AS is_work, isodow(ts) >= 6 AS is_weekend, label, track_id,
@@ -419,7 +437,7 @@ def contextual(t):
     "m9_contextual_recommend",
     sql(
         """SELECT user_id, event_id, round(score, 6) AS score, reason, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, event_id) AS rank
-        FROM cx QUALIFY rank <= 5""",
+        FROM cx QUALIFY rank <= 50""",
         "plays",
         **CONTEXT,
         **ARTIST,
@@ -428,7 +446,7 @@ def contextual(t):
     ),
 )
 def _(t):
-    out = top_k_per_group(contextual(t), ["user_id"], [F.desc(F.round("score", 9)), F.col("event_id")], 5)
+    out = top_k_per_group(contextual(t), ["user_id"], [F.desc(F.round("score", 9)), F.col("event_id")], 50)
     return rounded(out, "score").select("user_id", "event_id", "score", "reason", "rank")
 
 

@@ -31,17 +31,17 @@ def _(t):
 @query(
     "g2_derive_users",
     sql(
-        """SELECT event_id, 'user_' || lpad(CAST(n - 1 AS VARCHAR), 4, '0') AS derived_user FROM s JOIN (SELECT artist_id, label,
-        session_no, row_number() OVER (ORDER BY min(ts), arg_min(event_id, ts)) AS n FROM s GROUP BY 1, 2, 3 HAVING count(*) >= 3)
-        USING (artist_id, label, session_no)""",
+        """SELECT event_id, 'user_' || lpad(CAST(n - 1 AS VARCHAR), 4, '0') AS derived_user FROM s JOIN (SELECT label,
+        session_no, row_number() OVER (ORDER BY min(ts), arg_min(event_id, ts)) AS n FROM s GROUP BY 1, 2 HAVING count(*) >= 20)
+        USING (label, session_no)""",
         "plays",
-        s="""SELECT *, sum(is_new) OVER (PARTITION BY artist_id, label ORDER BY ts, event_id) AS session_no FROM (SELECT *,
+        s="""SELECT *, sum(is_new) OVER (PARTITION BY label ORDER BY ts, event_id) AS session_no FROM (SELECT *,
         CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 14400000000 THEN 1 ELSE 0 END AS is_new
-        FROM plays WINDOW w AS (PARTITION BY artist_id, label ORDER BY ts, event_id))""",
+        FROM plays WINDOW w AS (PARTITION BY label ORDER BY ts, event_id))""",
     ),
 )
 def _(t):
-    out = S.derive_users(t.plays, ["artist_id", "label"], "ts", "event_id", 240, 3)
+    out = S.derive_users(t.plays, ["label"], "ts", "event_id", 240, 20)
     return out.select("event_id", "derived_user")
 
 
@@ -253,12 +253,12 @@ TRANSITIONS = f"""SELECT user_id, event_id, ts, track_id, prev_label AS from_lab
     arg_min(track_id, (ts, event_id)) AS track_id
     FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, label
     ORDER BY ts, event_id) AS island FROM plays WHERE label <> 'error') GROUP BY user_id, label, island)
-    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE prev_len >= 2"""
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE prev_len >= 3"""
 
 
 def after_runs(t):
     return S.transitions_after_run(
-        t.plays, ["user_id"], "ts", "event_id", "label", hot_cells(), ["click", "view"], 2, "error", ["track_id"]
+        t.plays, ["user_id"], "ts", "event_id", "label", hot_cells(), ["click", "view"], 3, "error", ["track_id"]
     )
 
 
@@ -369,15 +369,13 @@ EXTREMA = """SELECT signal, date, idx, x, CASE WHEN x > b AND x > a AND x >= hi
 @query(
     "g22_local_extrema",
     sql(
-        "SELECT signal, strftime(date, '%Y-%m-%d') AS date, kind FROM e WHERE kind IS NOT NULL AND signal IN ('n_plays', 'avg_value')",
+        "SELECT signal, strftime(date, '%Y-%m-%d') AS date, kind FROM e WHERE kind IS NOT NULL",
         "signals",
         e=EXTREMA,
     ),
 )
 def _(t):
-    # the shares are ratios whose equal values may differ in the last bit, so only the exact signals are compared
-    exact = t.signals.filter(F.col("signal").isin("n_plays", "avg_value"))
-    out = TS.local_extrema(exact, ["signal"], "date", "x")
+    out = TS.local_extrema(t.signals, ["signal"], "date", "x")
     return out.select("signal", F.col("date").cast("string").alias("date"), "kind")
 
 
@@ -411,12 +409,12 @@ def _(t):
 @query(
     "g25_trailing_n_events",
     sql(
-        """SELECT event_id, user_id FROM plays QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20""",
+        """SELECT event_id, user_id FROM plays QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 1000""",
         "plays",
     ),
 )
 def _(t):
-    return S.trailing_n_events(t.plays, ["user_id"], "ts", "event_id", 20).select("event_id", "user_id")
+    return S.trailing_n_events(t.plays, ["user_id"], "ts", "event_id", 1000).select("event_id", "user_id")
 
 
 @query(

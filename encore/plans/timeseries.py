@@ -117,13 +117,12 @@ def _(t):
         SELECT signal, n, count(*) AS len FROM (SELECT signal, n, hi, rn - row_number() OVER (PARTITION BY signal, hi ORDER BY date) AS island
         FROM (SELECT s.signal, date, x > q AS hi, n, row_number() OVER (PARTITION BY s.signal ORDER BY date) AS rn FROM signals s JOIN
         (SELECT signal, quantile_cont(x, 0.75) AS q, count(*) AS n FROM signals GROUP BY 1) USING (signal))) WHERE hi GROUP BY signal, n, island)
-        WHERE signal IN ('n_plays', 'avg_value') GROUP BY 1""",
+        GROUP BY 1""",
         "signals",
     ),
 )
 def _(t):
-    exact = t.signals.filter(F.col("signal").isin("n_plays", "avg_value"))
-    return rounded(TS.high_value_periods(exact, ["signal"], "date", "x"), "mean_run", "frequency")
+    return rounded(TS.high_value_periods(t.signals, ["signal"], "date", "x"), "mean_run", "frequency")
 
 
 @query(
@@ -215,14 +214,13 @@ def _(t):
         """SELECT signal, count(*) FILTER (kind = 'peak') AS n_peaks, count(*) FILTER (kind = 'valley') AS n_valleys,
         round(avg(g), 6) AS avg_cycle_length, round(greatest(0, 1 - stddev_pop(g) / greatest(avg(g), 1)), 6) AS rhythm_regularity FROM (
         SELECT *, CASE WHEN kind = 'peak' THEN idx - lag(idx) OVER (PARTITION BY signal, kind ORDER BY idx) END AS g FROM e
-        WHERE kind IS NOT NULL AND signal IN ('n_plays', 'avg_value')) GROUP BY 1""",
+        WHERE kind IS NOT NULL) GROUP BY 1""",
         "signals",
         e=EXTREMA,
     ),
 )
 def _(t):
-    exact = t.signals.filter(F.col("signal").isin("n_plays", "avg_value"))
-    return rounded(TS.exploration_cycles(exact, ["signal"], "date", "x"), "avg_cycle_length", "rhythm_regularity")
+    return rounded(TS.exploration_cycles(t.signals, ["signal"], "date", "x"), "avg_cycle_length", "rhythm_regularity")
 
 
 YEARLY = """SELECT label, year, n / sum(n) OVER (PARTITION BY year) AS share FROM (SELECT year(ts) AS year, label, count(*) AS n
