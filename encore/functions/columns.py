@@ -225,3 +225,9 @@ def effect_size_label(x: str | Column, kind: str = "cohens_d") -> Column:
 def silhouette_label(x: str | Column) -> Column:
     x = _c(x)
     return F.when(x > 0.7, "large").when(x > 0.5, "medium").when(x > 0.25, "small").otherwise("negligible")
+
+
+def text_hash(*cols: str | Column, seed: int = 42) -> Column:
+    """60-bit hash of the columns' texts and a seed: the first 15 hex digits of their md5, which other engines compute as well."""
+    texts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *texts, F.lit(str(seed))).cast("binary")), 1, 15), 16, 10).cast("long")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from encore.functions import columns as C
 from encore.operators.joins import mean_pairwise_distance
 from encore.operators.scan import HotCells, hot_cells, numbered
 
@@ -52,7 +53,7 @@ def three_way_time_split(df: DataFrame, ts: str, row_id: str, test: float = 0.2,
 
 
 def _hash_rank(df: DataFrame, key: Sequence[str], strata: Sequence[str], seed: int) -> DataFrame:
-    tagged = df.withColumn("__h", F.xxhash64(*key, F.lit(seed)))
+    tagged = df.withColumn("__h", C.text_hash(*key, seed=seed))
     return numbered(tagged, strata, ["__h", *key], HotCells()).drop("__h")
 
 
@@ -89,7 +90,7 @@ def split_integrity(df: DataFrame, key: Sequence[str], split: str, ts: str) -> D
 def data_fingerprint(df: DataFrame) -> DataFrame:
     """Order-free content hash, row count and schema text."""
     cols = sorted(df.columns)
-    h = F.xxhash64(*cols).cast("decimal(38,0)")
+    h = C.text_hash(*cols, seed=0).cast("decimal(38,0)")
     text = ",".join(f"{c}:{dict(df.dtypes)[c]}" for c in cols)
     return df.agg(F.count("*").alias("n_rows"), F.sum(h).cast("string").alias("content")).withColumn(
         "fingerprint", F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"), "content", F.lit(text)), 256)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from encore.functions import columns as C
+
 
 def top_k(df: DataFrame, key: str, k: int, extra: Sequence[Column] = ()) -> DataFrame:
     """The k keys with most rows; ties by key."""
@@ -30,7 +32,7 @@ def arg_max(df: DataFrame, key: str, group: Sequence[str] = ()) -> DataFrame:
 
 def seeded_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """n rows in hash order: repeatable whatever the partitioning."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    return df.orderBy(C.text_hash(*key, seed=seed), *key).limit(n)
 
 
 def balanced_negatives(df: DataFrame, label: str, key: Sequence[str], ratio: int = 3, seed: int = 42) -> DataFrame:
@@ -40,7 +42,7 @@ def balanced_negatives(df: DataFrame, label: str, key: Sequence[str], ratio: int
     """
     from encore.operators.scan import HotCells, numbered
 
-    tagged = df.withColumn("__h", F.xxhash64(*key, F.lit(seed)))
+    tagged = df.withColumn("__h", C.text_hash(*key, seed=seed))
     negatives = tagged.filter(~F.col(label))
     cap = df.filter(F.col(label)).select((F.count(F.lit(1)) * ratio).alias("cap")).scalar()
     ranked = numbered(negatives, [], ["__h", *key], HotCells())

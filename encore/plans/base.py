@@ -148,6 +148,11 @@ def sql(body: str, *names: str, **extra: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in chosen.items()) + "\n" + body
 
 
+def hash_sql(*cols: str, seed: int = 42) -> str:
+    """``text_hash`` in the oracle's dialect."""
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(cols)}, '{seed}')), 1, 15))::BIGINT"
+
+
 def query(key: str, oracle: str | None = None):
     def register(fn):
         if key in QUERIES:

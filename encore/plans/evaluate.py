@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from encore.operators import evaluate as V
 from encore.operators import recommend as M
 from encore.operators.ranking import top_k_per_group
-from encore.plans.base import query, sql
+from encore.plans.base import hash_sql, query, sql
 from encore.plans.recommend import CANDIDATES_PER_PERSONALITY, FEATURES, IDS, scored_bridges, wide
 from encore.plans.timeseries import rounded
 from encore.session import checkpointed
@@ -44,13 +44,29 @@ def _(t):
     return V.three_way_time_split(t.history, "ts", "event_id").select("event_id", "split")
 
 
-@query("n4_seeded_split")
+@query(
+    "n4_seeded_split",
+    sql(
+        """SELECT label, split, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS checksum FROM (SELECT *, CASE WHEN rn <= floor(c * 0.2) THEN 'test'
+        WHEN rn <= floor(c * 0.2) + floor(c * 0.1) THEN 'validation' ELSE 'train' END AS split FROM r) GROUP BY 1, 2""",
+        "history",
+        r=f"""SELECT label, event_id, row_number() OVER (PARTITION BY label ORDER BY {hash_sql('event_id')}, event_id) AS rn,
+        count(*) OVER (PARTITION BY label) AS c FROM history""",
+    ),
+)
 def _(t):
     out = V.seeded_split(t.history, ["event_id"], strata=["label"])
     return out.groupBy("label", "split").agg(F.count("*").alias("n"), F.sum("event_id").alias("checksum"))
 
 
-@query("n5_kfold")
+@query(
+    "n5_kfold",
+    sql(
+        f"""SELECT fold, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS checksum FROM (SELECT event_id,
+        (row_number() OVER (ORDER BY {hash_sql('event_id')}, event_id) - 1) % 5 AS fold FROM history) GROUP BY 1""",
+        "history",
+    ),
+)
 def _(t):
     return V.kfold(t.history, ["event_id"]).groupBy("fold").agg(F.count("*").alias("n"), F.sum("event_id").alias("checksum"))
 
@@ -68,7 +84,16 @@ def _(t):
     return V.split_integrity(V.three_way_time_split(t.history, "ts", "event_id"), ["event_id"], "split", "ts")
 
 
-@query("n7_data_fingerprint")
+FINGER_COLUMNS = {
+    "o_custkey": "bigint", "o_orderdate": "timestamp_ntz", "o_orderkey": "bigint", "o_orderpriority": "string", "o_orderstatus": "string", "o_totalprice": "double"
+}
+
+
+@query(
+    "n7_data_fingerprint",
+    f"""SELECT n_rows, content, sha256(concat_ws('|', n_rows, content, '{",".join(f"{c}:{k}" for c, k in FINGER_COLUMNS.items())}')) AS fingerprint FROM (
+    SELECT count(*) AS n_rows, CAST(sum(({hash_sql(*FINGER_COLUMNS, seed=0)})::HUGEINT) AS VARCHAR) AS content FROM orders)""",
+)
 def _(t):
     return V.data_fingerprint(t.orders)
 

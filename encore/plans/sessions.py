@@ -10,7 +10,7 @@ from encore.operators import sessions as S
 from encore.operators import timeseries as TS
 from encore.operators.scan import HotCells, hot_cells, numbered
 from encore.plans.activity import sess
-from encore.plans.base import query, sql
+from encore.plans.base import hash_sql, query, sql
 from encore.plans.scalar import BANDS_SQL, six
 
 W = "(PARTITION BY user_id ORDER BY ts, event_id)"
@@ -526,12 +526,17 @@ def peak_periods(months, q: float = 0.95):
     return out.withColumn("intensity", F.col("n") / F.col("s.m")).drop("s")
 
 
-@query("h8_seeded_sample")
+@query("h8_seeded_sample", f"SELECT o_orderkey, o_totalprice FROM orders ORDER BY {hash_sql('o_orderkey')}, o_orderkey LIMIT 100")
 def _(t):
     return K.seeded_sample(t.orders.select("o_orderkey", "o_totalprice"), ["o_orderkey"], 100)
 
 
-@query("h9_balanced_negative_sample")
+@query(
+    "h9_balanced_negative_sample",
+    f"""WITH t AS (SELECT o_orderkey, o_totalprice, o_totalprice > 480000 AS positive FROM orders)
+    SELECT * FROM t WHERE positive UNION ALL SELECT * FROM (SELECT * FROM t WHERE NOT positive
+    ORDER BY {hash_sql('o_orderkey')}, o_orderkey LIMIT (SELECT 3 * count(*) FROM t WHERE positive))""",
+)
 def _(t):
     tagged = t.orders.select("o_orderkey", "o_totalprice", (F.col("o_totalprice") > 480000).alias("positive"))
     return K.balanced_negatives(tagged, "positive", ["o_orderkey"])
