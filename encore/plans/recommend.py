@@ -499,12 +499,11 @@ ENSEMBLE = """SELECT *, 0.4 * base + 0.2 * te + 0.2 * mo + 0.2 * bs AS final, gr
 def _(t):
     keys = ["user_id", "track_id"]
     scored = pair_scores(t)
-    base = scored.select(*keys, F.col("score").alias("base_score"))
+    base = scored.select(*keys, F.col("score").alias("base_score"), "bridge_score")
     temporal = contextual(t).groupBy(*keys).agg(F.max("score").alias("temporal_score"))
     heard = t.plays.filter("label <> 'view'").groupBy(*keys).agg(F.min("label").alias("label"))
     mood = heard.select(*keys, M.mood_fit(mood_col()).alias("mood_score"))
-    bridge = scored.select(*keys, F.col("bridge_score"))
-    out = M.ensemble(base, keys, {"temporal": temporal, "mood": mood, "bridge": bridge})
+    out = M.ensemble(base, keys, {"temporal": temporal, "mood": mood})
     return rounded(out, "final_score", "confidence").select(*keys, "final_score", "recommendation_type", "confidence", "bridge_potential")
 
 

@@ -578,18 +578,19 @@ def _(t):
     "i3_overlap_report",
     """SELECT count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS shared, count(*) FILTER (r IS NULL) AS left_only,
     count(*) FILTER (l IS NULL) AS right_only, round(count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) * 100.0 / count(*), 6) AS overlap_pct
-    FROM (SELECT DISTINCT l_partkey AS k, 1 AS l FROM lineitem WHERE l_quantity > 49) FULL JOIN
-    (SELECT DISTINCT l_partkey AS k, 1 AS r FROM lineitem WHERE l_discount > 0.09) USING (k)""",
+    FROM (SELECT DISTINCT l_partkey AS k, 1 AS l FROM lineitem) FULL JOIN (SELECT DISTINCT track_id AS k, 1 AS r FROM (
+    SELECT CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS track_id FROM events)) USING (k)""",
 )
 def _(t):
-    out = K.overlap_report(t.lineitem.filter("l_quantity > 49"), t.lineitem.filter("l_discount > 0.09"), "l_partkey")
+    heard = t.plays.select(F.col("track_id").cast("bigint").alias("l_partkey"))
+    out = K.overlap_report(t.lineitem.select("l_partkey"), heard, "l_partkey")
     return out.withColumn("overlap_pct", F.round("overlap_pct", 6))
 
 
 @query(
     "i4_union_of_candidates",
-    """SELECT l_partkey FROM lineitem WHERE l_quantity > 49 UNION SELECT l_partkey FROM lineitem WHERE l_discount > 0.09""",
+    """SELECT l_partkey FROM lineitem UNION SELECT CAST(regexp_extract(props, '[0-9]+') AS BIGINT) FROM events""",
 )
 def _(t):
-    a = t.lineitem.filter("l_quantity > 49").select("l_partkey")
-    return K.union_of_candidates(a, t.lineitem.filter("l_discount > 0.09").select("l_partkey"))
+    heard = t.plays.select(F.col("track_id").cast("bigint").alias("l_partkey"))
+    return K.union_of_candidates(t.lineitem.select("l_partkey"), heard)
