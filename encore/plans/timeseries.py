@@ -84,7 +84,25 @@ def anchored(t):
     return TS.merge_anchor(mixed_points(t), [], "date", "signal")
 
 
-@query("j4_merge_change_points_anchor")
+MIXED = """SELECT *, abs(rm - lm) AS magnitude FROM (SELECT *, avg(sc) OVER (PARTITION BY signal) + 2 * stddev_pop(sc) OVER (PARTITION BY signal) AS bound
+    FROM (SELECT *, CASE WHEN idx >= 7 AND idx < n - 7 THEN abs(lv - rv) + 2 * abs(lm - rm) END AS sc FROM sh)) WHERE sc > bound AND n >= 21"""
+HEADS = """SELECT min(date) AS head FROM mixed UNION ALL SELECT (SELECT min(m.date) FROM mixed m WHERE m.date > heads.head + 3) FROM heads WHERE head IS NOT NULL"""
+ANCHORED = """SELECT head, string_agg(DISTINCT signal, ',' ORDER BY signal) AS signals, avg(magnitude) AS magnitude, count(*) AS n_points,
+    CASE WHEN count(*) > 1 THEN 'multi_signal_shift' ELSE 'single_signal_shift' END AS change_type FROM (SELECT m.*,
+    (SELECT max(h.head) FROM heads h WHERE h.head <= m.date) AS head FROM mixed m) GROUP BY head"""
+
+
+@query(
+    "j4_merge_change_points_anchor",
+    sql(
+        "SELECT strftime(head, '%Y-%m-%d') AS head, signals, round(magnitude, 6) AS magnitude, n_points, change_type FROM anchored",
+        "signals",
+        sh=SHIFT,
+        mixed=MIXED,
+        heads=HEADS,
+        anchored=ANCHORED,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def _(t):
     return dated(rounded(anchored(t), "magnitude"), "head")
 
