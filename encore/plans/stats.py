@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from encore.operators import stats as H
 from encore.plans.base import query, sql
-from encore.plans.timeseries import ANOVA, DECAY, curve, rounded
+from encore.plans.sessions import SHIFT
+from encore.plans.timeseries import ANOVA, DECAY, SPACED, curve, rounded
 
 # Paired scores: a part's size share before, its price share after.
 PAIRED = "SELECT p_type, p_size / 50.0 AS base, (p_retailprice - 900) / 100 AS improved FROM part"
@@ -310,7 +311,22 @@ def _(t):
     return rounded(out, "mean", "sd", "statistic", "effect_size")
 
 
-@query("o20_change_count_test")
+# chi-square tail of one degree of freedom at s: 1 - erf(sqrt(s / 2)) by its series of positive terms
+CHI2_ONE = """1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 3000), lambda n: exp(2 * n * ln(2) + (2 * n + 1) * ln(greatest(s, 1e-300) / 2) / 2
+    + lgamma(n + 1) - lgamma(2 * n + 2) - s / 2)))"""
+
+
+@query(
+    "o20_change_count_test",
+    sql(
+        f"""SELECT signal, n, round(expected, 6) AS expected, observed, round(s, 6) AS statistic, round(abs(observed - expected) / greatest(expected, 1), 6) AS effect_size,
+        CASE WHEN s > 700 THEN 0 ELSE round(greatest({CHI2_ONE}, 0), 6) END AS p_value FROM (SELECT *, (observed - expected) ** 2 / expected AS s FROM (SELECT signal, count(*) AS n, ln(count(*)) AS expected,
+        (SELECT count(idx) FROM kept WHERE kept.signal = signals.signal) AS observed FROM signals GROUP BY 1))""",
+        "signals",
+        sh=SHIFT,
+        **SPACED,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def _(t):
     return rounded(H.change_count_test(t.signals, ["signal"], "date", "x"), "expected", "statistic", "effect_size", "p_value")
 

@@ -37,16 +37,21 @@ def _(t):
     return dated(rounded(points(t), "magnitude", "confidence")).select("signal", "date", "magnitude", "confidence")
 
 
+SPACED = {
+    "cand": """SELECT signal, idx, date FROM (SELECT *, abs(lv - rv) + abs(lm - rm) AS sc, stddev_pop(x) OVER (PARTITION BY signal) AS sd FROM sh)
+        WHERE idx >= 7 AND idx < n - 7 AND sc > 1.5 * sd""",
+    "kept": """SELECT signal, min(idx) AS idx FROM cand GROUP BY 1 UNION ALL SELECT signal, (SELECT min(c.idx) FROM cand c
+        WHERE c.signal = kept.signal AND c.idx >= kept.idx + 7) AS idx FROM kept WHERE idx IS NOT NULL""",
+}
+
+
 @query(
     "j2_change_points_spaced",
     sql(
         f"SELECT signal, idx, {DATE} FROM cand JOIN kept USING (signal, idx)",
         "signals",
         sh=SHIFT,
-        cand="""SELECT signal, idx, date FROM (SELECT *, abs(lv - rv) + abs(lm - rm) AS sc, stddev_pop(x) OVER (PARTITION BY signal) AS sd FROM sh)
-        WHERE idx >= 7 AND idx < n - 7 AND sc > 1.5 * sd""",
-        kept="""SELECT signal, min(idx) AS idx FROM cand GROUP BY 1 UNION ALL SELECT signal, (SELECT min(c.idx) FROM cand c
-        WHERE c.signal = kept.signal AND c.idx >= kept.idx + 7) AS idx FROM kept WHERE idx IS NOT NULL""",
+        **SPACED,
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def _(t):
