@@ -30,15 +30,16 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 HOLDERS = frozenset("div section article main nav header footer aside form ul ol dl table tbody thead tfoot tr td figure details dialog menu fieldset center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # What a holder's element, and words of its class, id or role, say about its text.
-SIDE_ELEMENTS = frozenset("nav aside form menu dialog fieldset".split())
-EDGE_ELEMENTS = frozenset("header footer".split())
+SIDE_ELEMENTS = frozenset("nav aside form menu dialog fieldset footer".split())
 SIDE_WORDS = frozenset(
-    """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs pagination
-    sidebar rail aside comment comments reply replies disqus discussion cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login share sharing
-    social related recommended recommendations popup modal overlay widget toolbar search form complementary""".split()
+    """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar topnav sidenav navigation menu submenu breadcrumb
+    breadcrumbs crumbs pagination pager sidebar sidebars rail aside comment comments reply replies respond disqus discussion feedback cookie cookies consent gdpr privacy
+    notice notices notification alert disclaimer newsletter subscribe subscription signup login share sharing social related recommended recommendations popup modal
+    overlay widget widgets toolbar search form complementary footer copyright legal contentinfo""".split()
 )
-EDGE_WORDS = frozenset("header footer masthead copyright legal contentinfo".split())
-TEXT_WORDS = frozenset("article post entry story content main body".split())
+HEAD_WORDS = frozenset("header masthead banner topbar".split())
+MAIN_WORDS = frozenset("article articlebody post entry story main".split())
+WITH_WORDS = frozenset("with has no without".split())
 
 SIDE, OPEN, MAIN = -1, 0, 1
 SHORT, LONG = 70, 200
@@ -49,6 +50,8 @@ STOP_KNOWN = 0.05
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_UNSEEN = re.compile(r"display\s*:\s*none|(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
 @dataclass
@@ -60,15 +63,31 @@ class Block:
 
 
 def holder_label(name: str, attributes: str, outer: int) -> int:
-    """What an opened element says about its text; without a hint that of the element around it."""
-    words = {w.lower() for m in _NAMED.finditer(attributes) for w in _WORD.findall(next(filter(None, m.groups()), ""))} if attributes.strip() else set()
-    if name in ("article", "main"):
-        return MAIN if outer != SIDE or name == "main" or not words & SIDE_WORDS else SIDE
-    if name in SIDE_ELEMENTS or words & SIDE_WORDS and not words & TEXT_WORDS:
-        return SIDE
-    if (name in EDGE_ELEMENTS or words & EDGE_WORDS and not words & TEXT_WORDS) and outer != MAIN:
+    """What an opened element says about its text; without a hint that of the element around it.
+
+    Each name in class, id or role is looked at by its words, so ``post-comments`` is
+    beside the text and ``has-sidebar`` says nothing. A header belongs to the text
+    only inside it.
+    """
+    if name in SIDE_ELEMENTS:
         return SIDE
-    return outer
+    main = name in ("article", "main")
+    if attributes.strip():
+        if _UNSEEN.search(attributes):
+            return SIDE
+        for match in _NAMED.finditer(attributes):
+            for token in next(filter(None, match.groups()), "").split():
+                words = {w.lower() for w in _PART.findall(token)}
+                if words & WITH_WORDS:
+                    continue
+                if words & SIDE_WORDS and not (words & HEAD_WORDS and outer == MAIN) and name != "main":
+                    return SIDE
+                if words & HEAD_WORDS and outer != MAIN and not main:
+                    return SIDE
+                main = main or bool(words & MAIN_WORDS)
+    if main:
+        return outer if outer == SIDE and name not in ("article", "main") else MAIN
+    return SIDE if name == "header" and outer != MAIN else outer
 
 
 def blocks_of(page: str) -> list[Block]:

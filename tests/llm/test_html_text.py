@@ -25,6 +25,15 @@ def test_unknown_language_uses_length_alone():
     assert main_text(f"<p>{text}</p><p>tamsel</p>") == " ".join(text.split()) + "\n\ntamsel"
 
 
+def test_holders_by_name():
+    side = ["post-comments", "cookieNotice", "article-sidebar", "AdBox", "site-footer", "main-menu", "related_posts", "reader-comments"]
+    for name in side:
+        assert main_text(f'<article>a<div class="{name}">{LONG}</div><p id="{name}">{LONG}</p>b</article>') == "a\n\nb", name
+    assert main_text(f'<div class="content has-sidebar"><div class="entry-content"><h1>T</h1><p>word</p></div><div id="sidebar">{LONG}</div></div>') == "T\n\nword"
+    assert main_text(f'<header class="masthead"><h1>Site</h1></header><main><header><h1>T</h1></header>x<footer>{LONG}</footer></main>') == "T\n\nx"
+    assert main_text(f'<main>x<div hidden>{LONG}</div><div style="display: none">{LONG}</div></main>') == "x"
+
+
 def test_odd_markup():
     assert main_text("") == ""
     assert main_text("<article>a<p>b</article><p>") == "a\n\nb"
