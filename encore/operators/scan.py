@@ -93,29 +93,6 @@ def with_cells(df: DataFrame, keys: Sequence[str], cell: Cells, order: Sequence[
     return cell.apply(df, keys, order) if isinstance(cell, HotCells) else df.withColumn(CELL, cell)
 
 
-def with_depth_cell(df: DataFrame, col: str, keys: Sequence[str] = (), width: int = 32) -> DataFrame:
-    """Adds the equi-depth cell of a numeric column, from a mergeable quantile sketch.
-
-    Without keys there are ``width`` squared cells, looked up in two steps of
-    ``width`` comparisons; with keys, ``width`` cells per key. So a cell holds a
-    small share of the rows whatever their distribution.
-    """
-    x = F.col(col)
-    cells = width if keys else width * width
-    probs = F.split(F.lit(",".join(str(i / cells) for i in range(1, cells))), ",").cast("array<double>")
-    sketch = F.percentile_approx(x.cast("double"), probs, 20000).alias("__splits")
-    below = lambda splits: F.size(F.filter(splits, lambda s: s <= x))
-    empty = F.array().cast("array<double>")
-    if keys:
-        out = df.join(df.groupBy(*keys).agg(sketch), list(keys))
-        return out.withColumn(CELL, below(F.coalesce("__splits", empty))).drop("__splits")
-    every = F.filter("__splits", lambda s, i: (i + 1) % width == 0)
-    coarse = df.select(sketch).select(F.struct(F.col("__splits").alias("fine"), every.alias("coarse"))).scalar()
-    out = df.withColumn("__s", coarse).withColumn("__c", below(F.coalesce("__s.coarse", empty)))
-    near = F.slice(F.coalesce("__s.fine", empty), F.col("__c") * width + 1, width - 1)
-    return out.withColumn(CELL, F.col("__c") * width + below(near)).drop("__s", "__c")
-
-
 def segment_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -290,18 +267,19 @@ def drop_ghosts(df: DataFrame) -> DataFrame:
 
 
 def value_counts_below(
-    df: DataFrame, value: str, keys: Sequence[str] = (), width: int = 32, weight: str | None = None, probs: Sequence[float] = ()
+    df: DataFrame, value: str, keys: Sequence[str] = (), weight: str | None = None, probs: Sequence[float] = (), rows_per_cell: int = 1_000_000
 ) -> DataFrame:
     """Distinct values with ``n`` (rows, or summed weight), ``below`` (rows with a smaller value) and ``total``.
 
-    This is what ranks with ties and exact quantiles need, without a global sort.
+    This is what ranks with ties and exact quantiles need, without a global sort:
+    more than ``rows_per_cell`` distinct values of a key are cut at equi-depth splitters.
     With ``probs`` only the cells that hold those quantiles are sorted and returned.
     """
     keys = list(keys)
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("n"))
     counts = checkpointed(counts)  # read three times below; the source is scanned once
-    counts = with_depth_cell(counts, value, keys, width)
+    counts = HotCells(rows_per_cell).apply(counts, keys, [value])
     wk = Window.partitionBy(*keys).orderBy(CELL)
     per_cell = (
         counts.groupBy(*keys, CELL)

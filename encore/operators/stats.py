@@ -146,11 +146,11 @@ def fdr_bh(df: DataFrame, p: str, alpha: float = ALPHA) -> DataFrame:
     the adjusted value of the last of them. The running minimum from above is
     taken within cells first, then over the cells, so no task sorts all rows.
     """
-    from encore.operators.scan import CELL, with_depth_cell
+    from encore.operators.scan import CELL, HotCells
 
     ranked = value_counts_below(df, p)
     raw = ranked.withColumn("__raw", F.col(p) * F.col("total") / (F.col("below") + F.col("n")))
-    raw = with_depth_cell(raw, p)
+    raw = HotCells().apply(raw, [], [p])
     later = Window.orderBy(CELL).rowsBetween(1, Window.unboundedFollowing)  # one row per cell
     cells = raw.groupBy(CELL).agg(F.min("__raw").alias("__m")).withColumn("__next", F.min("__m").over(later)).drop("__m")
     w = Window.partitionBy(CELL).orderBy(p).rowsBetween(Window.currentRow, Window.unboundedFollowing)

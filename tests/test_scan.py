@@ -97,7 +97,7 @@ def test_exact_quantiles_with_one_dominant_value(rows):
 
 def test_value_counts_below(log):
     pdf, df = log
-    got = scan.value_counts_below(df, "v", width=5).toPandas().sort_values("v")
+    got = scan.value_counts_below(df, "v", rows_per_cell=50).toPandas().sort_values("v")
     counts = pdf.groupby("v").size()
     assert got.n.tolist() == counts.tolist()
     assert got.below.tolist() == (counts.cumsum() - counts).tolist()
