@@ -37,15 +37,23 @@ def scratch_folder(spark: SparkSession) -> str:
 
     Only a local master without that setting (tests) gets a folder of this
     machine; any other master without it is an error, since each executor would
-    write to its own disk.
+    write to its own disk. All folders of an application lie in one, which the
+    file system removes when the application ends; results may be read until then.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="encore-", dir="/tmp")
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        base = tempfile.gettempdir()
+    own = f"{base.rstrip('/')}/encore-{context.applicationId}"
+    if getattr(context, "_encore_folder", None) != own:
+        path = context._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        context._encore_folder = own
+    return f"{own}/scratch-{uuid.uuid4().hex}"
 
 
 def ship_package(spark: SparkSession) -> None:

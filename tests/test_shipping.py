@@ -42,5 +42,19 @@ def test_clusters_need_a_shared_folder():
 
     with pytest.raises(ValueError):
         scratch_folder(Session())
-    Context.master = "local[2]"
-    assert "scratch-" in scratch_folder(Session())
+
+
+def test_folders_go_with_the_application(tmp_path):
+    code = """
+import os, sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from encore.session import checkpointed
+spark = SparkSession.builder.master("local[1]").config("spark.checkpoint.dir", sys.argv[2]).config("spark.ui.enabled", "false").getOrCreate()
+df = checkpointed(spark.range(5))
+assert df.count() == 5 and len(os.listdir(sys.argv[2])) >= 1
+"""
+    shared = tmp_path / "shared"
+    done = subprocess.run([sys.executable, "-c", code, ROOT, str(shared)], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert not list(shared.glob("encore-*"))
