@@ -33,8 +33,28 @@ from encore.session import checkpointed, ship_package
 ALPHA = 0.05
 
 
+# Advice by the strength of the evidence; N is the sample size.
+ADVICE = {
+    "strong": "✅ Strong evidence - suitable for publication",
+    "moderate": "⚡ Moderate evidence - consider replicating with larger sample",
+    "more_data": "🔍 Large effect but not significant - collect more data (current N={})",
+    "small_sample": "📈 Increase sample size (current N={}) for reliable results",
+    "weak": "❌ Weak evidence - reconsider approach or variables",
+}
+
+
+def evidence_advice(p_value: str, effect_size: str, n: str) -> Column:
+    """Advice text of a finished test."""
+    p, effect = F.col(p_value), F.col(effect_size)
+    sized = lambda k: F.replace(F.lit(ADVICE[k]), F.lit("{}"), F.col(n).cast("string"))
+    return (
+        F.when((p < 0.05) & (effect > 0.5), ADVICE["strong"]).when((p < 0.05) & (effect > 0.2), ADVICE["moderate"])
+        .when((p >= 0.05) & (effect > 0.5), sized("more_data")).when(F.col(n) < 30, sized("small_sample")).otherwise(ADVICE["weak"])
+    )
+
+
 def paired_t(df: DataFrame, base: str, improved: str, keys: Sequence[str] = (), min_n: int = 6) -> DataFrame:
-    """One-sided paired t: mean improvement, t, Cohen d, share improved, labels."""
+    """One-sided paired t: mean improvement, t, Cohen d, share improved, labels, advice."""
     d = F.col(improved) - F.col(base)
     out = df.withColumn("__d", d).filter(F.col("__d").isNotNull()).groupBy(*keys).agg(
         F.count("*").alias("n"),
@@ -48,9 +68,9 @@ def paired_t(df: DataFrame, base: str, improved: str, keys: Sequence[str] = (),
             "effect_size": F.try_divide(F.col("mean_improvement"), F.col("sd")),
         }
     ).drop("sd")
-    return out.withColumn("magnitude", effect_size_label("effect_size")).withColumn(
-        "p_value", t_upper_col(F.col("statistic"), F.col("n") - 1)
-    )
+    out = out.withColumn("magnitude", effect_size_label("effect_size"))
+    out = out.withColumn("p_value", t_upper_col(F.col("statistic"), F.col("n") - 1))
+    return out.withColumn("advice", evidence_advice("p_value", "effect_size", "n"))
 
 
 def wilcoxon_signed_rank(df: DataFrame, base: str, improved: str) -> DataFrame:

@@ -303,18 +303,31 @@ def anova(df: DataFrame, keys: Sequence[str], group: str, x: str, min_rows: int
 
 
 def seasonal_decompose(series: DataFrame, keys: Sequence[str], date: str, x: str, period: int = 7) -> DataFrame:
-    """Additive decomposition for an odd period.
+    """Additive decomposition; the period of a key is ``period``, or a quarter of its rows if that is less.
 
-    Trend is the centred moving average, its ends extrapolated by a line through
-    the nearest ``period`` trend values; seasonal is the centred phase mean.
+    Trend is the centred moving average (for an even period its outer rows count
+    half), its ends extrapolated by a line through the nearest trend values of one
+    period; seasonal is the centred phase mean.
     """
-    w, half = _by(keys, date), period // 2
-    whole = Window.partitionBy(*keys)
+    w, whole = _by(keys, date), Window.partitionBy(*keys)
     base = series.withColumns({"idx": F.row_number().over(w) - 1, "__n": F.count(F.lit(1)).over(whole)})
-    inner = (F.col("idx") >= half) & (F.col("idx") < F.col("__n") - half)
-    base = base.withColumn("__ma", F.when(inner, F.avg(x).over(w.rowsBetween(-half, half))))
-    head = F.when(F.col("idx") < half + period, F.col("__ma"))
-    tail = F.when(F.col("idx") >= F.col("__n") - half - period, F.col("__ma"))
+    base = base.withColumn("__p", F.greatest(F.lit(1), F.least(F.lit(period), F.floor(F.col("__n") / 4))).cast("int"))
+    base = base.withColumn("__half", F.floor(F.col("__p") / 2).cast("int"))
+    n, p, half = F.col("__n"), F.col("__p"), F.col("__half")
+
+    def centred(size: int) -> Column:
+        reach = size // 2
+        if size % 2:
+            return F.avg(x).over(w.rowsBetween(-reach, reach))
+        outer = (F.lag(x, reach).over(w) + F.lead(x, reach).over(w)) / 2
+        return (F.sum(x).over(w.rowsBetween(-reach, reach)) - outer) / size
+
+    mean = F.col(x)
+    for size in range(2, period + 1):
+        mean = F.when(p == size, centred(size)).otherwise(mean)
+    base = base.withColumn("__ma", F.when((F.col("idx") >= half) & (F.col("idx") < n - half), mean))
+    head = F.when(F.col("idx") < half + p, F.col("__ma"))
+    tail = F.when(F.col("idx") >= n - half - p, F.col("__ma"))
     i = F.col("idx").cast("double")
     ends = base.groupBy(*keys).agg(
         F.regr_slope(head, i).alias("__hs"), F.regr_intercept(head, i).alias("__hi"),
@@ -322,7 +335,7 @@ def seasonal_decompose(series: DataFrame, keys: Sequence[str], date: str, x: str
     )
     line = F.when(F.col("idx") < half, F.col("__hs") * i + F.col("__hi")).otherwise(F.col("__ts") * i + F.col("__ti"))
     out = base.join(ends, list(keys)) if keys else base.withColumn("__e", ends.select(F.struct("*")).scalar()).select("*", "__e.*")
-    out = out.withColumn("trend", F.coalesce("__ma", line)).withColumn("__phase", F.col("idx") % period)
+    out = out.withColumn("trend", F.coalesce("__ma", line)).withColumn("__phase", F.col("idx") % p)
     phases = out.groupBy(*keys, "__phase").agg(F.avg(F.col(x) - F.col("trend")).alias("__s"))
     phases = phases.withColumn("seasonal", F.col("__s") - F.avg("__s").over(whole)).drop("__s")
     out = out.join(phases, [*keys, "__phase"]).withColumn("residual", F.col(x) - F.col("trend") - F.col("seasonal"))

@@ -23,7 +23,13 @@ def paired(t):
         """SELECT p_type, count(*) AS n, round(avg(d), 6) AS mean_improvement, round(avg(CASE WHEN d > 0 THEN 1.0 ELSE 0 END), 6) AS share_improved,
         round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS statistic, round(avg(d) / stddev_samp(d), 6) AS effect_size,
         CASE WHEN abs(avg(d) / stddev_samp(d)) >= 0.8 THEN 'large' WHEN abs(avg(d) / stddev_samp(d)) >= 0.5 THEN 'medium'
-        WHEN abs(avg(d) / stddev_samp(d)) >= 0.2 THEN 'small' ELSE 'negligible' END AS magnitude
+        WHEN abs(avg(d) / stddev_samp(d)) >= 0.2 THEN 'small' ELSE 'negligible' END AS magnitude,
+        -- one-sided bound of t: 1.645 for many degrees of freedom, about 1.52 / df more for fewer
+        CASE WHEN avg(d) / (stddev_samp(d) / sqrt(count(*))) > 1.645 + 1.52 / (count(*) - 1) AND avg(d) / stddev_samp(d) > 0.5 THEN '✅ Strong evidence - suitable for publication'
+        WHEN avg(d) / (stddev_samp(d) / sqrt(count(*))) > 1.645 + 1.52 / (count(*) - 1) AND avg(d) / stddev_samp(d) > 0.2 THEN '⚡ Moderate evidence - consider replicating with larger sample'
+        WHEN avg(d) / stddev_samp(d) > 0.5 THEN '🔍 Large effect but not significant - collect more data (current N=' || count(*) || ')'
+        WHEN count(*) < 30 THEN '📈 Increase sample size (current N=' || count(*) || ') for reliable results'
+        ELSE '❌ Weak evidence - reconsider approach or variables' END AS advice
         FROM (SELECT *, improved - base AS d FROM pr) GROUP BY 1""",
         pr=PAIRED,
     ),

@@ -51,6 +51,17 @@ def test_flat_signal_has_no_points(rows):
     assert TS.component_strength(TS.seasonal_decompose(df, ["signal"], "date", "x"), ["signal"], "x").count() == 1
 
 
+def test_short_series_have_shorter_periods(rows):
+    """17 rows have a period of 4: outer rows of the moving average count half."""
+    x = [float((i % 4) * 3 + i) for i in range(17)]
+    got = TS.seasonal_decompose(series(rows, x), ["signal"], "date", "x").orderBy("date").collect()
+    for i in range(2, 15):
+        assert abs(got[i].trend - (x[i - 2] / 2 + sum(x[i - 1 : i + 2]) + x[i + 2] / 2) / 4) < 1e-9
+    assert all(abs(r.x - r.trend - r.seasonal - r.residual) < 1e-9 for r in got)
+    assert len({round(r.seasonal, 9) for r in got}) == 4
+    assert TS.seasonal_decompose(series(rows, x[:3]), ["signal"], "date", "x").count() == 3
+
+
 def test_chain_and_anchor_merging(rows):
     data = [(D0 + dt.timedelta(days=d), "s", float(d), 0.5) for d in (0, 3, 6, 20)]
     df = rows(data, "date date, signal string, magnitude double, confidence double")
