@@ -255,7 +255,9 @@ def read_archives(spark, folder: str, page_type: str = "bigint", span: int = SPA
             yield pa.RecordBatch.from_arrays(columns, ["page", "url", "record_type", "target", "payload_digest", "payload_bytes", "html"])
 
     index = spark.read.schema(INDEX).option("pathGlobFilter", "*.index.jsonl").json(folder)
-    dealt = index.select("archive", "offset", "length").repartition("archive", F.floor(F.col("offset") / span)).sortWithinPartitions("archive", "offset")
+    # a fixed number of partitions: the index is small for what it points to, so its size must not decide
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = index.select("archive", "offset", "length").repartition(parts, "archive", F.floor(F.col("offset") / span)).sortWithinPartitions("archive", "offset")
     out = dealt.mapInArrow(read, "page string, url string, record_type string, target string, payload_digest string, payload_bytes long, html string")
     ids = [F.col(a).cast(page_type).alias(b) for a, b in (("page", "page_id"), ("target", "refers_to"))]
     return out.select(ids[0], "url", "record_type", ids[1], "payload_digest", "payload_bytes", "html")
