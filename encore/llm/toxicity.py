@@ -75,13 +75,13 @@ def chosen_terms(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray
         return np.empty(0, np.int64)
     held, counts = np.unique(np.concatenate(rows), return_counts=True)
     toxic, own = np.unique(np.concatenate([r for r, t in zip(rows, y) if t]), return_counts=True)
-    of = np.zeros(len(held))
+    of = np.zeros(len(held), np.int32)
     of[np.searchsorted(held, toxic)] = own
     share = counts / len(y)
     z = (of / n1 - (counts - of) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
     strong = np.abs(z) * ((counts > 2) & (np.abs(z) >= LEAST_Z))
     order = np.argsort(-strong, kind="stable")[:size]
-    return np.sort(held[order[strong[order] > 0]])
+    return np.sort(held[order[strong[order] > 0]]).astype(np.int64)
 
 
 def fit_machine(rows: list[np.ndarray], y: np.ndarray, size: int = TERMS, factors: int = FACTORS, epochs: int = 20, rate: float = 0.02, decay: float = 0.01, batch: int = 128) -> Machine:
@@ -145,8 +145,9 @@ def with_score(
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], ["y", "terms"])
 
     sample = rows.join(F.broadcast(taught), "id").select("y", "name").mapInArrow(hashed, "y int, terms array<int>").toArrow()
-    known = [np.asarray(r, np.int64) for r in sample["terms"].to_pylist()]
-    order = sorted(range(len(known)), key=lambda i: (zlib.crc32(known[i].tobytes()), known[i].tobytes()))
+    lists = sample["terms"].combine_chunks()
+    known = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1]) if len(lists) else []
+    order = sorted(range(len(known)), key=lambda i: (zlib.crc32(known[i].tobytes()), len(known[i])))
     y = np.asarray(sample["y"].to_pylist(), np.float64)
     sent = spark.sparkContext.broadcast(fit_machine([known[i] for i in order], y[order] if len(y) else y))
     at = tracks.columns.index(track_name)
