@@ -18,8 +18,8 @@ from encore.session import checkpointed, ship_package
 
 #: Sets, and elements of sets, of one tree; larger groups are dealt out as pairs of parts.
 TREE_SETS, TREE_ELEMENTS = 50_000, 8_000_000
-#: Every so many rows give the common shingles, at most so many, seen at least so often.
-SHARE, COMMON, SEEN = 32, 65_536, 8
+#: Every so many rows give the common shingles, at most so many, seen at least so often there.
+SHARE, COMMON, SEEN = 8, 1 << 19, 4
 #: Bits of a shingle that are left out of a key.
 KEY_SHIFT = np.uint64(24)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -47,10 +47,11 @@ def shingles(name: str, words: int) -> np.ndarray:
 
 
 def common_shingles(tracks: DataFrame, track_name: str, words: int) -> np.ndarray:
-    """Keys of shingles that many names share, at most ``COMMON``.
+    """Keys of shingles that many names share, at most ``COMMON``, the most frequent ones.
 
     They only come last in the order of keys, which is correct for any order; a
     fixed share of the rows is enough to find those that would make large groups.
+    A histogram of the counts says from which one on the list is short enough.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +63,16 @@ def common_shingles(tracks: DataFrame, track_name: str, words: int) -> np.ndarra
 
     rows = tracks.select(track_name).where(F.pmod(F.xxhash64(track_name), F.lit(SHARE)) == 0)
     seen = rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
-    return np.sort(np.array([r.key for r in seen.orderBy(F.desc("n"), "key").limit(COMMON).collect()], np.uint64))
+    seen = checkpointed(seen.withColumn("step", F.floor(F.log2("n") * 8).cast("int")))
+    least, kept = None, 0
+    for r in sorted(seen.groupBy("step").count().collect(), reverse=True):
+        kept += r["count"]
+        if kept > COMMON:
+            break
+        least = r["step"]
+    if least is None:
+        return np.empty(0, np.uint64)
+    return np.sort(seen.where(F.col("step") >= least).select("key").toArrow()["key"].to_numpy().astype(np.uint64))
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -72,15 +82,20 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield key, [r[keys:] for r in group]
 
 
-def _stars(batches: Iterator[pa.RecordBatch], percent: int, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Links that connect the members of each tree: by their bitmaps alone, or by their whole sets."""
+def _stars(batches: Iterator[pa.RecordBatch], percent: int, words: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Links that connect the members of each tree: by their bitmaps alone or, with ``words``, by the sets of their names."""
     a, b = [], []
+    whole = words is not None
     for _, rows in grouped(batches, 3):
         members = {digest: (size, data) for digest, size, data in rows}
+        if whole:
+            # rows that repeat an id bring along names of other classes
+            sets = [(digest, shingles(name or "", words)) for digest, _, name in rows]
+            members = {d: (len(s), s) for d, s in sets if xxhash.xxh3_128_digest(s.tobytes()) == d}
         if len(members) > 1:
             names = sorted(members, key=lambda d: (members[d][0], d))
             sizes = np.array([members[d][0] for d in names], np.int64)
-            data = [np.frombuffer(members[d][1], np.uint64) for d in names]
+            data = [members[d][1] if whole else np.frombuffer(members[d][1], np.uint64) for d in names]
 
             def alike(i: int, j: int) -> bool:
                 both = np.sort(np.concatenate((data[i], data[j])))
@@ -98,15 +113,19 @@ def _stars(batches: Iterator[pa.RecordBatch], percent: int, whole: bool) -> Iter
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
-def _dealt(members: DataFrame, group: str, parts) -> DataFrame:
-    """Members of each group with the tiles (i, j) of their part; ``parts`` counts the parts of a group.
+def _dealt(members: DataFrame, group: str, member: str, size: int, weight: str | None = None) -> DataFrame:
+    """Members of each group with the tiles (i, j) they go to.
 
-    A group of one part is one tile. In a larger one each pair of parts is a tile,
-    so every two members meet in one.
+    A group is cut into parts of about ``size`` rows (or summed ``weight``) by a hash
+    of its members. With one part it is one tile; else each pair of parts is a
+    tile, so every two members meet in one.
     """
-    rows = members.withColumn("part", F.pmod(F.xxhash64("digest"), F.col(parts)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col(parts) - 1)).alias("other")
-    return rows.select("*", others).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+    amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    parts = members.groupBy(group).agg(F.ceil(amount / size).cast("int").alias("parts"))
+    rows = members.join(parts, group).withColumn("part", F.pmod(F.xxhash64(member), F.col("parts")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    tiles = rows.select("*", others).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    return tiles.select(*members.columns, "i", "j")
 
 
 def near_duplicates(
@@ -171,36 +190,26 @@ def near_duplicates(
     described_rows = checkpointed(rows.mapInArrow(described, f"id {kind}, n long, digest binary, short long, bits binary, keys array<long>"))
     classes = checkpointed(described_rows.where("n > 0").dropDuplicates(["digest"]))
 
-    # 2: the smallest class of a key owns all that share it
-    alike = Window.partitionBy("key")
-    shared = classes.select("short", F.explode("keys").alias("key"))
-    shared = shared.select("short", F.min("short").over(alike).alias("owner"), F.max("short").over(alike).alias("most")).where("owner < most")
-    members = shared.select("owner", "short").distinct()
-    parts = members.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / TREE_SETS).cast("int").alias("parts"))
-    met = members.join(classes.select("short", "digest", "n", "bits"), "short").join(parts, "owner")
-    tiles = _dealt(met, "owner", "parts").select("owner", "i", "j", "digest", "n", "bits")
+    # 2: the smallest class of a key owns all that share it and have a neighbour in size that they can link with
+    alike, by_size = Window.partitionBy("key"), Window.partitionBy("key").orderBy("n")
+    shared = classes.select("short", "n", F.explode("keys").alias("key"))
+    shared = shared.select("short", "n", F.min("short").over(alike).alias("owner"), F.lag("n").over(by_size).alias("under"), F.lead("n").over(by_size).alias("over"))
+    fits = (100 * F.col("under") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("over"))
+    members = shared.where(fits).select("owner", "short").distinct()
+    tiles = _dealt(members, "owner", "short", TREE_SETS).join(classes.select("short", "digest", "n", "bits"), "short")
+    tiles = tiles.select("owner", "i", "j", "digest", "n", "bits")
     tiles = tiles.repartition("owner", "i", "j").sortWithinPartitions("owner", "i", "j")
-    maybe = checkpointed(tiles.mapInArrow(lambda b: _stars(b, percent, False), "a binary, b binary"))
+    maybe = checkpointed(tiles.mapInArrow(lambda b: _stars(b, percent), "a binary, b binary"))
 
     # 3: whole sets of candidate groups, compared exactly
     groups = checkpointed(components(maybe))
     placed = groups.select(F.col("node").alias("digest"), F.col("root").alias("candidate")).join(classes.select("digest", "n", "id"), "digest")
-    parts = placed.groupBy("candidate").agg(F.ceil(F.sum("n") / TREE_ELEMENTS).cast("int").alias("parts"))
-    placed = placed.join(parts, "candidate").select(F.col("id").alias("own_id"), F.col("digest").alias("wanted"), "candidate", "parts")
-    named = rows.join(placed, F.col("id").eqNullSafe(F.col("own_id"))).select("candidate", "parts", "wanted", "name")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            sets = [shingles(t, words) for t in texts(part.column(3))]
-            kept = [xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, part.column(2).to_pylist())]
-            sizes, data = pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())
-            columns = [part.column(0), part.column(1), part.column(2), sizes, data]
-            yield pa.RecordBatch.from_arrays(columns, ["candidate", "parts", "digest", "n", "data"]).filter(pa.array(kept, pa.bool_()))
-
-    sets = named.mapInArrow(whole, "candidate binary, parts int, digest binary, n long, data binary")
-    tiles = _dealt(sets, "candidate", "parts").select("candidate", "i", "j", "digest", "n", "data")
+    placed = _dealt(placed, "candidate", "digest", TREE_ELEMENTS, "n").withColumnRenamed("id", "own_id")
+    # candidates grow with the data, so they are never broadcast, and no more than their names is shuffled
+    named = rows.join(placed.hint("merge"), F.col("id").eqNullSafe(F.col("own_id")))
+    tiles = named.select("candidate", "i", "j", "digest", "n", "name")
     tiles = tiles.repartition("candidate", "i", "j").sortWithinPartitions("candidate", "i", "j")
-    links = checkpointed(tiles.mapInArrow(lambda b: _stars(b, percent, True), "a binary, b binary"))
+    links = checkpointed(tiles.mapInArrow(lambda b: _stars(b, percent, words), "a binary, b binary"))
 
     # 4: the smallest id of each component, by class first and then by row
     roots = components(links).select(F.col("node").alias("digest"), "root")
