@@ -96,7 +96,9 @@ def _(t):
 
 
 def nmf(t, k: int = 5):
-    return L.nmf_factors(matrix(t), "user_id", "item_id", "rating", k, iterations=5)
+    rated = matrix(t)
+    users, items, error = L.nmf_factors(rated, "user_idx", "item_idx", "rating", k, iterations=5)
+    return users, items.join(rated.select("item_idx", "item_id").distinct(), "item_idx").drop("item_idx"), error
 
 
 @query("l6_nmf_factors")

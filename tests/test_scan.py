@@ -102,3 +102,34 @@ def test_value_counts_below(log):
     assert got.n.tolist() == counts.tolist()
     assert got.below.tolist() == (counts.cumsum() - counts).tolist()
     assert set(got.total) == {len(pdf)}
+
+
+def spread(df, keys, order, rows_per_cell=50):
+    """Rows per slice of each key."""
+    cells = scan.HotCells(rows_per_cell).apply(df, keys, order)
+    return [r["count"] for r in cells.groupBy(*keys, scan.CELL).count().collect()]
+
+
+def test_outliers_and_bursts_do_not_fill_one_slice(spark):
+    """One row in 1970, and half of all rows at the same second, told apart by their ids."""
+    rows = [(1, 0 if i == 0 else 10**9 if i % 2 else 10**9 + i, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "user int, t long, id int")
+    sizes = spread(df, ["user"], ["t", "id"])
+    assert len(sizes) > 40 and max(sizes) < 200
+    numbered = scan.numbered(df, ["user"], ["t", "id"], scan.HotCells(50)).select("id", "row_no").collect()
+    want = {r[2]: n + 1 for n, r in enumerate(sorted(rows, key=lambda r: (r[1], r[2])))}
+    assert {r.id: r.row_no for r in numbered} == want
+
+
+def test_texts_with_a_common_start_are_cut(spark):
+    names = [f"Customer#0000000{i:05d}" for i in range(3000)]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    sizes = spread(df, [], ["name"])
+    assert len(sizes) > 40 and max(sizes) < 300
+    got = scan.numbered(df, [], ["name"], scan.HotCells(50)).collect()
+    assert {r.name: r.row_no for r in got} == {n: i + 1 for i, n in enumerate(names)}
+
+
+def test_keys_that_are_not_busy_are_one_slice(log):
+    _, df = log
+    assert len(spread(df, ["user"], ["t", "id"], 10_000)) == df.select("user").distinct().count()
