@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encore.llm.bpe import decode_names, encode_names
+from encore.llm.bpe import encode_names
 from encore.llm.contamination import contaminated
 from encore.llm.exact import first_copies
 from encore.llm.near import near_duplicates
@@ -49,12 +49,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    back = decode_names(encode_names(docs, "doc_id", "text"), "doc_id")
+    back = encode_names(docs, "doc_id", "text", decoded="decoded")
     return back.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("track_name", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from encore.llm.bpe import decode_names, encode_names
+from encore.llm.bpe import encode_names
 from encore.llm.chat import format_conversations, read_conversations
 from encore.llm.contamination import contaminated
 from encore.llm.exact import exact_duplicates
@@ -57,12 +57,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_bpe_round_trip")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = decode_names(encode_names(tracks_of(spark, sf_dir)))
+    back = encode_names(tracks_of(spark, sf_dir), decoded="decoded")
     return back.select(
         F.col("track_id").alias("doc_id"),
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("track_name", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -52,6 +52,11 @@ def test_encode_and_decode_equal_the_library(spark, rows, library, names):
         assert r.track_name == library.decode(r.token_ids, skip_special_tokens=False)
 
 
+def test_decoding_in_the_same_task(spark, rows, names):
+    got = encode_names(rows([(i, t, "x", "y") for i, t in enumerate(names)], SCHEMA), decoded="n_tokens").collect()
+    assert {r.track_id: r.n_tokens for r in got} == dict(enumerate(names))
+
+
 def test_ids_that_are_no_text_decode_as_in_the_library(library):
     with open(bpe.TOKENIZER, encoding="utf-8") as source:
         model = Bpe(source.read())
