@@ -227,14 +227,15 @@ def factor_sentences(interpreted: DataFrame) -> DataFrame:
     return every.join(named, "factor", "left").withColumn("interpretation", F.coalesce("interpretation", F.lit("uninterpretable")))
 
 
-def factor_stability(df: DataFrame, user: str, item: str, value: str, window: str, windows: Sequence, k: int = 3, min_rows: int = 100, iterations: int = 5) -> DataFrame:
+def factor_stability(df: DataFrame, user: str, item: str, value: str, window: str, windows: Sequence | None = None, k: int = 3, min_rows: int = 100, iterations: int = 5) -> DataFrame:
     """|r| of same-index user factors of consecutive windows, aligned on the user: mean, std, min, max.
 
-    One factorisation per window; the windows are a short list of labels.
+    One factorisation per window; the windows are a short list of labels, by default all of the table.
     """
     cols = [f"f{i}" for i in range(k)]
-    sized = df.filter(F.col(window).isin(*windows)).groupBy(window).agg(F.count("*").alias("n")).filter(F.col("n") >= min_rows)
-    usable = [r[window] for r in sized.orderBy(window).select(window).collect()]  # at most one row per given window
+    known = df.filter(F.col(window).isNotNull() if windows is None else F.col(window).isin(*windows))
+    sized = known.groupBy(window).agg(F.count("*").alias("n")).filter(F.col("n") >= min_rows)
+    usable = [r[window] for r in sized.orderBy(window).select(window).collect()]  # at most one row per window
     previous, out = None, None
     for w in usable:
         matrix = interaction_matrix(df.filter(F.col(window) == w), user, item, value)

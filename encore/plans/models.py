@@ -92,12 +92,12 @@ def _(t):
 
 @query("l5_svd_factors")
 def _(t):
-    return rounded(L.svd_factors(matrix(t), "user_idx", "item_idx", "rating", 3, 4)[2], "singular_value", "explained")
+    return rounded(L.svd_factors(matrix(t), "user_idx", "item_idx", "rating")[2], "singular_value", "explained")
 
 
-def nmf(t, k: int = 5):
+def nmf(t, **given):
     rated = matrix(t)
-    users, items, error = L.nmf_factors(rated, "user_idx", "item_idx", "rating", k, iterations=5)
+    users, items, error = L.nmf_factors(rated, "user_idx", "item_idx", "rating", **given)
     return users, items.join(rated.select("item_idx", "item_id").distinct(), "item_idx").drop("item_idx"), error
 
 
@@ -108,7 +108,7 @@ def _(t):
 
 @query("l7_factor_sweep")
 def _(t):
-    return rounded(L.factor_sweep(matrix(t), "user_idx", "item_idx", "rating", (2, 4), 2), "explained", "reconstruction_error")
+    return rounded(L.factor_sweep(matrix(t), "user_idx", "item_idx", "rating"), "explained", "reconstruction_error")
 
 
 LOADINGS = """SELECT item_id, 0 AS factor, avg(quantity) AS loading FROM baskets GROUP BY 1 UNION ALL
@@ -149,7 +149,7 @@ def _(t):
 @query("l9_factor_stability")
 def _(t):
     rows = t.baskets.withColumn("year", F.year("ts"))
-    return rounded(L.factor_stability(rows, "user_id", "item_id", "quantity", "year", [1999, 2000], 2, iterations=2), "mean_r", "std_r", "min_r", "max_r")
+    return rounded(L.factor_stability(rows, "user_id", "item_id", "quantity", "year"), "mean_r", "std_r", "min_r", "max_r")
 
 
 @query("l10_personalities")
@@ -157,13 +157,13 @@ def _(t):
     plays = t.baskets.drop("artist_id").join(
         t.tracks.select(F.col("track_id").alias("item_id"), F.col("artist_name"), "culture"), "item_id"
     )
-    out = L.personalities(L.long_factors(nmf(t, 3)[1], "item_id"), plays, "item_id", "artist_name", "culture")
+    out = L.personalities(L.long_factors(nmf(t, k=3)[1], "item_id"), plays, "item_id", "artist_name", "culture")
     return rounded(out, "vietnamese_ratio", "western_ratio", "bridge_ratio", "factor_strength", "factor_mean")
 
 
 @query("h7_top_items_per_factor")
 def _(t):
-    top = L.top_items_per_factor(L.long_factors(nmf(t, 3)[1], "item_id"), "item_id")
+    top = L.top_items_per_factor(L.long_factors(nmf(t, k=3)[1], "item_id"), "item_id")
     named = top.join(t.tracks.select(F.col("track_id").alias("item_id"), "artist_name"), "item_id")
     return rounded(named.select("factor", "rank", "item_id", "artist_name", "loading"), "loading")
 
@@ -223,15 +223,15 @@ def daily_table(t):
 @query("l13_volume_regressor")
 def _(t):
     daily = daily_table(t)
-    fit = lambda rows: ML.volume_regressor(rows, trees=5, depth=4)
+    fit = ML.volume_regressor
     scored = fit(daily).transform(daily)
     whole = ML.regression_metrics(scored, "plays", "prediction").withColumn("fold", F.lit(-1))
-    return rounded(whole.unionByName(ML.expanding_cv(daily, "date", fit, folds=2)), "mae", "rmse", "r2")
+    return rounded(whole.unionByName(ML.expanding_cv(daily, "date", fit)), "mae", "rmse", "r2")
 
 
 @query("l14_volume_forecast")
 def _(t):
-    model = ML.volume_regressor(daily_table(t), trees=5, depth=4)
+    model = ML.volume_regressor(daily_table(t))
     recent = S.trailing_n_events(t.history, [], "ts", "event_id", 1000)
     last = t.history.agg(F.to_date(F.max("ts")).alias("d"))
     targets = last.select(F.explode(F.sequence(F.date_add("d", 1), F.date_add("d", 7))).alias("date"))
@@ -276,7 +276,7 @@ def _(t):
 
 @query("l17_session_artist_classifier")
 def _(t):
-    return rounded(ML.session_artist_classifier(session_rows(t), "artist_id", "event_id", trees=10)[1], "accuracy")
+    return rounded(ML.session_artist_classifier(session_rows(t), "artist_id", "event_id")[1], "accuracy")
 
 
 def moods(t):
@@ -302,7 +302,7 @@ def _(t):
 
 @query("l19_mood_classifier")
 def _(t):
-    prep, model, groups = ML.mood_classifier(moods(t), trees=3)
+    prep, model, groups = ML.mood_classifier(moods(t))
     data = groups.transform(prep.transform(moods(t)))
     scored = model.transform(data)
     return scored.groupBy("mood").agg(
@@ -321,7 +321,7 @@ def labelled(t):
 
 
 def forest(t):
-    return ML.bridge_classifier(labelled(t), BRIDGE_FEATURES, "is_bridge", "track_id", 6, 10, 4)
+    return ML.bridge_classifier(labelled(t), BRIDGE_FEATURES, "is_bridge", "track_id")
 
 
 @query("l20_bridge_classifier")

@@ -238,13 +238,13 @@ def _(t):
 
 @query("o13_permutation_baseline")
 def _(t):
-    out = H.permutation_baseline(vectors(t), "features", "label", "vec_id", 10, 20)
+    out = H.permutation_baseline(vectors(t), "features", "label", "vec_id", 10)
     return rounded(out, "calinski_harabasz", "random_ch", "davies_bouldin", "random_db")
 
 
 @query("o14_bootstrap_cluster_stability")
 def _(t):
-    return rounded(H.cluster_stability(vectors(t), "features", "vec_id", 10, 3), "ari")
+    return rounded(H.cluster_stability(vectors(t), "features", "vec_id", 10), "ari")
 
 
 @query(
@@ -262,13 +262,13 @@ def _(t):
 
 @query("o16_bootstrap_ci_mean")
 def _(t):
-    out = H.bootstrap_ci(t.lineitem, "l_quantity", ["l_orderkey", "l_linenumber", "l_partkey"], 50)
+    out = H.bootstrap_ci(t.lineitem, "l_quantity", ["l_orderkey", "l_linenumber", "l_partkey"])
     return rounded(out, "ci_low", "ci_high", "estimate")
 
 
 @query("o16_bootstrap_ci_median")
 def _(t):
-    out = H.bootstrap_ci(t.lineitem, "l_quantity", ["l_orderkey", "l_linenumber", "l_partkey"], 20, median=True)
+    out = H.bootstrap_ci(t.lineitem, "l_quantity", ["l_orderkey", "l_linenumber", "l_partkey"], median=True)
     return rounded(out, "ci_low", "ci_high", "estimate")
 
 
