@@ -51,7 +51,10 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-_UNSEEN = re.compile(r"display\s*:\s*none|(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true", re.I)
+_MAY_HIDE = re.compile(r"hidden|none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_COMMENT = re.compile(r"/\*.*?\*/", re.S)
+_HIDING_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|(?:content-)?visibility\s*:\s*hidden)(?![\w-])", re.I)
 
 
 @dataclass
@@ -62,6 +65,25 @@ class Block:
     heading: bool
 
 
+def unseen(attributes: str) -> bool:
+    """Whether an element is hidden by the attribute ``hidden``, ``aria-hidden``, a class ``hidden`` or its style.
+
+    The word in any other attribute or value (``overflow: hidden``, a title) hides nothing.
+    """
+    if not _MAY_HIDE.search(attributes):
+        return False
+    for match in _ATTRIBUTE.finditer(attributes):
+        name, value = match[1].lower(), entities.unescape(next(filter(None, match.groups()[1:]), ""))
+        if (
+            name == "hidden"
+            or name == "aria-hidden" and value.strip().lower() == "true"
+            or name == "class" and "hidden" in value.lower().split()
+            or name == "style" and _HIDING_STYLE.search(_COMMENT.sub("", value))
+        ):
+            return True
+    return False
+
+
 def holder_label(name: str, attributes: str, outer: int) -> int:
     """What an opened element says about its text; without a hint that of the element around it.
 
@@ -73,7 +95,7 @@ def holder_label(name: str, attributes: str, outer: int) -> int:
         return SIDE
     main = name in ("article", "main")
     if attributes.strip():
-        if _UNSEEN.search(attributes):
+        if unseen(attributes):
             return SIDE
         for match in _NAMED.finditer(attributes):
             for token in next(filter(None, match.groups()), "").split():

@@ -52,3 +52,21 @@ def test_operator(spark, rows):
     got = sorted(((r.page_id or 0, r.url, r.text, r.n_chars) for r in extract_text(rows(data, schema)).collect()), key=str)
     assert got == [(0, None, "", 0), (1, "u", "é\n\nb", 4), (2, "u", "", 0), (2, "u", "", 0)]
     assert extract_text(rows([], schema)).count() == 0
+
+
+def test_hidden_is_an_attribute_a_class_or_a_style():
+    shown = [
+        'style="overflow:hidden"', "style='overflow: hidden; color: red'", 'title="The hidden valley"', 'data-state="hidden"', "data-state=hidden", 'class="overflow-hidden"',
+        'style="--display:none"', 'data-style="display:none"', 'aria-hidden="false"', 'alt="a = hidden"',
+    ]
+    for attributes in shown:
+        assert main_text(f"<article {attributes}>{LONG}</article>") == " ".join(LONG.split()), attributes
+        for name in ("div", "p"):
+            assert main_text(f"<article>a<{name} {attributes}>word</{name}>b</article>") == "a\n\nword\n\nb", attributes
+    gone = [
+        "hidden", "HIDDEN", 'hidden=""', 'id=x hidden', 'hidden="until-found"', 'class="card hidden"', "class=hidden", 'aria-hidden="true"', "aria-hidden=true",
+        'style="display:none"', 'style="color:red; display : none !important"', 'style="visibility: hidden"', 'style="/* off */ display:none"',
+    ]
+    for attributes in gone:
+        for name in ("div", "p"):
+            assert main_text(f"<article>a<{name} {attributes}>{LONG}</{name}>b</article>") == "a\n\nb", attributes
