@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``: each stage applies one operator to all that the one before kept.
 
-Decisions are by ``doc_id``: rows that share an id stay or go together, save for
-exact copies, of which one row stays.
+Decisions are by row: rows that share an id, or have none, stay or go each by its own
+text. After the exact dedup no two rows have one text, so id and text name a row.
 """
 
 from __future__ import annotations
@@ -17,10 +17,16 @@ from encore.llm.toxicity import with_score
 from encore.session import checkpointed
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` whose id is not in ``gone``."""
-    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, in the order of ids (null last) and never null."""
+    text = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    return docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), text.alias("text")))
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose key is not in ``gone``, without the key."""
+    gone = gone.select(F.col("__row").alias("__gone")).distinct()
+    return keyed.join(gone, F.col("__row").eqNullSafe(F.col("__gone")), "left_anti").drop("__row")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +43,16 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each component of links (five-word shingles, similarity of 0.8 or more)."""
-    found = near_duplicates(docs, "doc_id", "text", words=5, percent=80)
-    return _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    keyed = _keyed(docs)
+    found = near_duplicates(keyed, "__row", "text", words=5, percent=80)
+    return _without(keyed, found.where(~F.col("__row").eqNullSafe(F.col("component_id"))))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, contaminated(docs, items, "doc_id", "text", "item_id", "text").where("contaminated"))
+    keyed = _keyed(docs)
+    return _without(keyed, contaminated(keyed, items, "__row", "text", "item_id", "text").where("contaminated"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

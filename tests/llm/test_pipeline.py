@@ -79,3 +79,22 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark, rows):
             docs = stage(spark, docs, FOLDER)
         got = sorted((str(r.doc_id) for r in docs.collect()))
         assert got == (["1", "3", "None"] if some else [])
+
+
+def test_rows_of_one_id_are_decided_each(spark, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    item = max((r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()), key=lambda t: len(t or ""))
+    text = lambda word: " ".join(f"{word}{n}" for n in range(60))
+    near = lambda word: text(word) + " end"
+    data = [
+        (1, text("a")), (1, near("a")), (1, text("b")), (None, text("c")), (None, near("c")), (None, text("d")),
+        (0, text("e")), (5, near("e")), (5, text("f")), (None, text("g")), (7, near("g")), (None, item), (5, item + " or so"),
+    ]
+    docs = rows([(i, t, "", "", len(t)) for i, t in data], schema)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()]
+    first = lambda word: [(i, t) for i, t in kept if t in (text(word), near(word))]
+    assert [len(first(w)) for w in "abcdefg"] == [1] * 7
+    assert first("e") == [(0, text("e"))] and first("g") == [(7, near("g"))]
+    clean = corpus_pipeline.decontaminate(spark, docs, FOLDER)
+    assert clean.columns == docs.columns
+    assert sorted(clean.collect(), key=str) == sorted(docs.where(~docs.text.startswith(item)).collect(), key=str)
