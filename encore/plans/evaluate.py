@@ -8,7 +8,7 @@ from encore.operators import evaluate as V
 from encore.operators import recommend as M
 from encore.operators.ranking import top_k_per_group
 from encore.plans.base import hash_sql, query, sql
-from encore.plans.recommend import CANDIDATES_PER_PERSONALITY, FEATURES, IDS, scored_bridges, wide
+from encore.plans.recommend import FEATURES, IDS, scored_bridges, wide
 from encore.plans.timeseries import rounded
 from encore.session import checkpointed
 
@@ -267,9 +267,7 @@ def split_metrics(t):
     scores = checkpointed(wide(t))
     profiles = M.user_profiles(train, scores, t.tracks, SPLIT_KEYS, "track_id", IDS, FEATURES, weight="n")
     bridges = scored_bridges(t)
-    fresh = M.unseen_pairs(train, train, scores, bridges, SPLIT_KEYS, "track_id", IDS, CANDIDATES_PER_PERSONALITY)
-    scored = M.score_pairs(fresh, profiles, scores, bridges, SPLIT_KEYS, "track_id", IDS)
-    recs = checkpointed(M.recommend(scored, SPLIT_KEYS, "track_id", 50))
+    recs = checkpointed(M.recommend_unseen(train, train, profiles, scores, bridges, SPLIT_KEYS, "track_id", IDS, 50))
     keys, item = SPLIT_KEYS, "track_id"
     audio = ["energy", "valence", "danceability"]
     artists = t.tracks.select("track_id", "artist_name")

@@ -341,10 +341,8 @@ UNSEEN_SCORES = """SELECT user_id, track_id, 0.6 * (w_p1 * s_p1 + w_p2 * s_p2 +
     WHERE NOT EXISTS (SELECT 1 FROM plays p WHERE p.user_id = x.user_id AND p.track_id = x.track_id)"""
 
 
-def unseen_scores(t):
-    known, bridges = wide(t), scored_bridges(t)
-    pairs = M.unseen_pairs(t.plays, t.plays, known, bridges, "user_id", "track_id", IDS, CANDIDATES_PER_PERSONALITY)
-    return M.score_pairs(pairs, user_profiles(t), known, bridges, "user_id", "track_id", IDS)
+def best_unseen(t):
+    return M.recommend_unseen(t.plays, t.plays, user_profiles(t), wide(t), scored_bridges(t), "user_id", "track_id", IDS)
 
 
 @query(
@@ -360,7 +358,7 @@ def unseen_scores(t):
     ),
 )
 def _(t):
-    return rounded(M.recommend(unseen_scores(t), "user_id", "track_id"), "score").select("user_id", "track_id", "score", "rank")
+    return rounded(best_unseen(t), "score").select("user_id", "track_id", "score", "rank")
 
 
 CTX = f"""SELECT event_id, {BANDS_SQL} AS band, h AS hour, isodow(ts) < 6 AND h >= 9 AND h < 17 AS is_work, isodow(ts) >= 6 AS is_weekend, label, track_id,
