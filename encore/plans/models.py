@@ -251,7 +251,7 @@ SF = """SELECT *, count(*) OVER (PARTITION BY user_id, session_no) AS len, row_n
 
 
 def session_rows(t):
-    return ML.session_features(t.plays, "ts", "user_id", "event_id", "artist_id", F.col("label") == "click", cap=10, keep=8, gap_minutes=240)
+    return ML.session_features(t.plays, "ts", "user_id", "event_id", "artist_id", F.col("label") == "click", gap_minutes=240)
 
 
 @query(

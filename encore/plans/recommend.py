@@ -400,7 +400,7 @@ ARTIST = {
 
 
 def artist_profile(t):
-    return A.artist_temporal_profile(t.plays, "artist_id", "ts", "label", 15)
+    return A.artist_temporal_profile(t.plays, "artist_id", "ts", "label", 50)
 
 
 @query(
