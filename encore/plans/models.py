@@ -259,7 +259,8 @@ def session_rows(t):
     sql(
         f"""SELECT event_id, artist_id, round(h / 24, 6) AS hour, round((isodow(ts) - 1) / 6, 6) AS day, CAST(isodow(ts) >= 6 AS DOUBLE) AS is_weekend,
         round(pos / len, 6) AS position, len::DOUBLE AS session_length, CAST(label = 'click' AS DOUBLE) AS class_flag, {BANDS_SQL} AS band
-        FROM long WHERE artist_id IN (SELECT artist_id FROM long GROUP BY 1 ORDER BY count(*) DESC, artist_id LIMIT 8)""",
+        FROM long WHERE artist_id IN (SELECT artist_id FROM (SELECT artist_id, row_number() OVER (ORDER BY count(*) DESC, artist_id) AS place, count(*) OVER () AS n
+            FROM long GROUP BY 1) WHERE n <= 100 OR place <= 50)""",
         "sess",
         sf=SF,
         long="SELECT * FROM sf WHERE len >= 3",

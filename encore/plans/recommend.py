@@ -8,13 +8,13 @@ from encore.operators import activity as A
 from encore.operators import bridges as B
 from encore.operators import recommend as M
 from encore.operators import sessions as S
-from encore.operators.ranking import top_k_per_group
 from encore.operators.scan import hot_cells
 from encore.plans.activity import modal, playlist, PLAYLIST
 from encore.plans.base import query, sql
 from encore.plans.scalar import BANDS_SQL, six
 from encore.plans.sessions import POINTS, SHIFT, TRANSITIONS, after_runs, points
 from encore.plans.timeseries import rounded
+from encore.session import checkpointed
 
 FEATURES = ["energy", "valence", "danceability", "acousticness"]
 
@@ -321,23 +321,11 @@ def _(t):
     return rounded(out.select("user_id", "plays", *cols), *cols)
 
 
-def pair_scores(t):
-    pairs = t.plays.select("user_id", "track_id").distinct()
-    return M.score_pairs(pairs, user_profiles(t), wide(t), scored_bridges(t), "user_id", "track_id", IDS)
+RECS = {"ws": WIDE, "pf": PROFILES, "lk": LOOKUP, "br": BRIDGE}
 
 
-PAIR_SCORES = """SELECT user_id, track_id, bridge_score, br.culture AS culture, 0.6 * (w_p1 * s_p1 + w_p2 * s_p2 + w_p3 * s_p3) + 0.2 * bridge_score + 0.16 AS score
-    FROM (SELECT DISTINCT user_id, track_id FROM plays) JOIN ws USING (track_id) JOIN br USING (track_id) JOIN pf USING (user_id)"""
-RECS = {"ws": WIDE, "pf": PROFILES, "lk": LOOKUP, "br": BRIDGE, "ps": PAIR_SCORES}
-
-
-CANDIDATES_PER_PERSONALITY = 100
-UNSEEN = " UNION ".join(
-    f"(SELECT track_id FROM ws JOIN br USING (track_id) ORDER BY round(0.6 * s_{i} + 0.2 * bridge_score, 9) DESC, track_id LIMIT {CANDIDATES_PER_PERSONALITY})"
-    for i in IDS
-)
 UNSEEN_SCORES = """SELECT user_id, track_id, 0.6 * (w_p1 * s_p1 + w_p2 * s_p2 + w_p3 * s_p3) + 0.2 * bridge_score + 0.16 AS score
-    FROM (SELECT user_id, track_id FROM (SELECT DISTINCT user_id FROM plays), best) x JOIN ws USING (track_id) JOIN br USING (track_id) JOIN pf USING (user_id)
+    FROM (SELECT user_id, track_id FROM (SELECT DISTINCT user_id FROM plays), ws) x JOIN ws USING (track_id) JOIN br USING (track_id) JOIN pf USING (user_id)
     WHERE NOT EXISTS (SELECT 1 FROM plays p WHERE p.user_id = x.user_id AND p.track_id = x.track_id)"""
 
 
@@ -352,8 +340,7 @@ def best_unseen(t):
         FROM us QUALIFY rank <= 10""",
         "plays",
         "tracks",
-        **{k: v for k, v in RECS.items() if k != "ps"},
-        best=UNSEEN,
+        **RECS,
         us=UNSEEN_SCORES,
     ),
 )
@@ -389,7 +376,7 @@ def _(t):
 
 
 ARTIST = {
-    "top": "SELECT artist_id FROM plays GROUP BY 1 ORDER BY count(*) DESC, artist_id LIMIT 15",
+    "top": "SELECT artist_id FROM plays GROUP BY 1 ORDER BY count(*) DESC, artist_id LIMIT 50",
     "mb": modal("ctx", "artist_id", "band", "preferred_band"),
     "ap": """SELECT artist_id, preferred_band, avg(CASE WHEN is_weekend THEN 1.0 ELSE 0 END) AS wk, avg(CASE WHEN is_work THEN 1.0 ELSE 0 END) AS wo
         FROM ctx JOIN top USING (artist_id) JOIN mb USING (artist_id) GROUP BY 1, 2 HAVING count(*) > 10""",
@@ -419,33 +406,53 @@ def _(t):
     return rounded(M.time_appropriateness(t.plays, "ts"), "appropriateness")
 
 
+CULTURES = ["vietnamese", "western", "bridge"]
+CULTURE_SHARES = {
+    c: f"SELECT {c}, " + ", ".join(f"avg(CASE WHEN culture = '{k}' THEN 1.0 ELSE 0 END) AS {k}" for k in CULTURES) + " FROM ctx JOIN tracks USING (track_id) GROUP BY 1"
+    for c in ("band", "is_work", "is_weekend")
+}
+LATEST = f"""SELECT lp.*, {', '.join(f'0.4 * coalesce(b.{k}, 0.5) + 0.3 * coalesce(w.{k}, 0.5) + 0.3 * coalesce(e.{k}, 0.5) AS pref_{k}' for k in CULTURES)} FROM (
+    SELECT user_id, label, h AS hour, {BANDS_SQL} AS band, isodow(ts) < 6 AND h >= 9 AND h < 17 AS is_work, isodow(ts) >= 6 AS is_weekend
+    FROM (SELECT *, hour(ts) AS h FROM plays) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) lp
+    LEFT JOIN cb b USING (band) LEFT JOIN cw w USING (is_work) LEFT JOIN ce e USING (is_weekend)"""
 CONTEXTUAL = """SELECT *, 0.4 * context_score + 0.3 * appropriateness + 0.3 * fit AS score, CASE WHEN r = '' THEN 'Contextually appropriate' ELSE r END AS reason FROM (
     SELECT *, concat_ws('; ', CASE band WHEN 'morning' THEN 'Good morning energy' WHEN 'evening' THEN 'Perfect for evening relaxation'
     WHEN 'night' THEN 'Suitable for late-night listening' END, CASE WHEN is_weekend THEN 'Weekend vibe' WHEN is_work THEN 'Work-friendly choice' END,
-    CASE WHEN fit > 0.6 THEN 'Matches current preference' END) AS r FROM (SELECT *, CASE label WHEN 'click' THEN pref_click WHEN 'view' THEN pref_view ELSE 0.5 END AS fit
-    FROM cs JOIN hr USING (hour)))"""
+    CASE WHEN fit > 0.6 THEN 'Matches current preference' END) AS r FROM (SELECT lt.*, track_id, CASE culture WHEN 'vietnamese' THEN pref_vietnamese WHEN 'western' THEN pref_western
+    WHEN 'bridge' THEN pref_bridge ELSE 0.5 END AS fit, CASE WHEN preferred_band IS NULL THEN 0.5 ELSE 0.4 * CASE WHEN preferred_band = band THEN 1 ELSE 0.5 END
+    + 0.3 * (1 - abs(wk - CAST(is_weekend AS INTEGER))) + 0.3 * (1 - abs(wo - CAST(is_work AS INTEGER))) END AS context_score, appropriateness
+    FROM lt JOIN tracks ON NOT EXISTS (SELECT 1 FROM plays p WHERE p.user_id = lt.user_id AND p.track_id = tracks.track_id)
+    LEFT JOIN ap ON ap.artist_id = track_id // 5 JOIN hr USING (hour)))"""
+CATALOGUE = {"cb": CULTURE_SHARES["band"], "cw": CULTURE_SHARES["is_work"], "ce": CULTURE_SHARES["is_weekend"], "lt": LATEST, "hr": HOURLY, "cx": CONTEXTUAL}
 
 
-def contextual(t):
-    hourly = M.time_appropriateness(t.plays, "ts")
-    return M.contextual_scores(with_prefs(t), artist_profile(t), hourly, "artist_id", "label", ["click", "view"])
+def catalogue(t):
+    """Tracks with the artist of the play log: five tracks per artist."""
+    return t.tracks.withColumn("artist_id", F.floor(F.col("track_id") / 5).cast("int"))
+
+
+def latest(t):
+    """The context of each listener's latest play with the class preferences of contexts like it."""
+    heard = t.plays.join(t.tracks.select("track_id", "culture"), "track_id")
+    return M.context_preferences(M.latest_context(t.plays, "user_id", "ts", "event_id", "label"), heard, "culture", CULTURES, "ts")
 
 
 @query(
     "m9_contextual_recommend",
     sql(
-        """SELECT user_id, event_id, round(score, 6) AS score, reason, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, event_id) AS rank
-        FROM cx QUALIFY rank <= 50""",
+        """SELECT user_id, track_id, round(score, 6) AS score, reason, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, track_id) AS rank
+        FROM cx QUALIFY rank <= 10""",
         "plays",
+        "tracks",
         **CONTEXT,
         **ARTIST,
-        hr=HOURLY,
-        cx=CONTEXTUAL,
+        **CATALOGUE,
     ),
 )
 def _(t):
-    out = top_k_per_group(contextual(t), ["user_id"], [F.desc(F.round("score", 9)), F.col("event_id")], 50)
-    return rounded(out, "score").select("user_id", "event_id", "score", "reason", "rank")
+    hourly = M.time_appropriateness(t.plays, "ts")
+    out = M.contextual_unseen(latest(t), t.plays, catalogue(t), artist_profile(t), hourly, "user_id", "track_id", "artist_id", "culture", CULTURES)
+    return rounded(out, "score").select("user_id", "track_id", "score", "reason", "rank")
 
 
 MOODS = {"click": "energetic", "error": "contemplative", "purchase": "social", "signup": "focused", "view": "unheard"}
@@ -471,10 +478,10 @@ def _(t):
 
 
 ENSEMBLE = """SELECT *, 0.4 * base + 0.2 * te + 0.2 * mo + 0.2 * bs AS final, greatest(base, te, mo, bs) AS top, (base + te + mo + bs) / 4 AS m FROM (
-    SELECT user_id, track_id, score AS base, bridge_score AS bs, coalesce(te, 0.5) AS te, coalesce(mo, 0.5) AS mo FROM ps LEFT JOIN
-    (SELECT user_id, track_id, max(score) AS te FROM cx GROUP BY 1, 2) USING (user_id, track_id) LEFT JOIN (SELECT user_id, track_id,
-    CASE min(label) WHEN 'click' THEN 0.8 WHEN 'error' THEN 0.4 WHEN 'purchase' THEN 0.9 WHEN 'signup' THEN 0.7 ELSE 0.5 END AS mo FROM plays
-    WHERE label <> 'view' GROUP BY 1, 2) USING (user_id, track_id))"""
+    SELECT u.user_id, u.track_id, u.score AS base, u.bridge_score AS bs, cx.score AS te,
+    CASE label WHEN 'click' THEN 0.8 WHEN 'error' THEN 0.4 WHEN 'purchase' THEN 0.9 WHEN 'signup' THEN 0.7 ELSE 0.5 END AS mo FROM
+    (SELECT us.*, bridge_score FROM us JOIN br USING (track_id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, track_id) <= 10) u
+    JOIN cx USING (user_id, track_id))"""
 
 
 @query(
@@ -489,19 +496,19 @@ ENSEMBLE = """SELECT *, 0.4 * base + 0.2 * te + 0.2 * mo + 0.2 * bs AS final, gr
         **RECS,
         **CONTEXT,
         **ARTIST,
-        hr=HOURLY,
-        cx=CONTEXTUAL,
+        **CATALOGUE,
+        us=UNSEEN_SCORES,
         en=ENSEMBLE,
     ),
 )
 def _(t):
     keys = ["user_id", "track_id"]
-    scored = pair_scores(t)
-    base = scored.select(*keys, F.col("score").alias("base_score"), "bridge_score")
-    temporal = contextual(t).groupBy(*keys).agg(F.max("score").alias("temporal_score"))
-    heard = t.plays.filter("label <> 'view'").groupBy(*keys).agg(F.min("label").alias("label"))
-    mood = heard.select(*keys, M.mood_fit(mood_col()).alias("mood_score"))
-    out = M.ensemble(base, keys, {"temporal": temporal, "mood": mood})
+    base = checkpointed(best_unseen(t).select(*keys, F.col("score").alias("base_score"), "bridge_score"))
+    contexts = checkpointed(latest(t))
+    pairs = base.select(*keys).join(catalogue(t).select("track_id", "artist_id", "culture"), "track_id").join(contexts, "user_id")
+    scored = M.contextual_scores(pairs, artist_profile(t), M.time_appropriateness(t.plays, "ts"), "artist_id", "culture", CULTURES)
+    mood = pairs.select(*keys, M.mood_fit(mood_col()).alias("mood_score"))
+    out = M.ensemble(base, keys, {"temporal": scored.select(*keys, F.col("score").alias("temporal_score")), "mood": mood})
     return rounded(out, "final_score", "confidence").select(*keys, "final_score", "recommendation_type", "confidence", "bridge_potential")
 
 
