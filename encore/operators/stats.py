@@ -26,6 +26,8 @@ from encore.functions.tails import (
     t_two_sided_col,
     t_upper_col,
 )
+from encore.operators import resample as R
+from encore.operators.resample import label_index
 from encore.operators.scan import exact_quantiles, value_counts_below
 from encore.operators.timeseries import anova, spaced_change_points
 from encore.session import checkpointed, ship_package
@@ -295,22 +297,38 @@ def davies_bouldin(df: DataFrame, vector: str, label: str, keys: Sequence[str] =
 
 
 def permutation_baseline(df: DataFrame, vector: str, label: str, row_id: str, k: int, replicates: int = 100, seed: int = 42) -> DataFrame:
-    """CH and DB of random labelings against the observed ones; p = (count + 1) / (n + 1)."""
-    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    reps = reps.withColumn("__l", F.pmod(F.xxhash64(row_id, "rep", F.lit(seed)), F.lit(k)).cast("int"))
-    ch = calinski_harabasz(reps, vector, "__l", ["rep"])
-    db = davies_bouldin(reps, vector, "__l", ["rep"])
-    seen_ch = calinski_harabasz(df, vector, label).select("calinski_harabasz").scalar()
-    seen_db = davies_bouldin(df, vector, label).select("davies_bouldin").scalar()
-    both = ch.join(db, "rep").withColumns({"__ch": seen_ch, "__db": seen_db})
+    """CH and DB of random labelings against the observed ones; p = (count + 1) / (n + 1).
+
+    The label of a row in a replicate is its draw modulo ``k``. One pass adds up the
+    clusters of all replicates, a second one the distances to their centres.
+    """
+    rows, dims = R.vector_rows(df, vector, row_id, seed)
+
+    def random(vectors, a, b):
+        labels = R.draws(a, b, replicates) % k
+        return labels, np.ones(labels.shape)
+
+    def scattered(vectors, a, b):
+        labels = R.draws(a, b, replicates) % k
+        far = np.sqrt(R.distances(vectors, centres.reshape(-1, dims))).reshape(len(vectors), replicates, k)
+        own = np.take_along_axis(far, labels[:, :, None], axis=2)[:, :, 0]
+        return np.stack([np.where(labels == c, own, 0.0).sum(axis=0) for c in range(k)], axis=1)
+
+    sums = R.cluster_sums(rows, ["__a", "__b"], replicates, k, dims, random)
+    ch, centres = R.spread(sums)
+    db = R.scatter_index(R.replicate_sums(rows, ["__a", "__b"], replicates, k, dims, scattered), sums[..., 0], centres)
+    seen_ch = calinski_harabasz(df, vector, label).select("calinski_harabasz")
+    seen_db = davies_bouldin(df, vector, label).select("davies_bouldin")
+    reps = df.sparkSession.createDataFrame([(float(c), float(d)) for c, d in zip(ch, db)], "c double, d double")
+    both = reps.withColumns({"__ch": seen_ch.scalar(), "__db": seen_db.scalar()})
     return both.agg(
         F.count("*").alias("replicates"),
         F.first("__ch").alias("calinski_harabasz"),
-        F.avg("calinski_harabasz").alias("random_ch"),
-        ((F.count_if(F.col("calinski_harabasz") >= F.col("__ch")) + 1) / (F.count("*") + 1)).alias("p_ch"),
+        F.avg("c").alias("random_ch"),
+        ((F.count_if(F.col("c") >= F.col("__ch")) + 1) / (F.count("*") + 1)).alias("p_ch"),
         F.first("__db").alias("davies_bouldin"),
-        F.avg("davies_bouldin").alias("random_db"),
-        ((F.count_if(F.col("davies_bouldin") <= F.col("__db")) + 1) / (F.count("*") + 1)).alias("p_db"),
+        F.avg("d").alias("random_db"),
+        ((F.count_if(F.col("d") <= F.col("__db")) + 1) / (F.count("*") + 1)).alias("p_db"),
     )
 
 
@@ -332,51 +350,117 @@ def adjusted_rand_index(df: DataFrame, a: str, b: str, keys: Sequence[str] = ())
     return out.select(*keys, F.col("n").cast("long").alias("n"), value.alias("ari"))
 
 
-def poisson_weight(*cols: str | Column) -> Column:
-    """Poisson(1) draw from a hash of the given columns: a resample that never depends on partitioning."""
-    u = F.pmod(F.xxhash64(*cols), F.lit(2**31 - 1)) / F.lit(float(2**31 - 1))
-    out, p, total, i = None, float(np.exp(-1.0)), 0.0, 0
-    while 1.0 - total > 2.0**-32:  # what is left is below the resolution of the hash
-        total += p
-        out = F.when(u < total, i) if out is None else out.when(u < total, i)
-        i += 1
-        p /= i
-    return out.otherwise(i)
+def _interval(stat: DataFrame, point: Column, level: float) -> DataFrame:
+    tail = (1 - level) / 2
+    out = stat.agg(F.percentile("stat", tail).alias("ci_low"), F.percentile("stat", 1 - tail).alias("ci_high"), F.count("*").alias("replicates"))
+    return out.withColumn("estimate", point)
 
 
 def bootstrap_ci(df: DataFrame, x: str, row_id: Sequence[str], replicates: int = 1000, level: float = 0.95, seed: int = 42, median: bool = False) -> DataFrame:
-    """Percentile interval of the mean (or median) over Poisson resamples.
+    """Percentile interval of the mean (or median) over Poisson resamples; every row is read once for all replicates."""
+    if median:
+        return _interval(R.replicate_medians(df, x, row_id, replicates, seed), exact_quantiles(df, x, [0.5]).select("q_0").scalar(), level)
+    return _interval(R.replicate_means(df, x, row_id, replicates, seed), df.select(F.avg(x)).scalar(), level)
+
 
-    Replicates are extra group keys; the map side combines them before the shuffle.
+def bootstrap_silhouette(df: DataFrame, vector: str, label: str, row_id: str, replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """Percentile interval of the mean silhouette (squared Euclidean distance) over Poisson resamples.
+
+    The summed distance of a row to a cluster follows from the cluster's weight, sum
+    and sum of squares, so one pass adds those up for all replicates and a second one
+    the silhouettes. A row that is alone in its cluster has silhouette 0.
     """
-    reps = df.filter(F.col(x).isNotNull()).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    reps = reps.withColumn("w", poisson_weight(*row_id, "rep", F.lit(seed))).filter(F.col("w") > 0)
-    if median:
-        stat = exact_quantiles(reps, x, [0.5], ["rep"], "w").select("rep", F.col("q_0").alias("stat"))
-        point = exact_quantiles(df, x, [0.5]).select("q_0").scalar()
-    else:
-        stat = reps.groupBy("rep").agg((F.sum(F.col(x) * F.col("w")) / F.sum("w")).alias("stat"))
-        point = df.select(F.avg(x)).scalar()
-    tail = (1 - level) / 2
-    out = stat.agg(
-        F.percentile("stat", tail).alias("ci_low"), F.percentile("stat", 1 - tail).alias("ci_high"), F.count("*").alias("replicates")
-    )
-    return out.withColumn("estimate", point)
+    place, k = label_index(df, label)
+    rows, dims = R.vector_rows(df.where(F.col(label).isNotNull()), vector, row_id, seed, l=place)
+
+    def resampled(vectors, a, b, labels):
+        w = R.weights(a, b, replicates)
+        return np.broadcast_to(labels[:, None], w.shape), w.astype(float)
+
+    def silhouettes(vectors, a, b, labels):
+        w = R.weights(a, b, replicates)
+        out = np.zeros((replicates, 2))
+        squares = (vectors**2).sum(axis=1)[:, None]
+        for r in range(replicates):
+            n = sums[r, :, 0]
+            far = np.maximum(squares * n - 2 * vectors @ sums[r, :, 2:].T + sums[r, :, 1], 0.0)
+            own = n[labels]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                inner = far[np.arange(len(labels)), labels] / (own - 1)
+                mean = np.where(n > 0, far / n, np.inf)
+                mean[np.arange(len(labels)), labels] = np.inf
+                outer = mean.min(axis=1)
+                value = np.where((own > 1) & (outer < np.inf), (outer - inner) / np.maximum(inner, outer), 0.0)
+            out[r] = (np.nan_to_num(value) * w[:, r]).sum(), w[:, r].sum()
+        return out
+
+    sums = R.cluster_sums(rows, ["__a", "__b", "l"], replicates, k, dims, resampled)
+    total = R.replicate_sums(rows, ["__a", "__b", "l"], replicates, 2, dims, silhouettes)
+    stats = [(float(s / w),) for s, w in total if w > 0]
+    return _interval(df.sparkSession.createDataFrame(stats, "stat double"), silhouette(df.where(F.col(label).isNotNull()).withColumn("__l", place), vector, "__l").select("silhouette").scalar(), level)
+
+
+#: Rows from which k-means draws its first centres, and steps at most.
+START_ROWS, STEPS = 1_000, 20
+
+
+def first_centres(vectors: np.ndarray, drawn: np.ndarray, k: int) -> np.ndarray:
+    """The row of the smallest draw, then always the row farthest from all chosen ones; repeated where there are too few."""
+    chosen = [int(drawn.argmin())]
+    nearest = ((vectors - vectors[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        chosen.append(int(nearest.argmax()))
+        nearest = np.minimum(nearest, ((vectors - vectors[chosen[-1]]) ** 2).sum(axis=1))
+    return vectors[chosen]
 
 
 def cluster_stability(df: DataFrame, vector: str, row_id: str, k: int, replicates: int = 50, seed: int = 42) -> DataFrame:
-    """Adjusted Rand index between the clustering of all rows and of each Poisson resample."""
-    from pyspark.ml.clustering import KMeans
-
-    df = checkpointed(df.select(row_id, vector))
-    base = KMeans(k=k, seed=seed, featuresCol=vector, predictionCol="base").fit(df).transform(df)
-    parts = None
-    for rep in range(1, replicates + 1):
-        drawn = base.withColumn("w", poisson_weight(row_id, F.lit(rep), F.lit(seed)).cast("double")).filter("w > 0")
-        model = KMeans(k=k, seed=seed + rep, featuresCol=vector, predictionCol="again", weightCol="w").fit(drawn)
-        one = adjusted_rand_index(model.transform(drawn), "base", "again").withColumn("rep", F.lit(rep))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    """Adjusted Rand index between the clustering of all rows and of each Poisson resample.
+
+    Lloyd steps run for all rows and every replicate side by side: one pass assigns
+    each row in each of them and adds up weighted sums by (replicate, centre), so
+    there are as many jobs as steps. First centres come from ``START_ROWS`` rows.
+    """
+    rows, dims = R.vector_rows(df, vector, row_id, seed)
+    sample = rows.orderBy("__a", "__b").limit(START_ROWS).collect()
+    spark, names = df.sparkSession, "n long, ari double, rep int"
+    if not sample:
+        return spark.createDataFrame([], names)
+    start = np.array([r["x"] for r in sample], float)
+    a, b = (np.array([r[c] for r in sample], np.int64) for c in ("__a", "__b"))
+    drawn = np.concatenate([a[:, None], R.draws(a, b, replicates)], axis=1)
+    taken = np.concatenate([np.ones((len(a), 1), np.int64), R.weights(a, b, replicates)], axis=1) > 0
+    taken[:, ~taken.any(axis=0)] = True
+    reps = replicates + 1  # the first one has all rows
+    centres = np.stack([first_centres(start[taken[:, r]], drawn[taken[:, r], r], k) for r in range(reps)])
+
+    def assigned(vectors, a, b):
+        w = np.concatenate([np.ones((len(a), 1), np.int64), R.weights(a, b, replicates)], axis=1)
+        near = R.distances(vectors, centres.reshape(-1, dims)).reshape(len(vectors), reps, k)
+        return near.argmin(axis=2), w.astype(float)
+
+    def contingency(vectors, a, b):
+        labels, w = assigned(vectors, a, b)
+        pair = labels[:, :1] * k + labels[:, 1:]
+        return np.stack([np.bincount(pair[w[:, r + 1] > 0, r], minlength=k * k) for r in range(replicates)]).astype(float)
+
+    for _ in range(STEPS):
+        sums = R.cluster_sums(rows, ["__a", "__b"], reps, k, dims, assigned)
+        n = sums[..., :1]
+        moved = np.where(n > 0, sums[..., 2:] / np.where(n > 0, n, 1), centres)
+        still = np.abs(moved - centres).max() < 1e-6
+        centres = moved
+        if still:
+            break
+    cells = R.replicate_sums(rows, ["__a", "__b"], replicates, k * k, dims, contingency).reshape(replicates, k, k)
+    pairs = lambda n: n * (n - 1) / 2
+    out = []
+    for r, table in enumerate(cells):
+        n, ra, rb, ri = table.sum(), pairs(table.sum(axis=1)).sum(), pairs(table.sum(axis=0)).sum(), pairs(table).sum()
+        expected = ra * rb / pairs(n) if n > 1 else 0.0
+        best = (ra + rb) / 2
+        out.append((int(n), 1.0 if best == expected else float((ri - expected) / (best - expected)), r + 1))
+    return spark.createDataFrame(out, names)
 
 
 # ---- proportions, correlations, records ----------------------------------

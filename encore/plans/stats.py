@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from encore.operators import resample as R
 from encore.operators import stats as H
-from encore.plans.base import query, sql
+from encore.plans.base import hash_sql, query, sql
 from encore.plans.sessions import SHIFT
 from encore.plans.timeseries import ANOVA, DECAY, SPACED, curve, rounded
 
@@ -236,7 +237,31 @@ def _(t):
     return rounded(H.davies_bouldin(vectors(t), "features", "label"), "davies_bouldin")
 
 
-@query("o13_permutation_baseline")
+def draws_sql(replicates: int, *row_id: str) -> str:
+    """Draw ``u`` of each row in each replicate, as ``operators.resample`` takes it."""
+    a, b = (f"{hash_sql(*row_id, seed=s)} % {R.P}" for s in (42, 43))
+    return f"SELECT *, (a + rep * b) % {R.P} AS u FROM (SELECT *, {a} AS a, {b} AS b FROM {{}}), (SELECT unnest(range(1, {replicates + 1})) AS rep)"
+
+
+@query(
+    "o13_permutation_baseline",
+    sql(
+        """SELECT 100::BIGINT AS replicates, round(och, 6) AS calinski_harabasz, round(avg(ch), 6) AS random_ch, (count(*) FILTER (ch >= och) + 1) / (count(*) + 1) AS p_ch,
+        round(odb, 6) AS davies_bouldin, round(avg(db), 6) AS random_db, (count(*) FILTER (db <= odb) + 1) / (count(*) + 1) AS p_db
+        FROM (SELECT rep, ch, db FROM chs JOIN dbs USING (rep) WHERE rep > 0), (SELECT ch AS och, db AS odb FROM chs JOIN dbs USING (rep) WHERE rep = 0) GROUP BY och, odb""",
+        lab=f"""SELECT vec_id, 0 AS rep, label AS l FROM embeddings UNION ALL
+        SELECT vec_id, rep, u % 10 FROM ({draws_sql(100, 'vec_id').format('embeddings')})""",
+        e="SELECT vec_id, rep, l, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM lab JOIN embeddings USING (vec_id)",
+        cen="SELECT rep, l, d, avg(x) AS c, count(*) AS n FROM e GROUP BY 1, 2, 3",
+        chs="""SELECT rep, (b / (k - 1)) / (w / (n - k)) AS ch FROM (SELECT rep, sum((x - c) ** 2) AS w, count(DISTINCT vec_id) AS n, count(DISTINCT l) AS k
+        FROM e JOIN cen USING (rep, l, d) GROUP BY 1) JOIN (SELECT rep, sum(n * (c - m) ** 2) AS b FROM cen JOIN (SELECT d, avg(x) AS m FROM e WHERE rep = 0 GROUP BY 1) USING (d)
+        GROUP BY 1) USING (rep)""",
+        sc="SELECT rep, l, avg(r) AS s FROM (SELECT rep, vec_id, l, sqrt(sum((x - c) ** 2)) AS r FROM e JOIN cen USING (rep, l, d) GROUP BY 1, 2, 3) GROUP BY 1, 2",
+        dbs="""SELECT rep, avg(worst) AS db FROM (SELECT a.rep, a.l, max((a.s + b.s) / dist) AS worst FROM sc a JOIN sc b ON a.rep = b.rep AND a.l <> b.l JOIN
+        (SELECT p.rep, p.l AS i, q.l AS j, sqrt(sum((p.c - q.c) ** 2)) AS dist FROM cen p JOIN cen q USING (rep, d) GROUP BY 1, 2, 3) z ON z.rep = a.rep AND z.i = a.l AND z.j = b.l
+        GROUP BY 1, 2) GROUP BY 1""",
+    ),
+)
 def _(t):
     out = H.permutation_baseline(vectors(t), "features", "label", "vec_id", 10)
     return rounded(out, "calinski_harabasz", "random_ch", "davies_bouldin", "random_db")
@@ -260,18 +285,58 @@ def _(t):
     return H.adjusted_rand_index(t.lineitem, "l_returnflag", "l_linestatus").withColumn("ari", F.round("ari", 9))
 
 
-@query("o16_bootstrap_ci_mean")
+WEIGHT = " + ".join(f"CAST(u >= {cut} AS INTEGER)" for cut in R.poisson_cuts())
+WEIGHTED = f"SELECT *, {WEIGHT} AS w FROM ({draws_sql(1000, 'l_orderkey', 'l_linenumber', 'l_partkey').format('lineitem')})"
+INTERVAL = "SELECT round(quantile_cont(stat, 0.025), 6) AS ci_low, round(quantile_cont(stat, 0.975), 6) AS ci_high, count(*) AS replicates, round({}, 6) AS estimate FROM st"
+
+
+@query(
+    "o16_bootstrap_ci_mean",
+    sql(
+        INTERVAL.format("(SELECT avg(l_quantity) FROM lineitem)"),
+        wt=WEIGHTED,
+        st="SELECT rep, sum(l_quantity * w) / sum(w) AS stat FROM wt GROUP BY 1",
+    ),
+)
 def _(t):
     out = H.bootstrap_ci(t.lineitem, "l_quantity", ["l_orderkey", "l_linenumber", "l_partkey"])
     return rounded(out, "ci_low", "ci_high", "estimate")
 
 
-@query("o16_bootstrap_ci_median")
+@query(
+    "o16_bootstrap_ci_median",
+    sql(
+        INTERVAL.format("(SELECT quantile_cont(l_quantity, 0.5) FROM lineitem)"),
+        wt=WEIGHTED,
+        cells="SELECT rep, l_quantity AS x, sum(w) AS w FROM wt GROUP BY 1, 2",
+        run="SELECT *, sum(w) OVER (PARTITION BY rep ORDER BY x) AS upto, sum(w) OVER (PARTITION BY rep) AS n FROM cells",
+        st="SELECT rep, (min(x) FILTER (upto > (n - 1) // 2) + min(x) FILTER (upto > n // 2)) / 2 AS stat FROM run GROUP BY 1",
+    ),
+)
 def _(t):
     out = H.bootstrap_ci(t.lineitem, "l_quantity", ["l_orderkey", "l_linenumber", "l_partkey"], median=True)
     return rounded(out, "ci_low", "ci_high", "estimate")
 
 
+@query(
+    "o16_bootstrap_ci_silhouette",
+    sql(
+        INTERVAL.format("(SELECT any_value(all_) FROM whole)"),
+        wt=f"SELECT rep, vec_id, label, {WEIGHT} AS w FROM (SELECT 0 AS rep, vec_id, label, {R.poisson_cuts()[0]} AS u FROM embeddings UNION ALL SELECT rep, vec_id, label, u FROM ({draws_sql(1000, 'vec_id').format('embeddings')}))",
+        pr="""SELECT x.vec_id AS i, y.vec_id AS j, CAST(list_sum([(x.embedding[d]::DOUBLE - y.embedding[d]::DOUBLE) ** 2 FOR d IN range(1, len(x.embedding) + 1)]) AS DOUBLE) AS dist
+        FROM embeddings x, embeddings y""",
+        far="SELECT rep, i, label AS m, sum(dist * w) AS s, sum(w) AS n FROM pr JOIN wt ON vec_id = j WHERE w > 0 GROUP BY 1, 2, 3",
+        sil="""SELECT rep, i, max(CASE WHEN label = m THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN label <> m THEN s / n END) AS b, any_value(w) AS w
+        FROM far JOIN wt USING (rep) WHERE vec_id = i AND w > 0 GROUP BY 1, 2""",
+        al="SELECT rep, sum(w * coalesce((b - a) / greatest(a, b), 0)) / sum(w) AS stat FROM sil GROUP BY 1",
+        whole="SELECT stat AS all_ FROM al WHERE rep = 0",
+        st="SELECT * FROM al WHERE rep > 0",
+    ),
+)
+def _(t):
+    return rounded(H.bootstrap_silhouette(vectors(t), "features", "label", "vec_id"), "ci_low", "ci_high", "estimate")
+
+
 PROPS = [("energy_range", "energy BETWEEN 0.4 AND 0.6", "energy", 0.2), ("valence_high", "valence > 0.7", "valence", 0.3), ("acoustic", "acousticness > 0.5", "acousticness", 0.5)]
 
 
