@@ -124,20 +124,12 @@ def _combine(df: DataFrame, keep: Sequence[str], old: Sequence[str], new: Sequen
 
 
 def _gram(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """k x k inner products of the factor columns; beyond what one aggregate row holds, grouped by (i, j)."""
+    """k x k inner products of the factor columns, grouped by (i, j) and summed before the shuffle."""
     k = len(cols)
-    if k > 64:
-        both = df.select(F.array(*cols).alias("v")).select(F.posexplode("v").alias("i", "x"), "v").select("i", "x", F.posexplode("v").alias("j", "y"))
-        sums = both.filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g")).collect()
-        out = np.zeros((k, k))
-        for r in sums:
-            out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["g"] or 0.0
-        return out
-    row = df.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    both = df.select(F.array(*cols).alias("v")).select(F.posexplode("v").alias("i", "x"), "v").select("i", "x", F.posexplode("v").alias("j", "y"))
     out = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            out[i, j] = out[j, i] = row[f"g{i}_{j}"] or 0.0
+    for r in both.filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g")).collect():
+        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["g"] or 0.0
     return out
 
 
@@ -257,22 +249,28 @@ def top_items_per_factor(loadings: DataFrame, item: str, k: int = 20) -> DataFra
     return top_k_per_group(loadings, ["factor"], [F.desc("loading"), F.col(item)], k)
 
 
+def factor_artists(top: DataFrame, plays: DataFrame, item: str, artist: str, k: int = 10) -> DataFrame:
+    """Per factor the ``k`` artists with most of its top items: ``top_artists`` as (artist, items), most items first, ties by artist."""
+    held = top.select("factor", item).join(plays.select(item, artist).distinct(), item)
+    counts = top_k_per_group(held.groupBy("factor", artist).agg(F.count("*").alias("items")), ["factor"], [F.desc("items"), F.col(artist)], k)
+    rows = F.sort_array(F.collect_list(F.struct("rank", F.col(artist).alias("artist"), "items")))  # at most k structs
+    return counts.groupBy("factor").agg(F.transform(rows, lambda r: F.struct(r["artist"].alias("artist"), r["items"].alias("items"))).alias("top_artists"))
+
+
 def personalities(loadings: DataFrame, plays: DataFrame, item: str, artist: str, label: str, k: int = 20) -> DataFrame:
-    """Per factor: top artist of its top items, class mix of their plays, name by rules, strength and mean."""
+    """Per factor: artist counts of its top items, class mix of their plays, name by rules, strength and mean."""
     top = top_items_per_factor(loadings, item, k)
     counts = plays.groupBy(item, artist, label).agg(F.count("*").alias("n"))
     rows = top.select("factor", item).join(counts, item)
     mix = rows.groupBy("factor").agg(
         *[(F.sum(F.when(F.col(label) == c, F.col("n")).otherwise(0)) / F.sum("n")).alias(f"{c}_ratio") for c in ("vietnamese", "western", "bridge")]
     )
-    artists = rows.groupBy("factor", artist).agg(F.countDistinct(item).alias("items"))
-    lead = top_k_per_group(artists, ["factor"], [F.desc("items"), F.col(artist)], 1).select("factor", F.col(artist).alias("top_artist"))
+    lead = factor_artists(top, counts, item, artist)
     strength = loadings.groupBy("factor").agg(F.stddev_pop("loading").alias("factor_strength"), F.avg("loading").alias("factor_mean"))
     v, w = F.col("vietnamese_ratio"), F.col("western_ratio")
     name = F.when(v > 0.7, "Vietnamese-dominant").when(w > 0.7, "Western-dominant").when((v > 0.3) & (w > 0.3), "Cross-cultural bridge").otherwise("Culturally diverse")
-    return mix.join(lead, "factor").join(strength, "factor").withColumn(
-        "interpretation", F.concat(name, F.lit(" (led by "), F.col("top_artist").cast("string"), F.lit(")"))
-    )
+    led = F.get("top_artists", F.lit(0))["artist"].cast("string")
+    return mix.join(lead, "factor").join(strength, "factor").withColumn("interpretation", F.concat(name, F.lit(" (led by "), led, F.lit(")")))
 
 
 def assign_personality(users: DataFrame, a: str, b: str) -> DataFrame:

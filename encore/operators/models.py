@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, StringIndexer, UnivariateFeatureSelector, VectorAssembler
@@ -61,25 +62,35 @@ VOLUME_FEATURES = [
 
 
 def volume_regressor(daily: DataFrame, features: Sequence[str] = VOLUME_FEATURES, trees: int = 200, rate: float = 0.1, depth: int = 6, seed: int = 42):
-    """Fitted scaler + gradient-boosted trees for daily plays."""
+    """Fitted scaler + gradient-boosted trees for daily plays; one row per date, stored in one part for the many short jobs."""
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="features", withMean=True),
         GBTRegressor(featuresCol="features", labelCol="plays", maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed),
     ]
-    return Pipeline(stages=stages).fit(daily)
+    return Pipeline(stages=stages).fit(checkpointed(daily.coalesce(1)))
+
+
+def side_by_side(tasks: Sequence[Callable], width: int = 8) -> list:
+    """Results of independent fits whose jobs run at the same time; small fits leave most cores idle one by one."""
+    with ThreadPoolExecutor(min(width, max(1, len(tasks)))) as pool:
+        return list(pool.map(lambda task: task(), tasks))
 
 
 def expanding_cv(daily: DataFrame, date: str, fit, label: str = "plays", folds: int = 5) -> DataFrame:
-    """MAE per fold: train on all earlier dates, test on the next block. One fit per fold."""
+    """MAE per fold: train on all earlier dates, test on the next block; fold -1 is the fit of all dates on themselves.
+
+    Boosting runs thousands of short jobs over a table of one row per date, so the fits
+    run side by side.
+    """
     daily = checkpointed(daily)
     cuts = daily.select(F.percentile(F.unix_date(date), [i / (folds + 1) for i in range(1, folds + 2)]).alias("c")).first()["c"]
+    day = F.unix_date(date)
+    parts = [(daily, daily)] + [(daily.filter(day <= cuts[i]), daily.filter((day > cuts[i]) & (day <= cuts[i + 1]))) for i in range(folds)]
+    models = side_by_side([lambda train=train: fit(train) for train, _ in parts])
     out = None
-    for i in range(folds):
-        day = F.unix_date(date)
-        train, test = daily.filter(day <= cuts[i]), daily.filter((day > cuts[i]) & (day <= cuts[i + 1]))
-        scored = fit(train).transform(test)
-        row = regression_metrics(scored, label, "prediction").withColumn("fold", F.lit(i))
+    for i, (model, (_, test)) in enumerate(zip(models, parts)):
+        row = regression_metrics(model.transform(test), label, "prediction").withColumn("fold", F.lit(i - 1))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -170,17 +181,35 @@ def session_features(plays: DataFrame, ts: str, user: str, row_id: str, artist:
 SESSION_FEATURES = ["hour", "day", "is_weekend", "position", "session_length", "class_flag", "is_morning", "is_afternoon", "is_evening", "is_night"]
 
 
-def session_artist_classifier(rows: DataFrame, artist: str, row_id: str, trees: int = 100, seed: int = 42, features: Sequence[str] = SESSION_FEATURES):
-    """Random forest for the next artist; 80/20 hash split; (model, accuracy row)."""
-    tagged = checkpointed(rows.withColumn("__a", F.col(artist).cast("string")).withColumn("__u", _hash_share(row_id, seed=seed)))
-    stages = [
+def session_artist_classifier(rows: DataFrame, artist: str, row_id: str, trees: int = 100, folds: int = 5, seed: int = 42, features: Sequence[str] = SESSION_FEATURES):
+    """Random forest for the next artist; 80/20 hash split; (model, row of accuracy, mean and std over the folds, classes and rows).
+
+    Folds are a column of the hash, and their fits run side by side.
+    """
+    share = _hash_share(row_id, seed=seed)
+    tagged = rows.withColumn("__a", F.col(artist).cast("string")).withColumn("__u", share)
+    tagged = checkpointed(tagged.withColumn("__fold", F.least(F.floor(_hash_share(row_id, seed=seed + 1) * folds), F.lit(folds - 1)).cast("int")))
+    prepared = Pipeline(stages=[
         StringIndexer(inputCol="__a", outputCol="label", handleInvalid="keep"),
         VectorAssembler(inputCols=list(features), outputCol="features"),
-        RandomForestClassifier(numTrees=trees, seed=seed),
-    ]
-    model = Pipeline(stages=stages).fit(tagged.filter("__u < 0.8"))
-    scored = model.transform(tagged.filter("__u >= 0.8"))
-    return model, scored.agg(F.count("*").alias("n_test"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+    ]).fit(tagged)
+    data = checkpointed(prepared.transform(tagged))
+    forest = RandomForestClassifier(numTrees=trees, seed=seed)
+    right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+    parts = [("__u < 0.8", "__u >= 0.8")] + [(f"__fold <> {i}", f"__fold = {i}") for i in range(folds)]
+
+    def fitted(train: str, test: str):
+        model = forest.fit(data.filter(train))
+        return model, model.transform(data.filter(test)).agg(right).first()[0]
+
+    found = side_by_side([lambda p=p: fitted(*p) for p in parts])
+    scores = [float(s) for _, s in found[1:] if s is not None]
+    model = PipelineModel(stages=[*prepared.stages, found[0][0]])
+    row = data.agg(F.count_if(F.col("__u") >= 0.8).alias("n_test"), F.count("*").alias("n_samples"), F.countDistinct("__a").alias("n_classes"))
+    mean = sum(scores) / len(scores) if scores else None
+    spread = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores)) if scores else None
+    known = {"accuracy": found[0][1], "cv_accuracy": mean, "cv_std": spread}
+    return model, row.withColumns({k: F.lit(v).cast("double") for k, v in known.items()})
 
 
 def mood_features(plays: DataFrame, ts: str, user: str, row_id: str, artist: str, label: str, min_len: int = 3, gap_minutes: float = 30) -> DataFrame:

@@ -10,8 +10,9 @@ from encore.operators import sessions as S
 from encore.plans.base import query, sql
 from encore.plans.recommend import FEATURES, bridge_features
 from encore.plans.scalar import BANDS_SQL
-from encore.plans.sessions import monthly_ratio
+from encore.plans.sessions import EFFECTIVE, TRANSITIONS, effective_items, monthly_ratio
 from encore.plans.timeseries import rounded
+from encore.session import checkpointed
 
 AUDIO = [*FEATURES, "tempo"]
 
@@ -146,26 +147,93 @@ def _(t):
     return L.factor_sentences(L.interpret_factors(L.long_factors(nmf(t)[1], "item_id"), items, "item_id", FEATURES, 0.01, 1.1))
 
 
+@query(
+    "l8_measured_sentences",
+    sql(
+        """SELECT factor, coalesce(string_agg(CASE WHEN r > 0 THEN 'high ' ELSE 'low ' END || feature, ', ' ORDER BY abs(r) DESC, feature) FILTER (place <= 3 AND abs(r) > 0.01),
+        'uninterpretable') AS interpretation FROM (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY abs(r) DESC, feature) AS place FROM cr) GROUP BY 1""",
+        "baskets",
+        "tracks",
+        ld=LOADINGS,
+        cr=" UNION ALL ".join(f"SELECT factor, '{f}' AS feature, corr(loading, {f}) AS r FROM ld JOIN tracks ON track_id = item_id GROUP BY 1" for f in FEATURES),
+    ),
+)
+def _(t):
+    items = t.tracks.withColumnRenamed("track_id", "item_id")
+    return L.factor_sentences(L.interpret_factors(measured_loadings(t), items, "item_id", FEATURES, 0.01, 1.1))
+
+
 @query("l9_factor_stability")
 def _(t):
     rows = t.baskets.withColumn("year", F.year("ts"))
     return rounded(L.factor_stability(rows, "user_id", "item_id", "quantity", "year"), "mean_r", "std_r", "min_r", "max_r")
 
 
+def counted(col):
+    return F.concat_ws(",", F.transform(col, lambda r: F.concat(r["artist"].cast("string"), F.lit("="), r["items"].cast("string"))))
+
+
+def named_plays(t):
+    return t.baskets.drop("artist_id").join(t.tracks.select(F.col("track_id").alias("item_id"), "artist_name", "culture"), "item_id")
+
+
+def described(t, loadings):
+    out = L.personalities(loadings, named_plays(t), "item_id", "artist_name", "culture").withColumn("top_artists", counted("top_artists"))
+    return rounded(out, "vietnamese_ratio", "western_ratio", "bridge_ratio", "factor_strength", "factor_mean")
+
+
+def listed(t, loadings):
+    top = L.top_items_per_factor(loadings, "item_id")
+    names = t.tracks.select(F.col("track_id").alias("item_id"), "artist_name")
+    artists = L.factor_artists(top, names, "item_id", "artist_name").select("factor", counted("top_artists").alias("top_artists"))
+    named = top.join(names, "item_id").join(artists, "factor")
+    return rounded(named.select("factor", "rank", "item_id", "artist_name", "loading", "top_artists"), "loading")
+
+
+TOP_ITEMS = "SELECT *, row_number() OVER (PARTITION BY factor ORDER BY loading DESC, item_id) AS rank FROM ld QUALIFY rank <= 20"
+TOP_ARTISTS = """SELECT factor, string_agg(artist_name || '=' || items, ',' ORDER BY items DESC, artist_name) AS top_artists FROM (SELECT factor, artist_name, count(*) AS items
+    FROM tp JOIN tracks ON track_id = item_id GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY factor ORDER BY items DESC, artist_name) <= 10) GROUP BY 1"""
+MEASURED = {"ld": LOADINGS, "tp": TOP_ITEMS, "ta": TOP_ARTISTS}
+
+
 @query("l10_personalities")
 def _(t):
-    plays = t.baskets.drop("artist_id").join(
-        t.tracks.select(F.col("track_id").alias("item_id"), F.col("artist_name"), "culture"), "item_id"
-    )
-    out = L.personalities(L.long_factors(nmf(t, k=3)[1], "item_id"), plays, "item_id", "artist_name", "culture")
-    return rounded(out, "vietnamese_ratio", "western_ratio", "bridge_ratio", "factor_strength", "factor_mean")
+    return described(t, L.long_factors(nmf(t, k=3)[1], "item_id"))
+
+
+@query(
+    "l10_measured_personalities",
+    sql(
+        """SELECT factor, round(v, 6) AS vietnamese_ratio, round(w, 6) AS western_ratio, round(b, 6) AS bridge_ratio, top_artists, round(factor_strength, 6) AS factor_strength,
+        round(factor_mean, 6) AS factor_mean, CASE WHEN v > 0.7 THEN 'Vietnamese-dominant' WHEN w > 0.7 THEN 'Western-dominant' WHEN v > 0.3 AND w > 0.3 THEN 'Cross-cultural bridge'
+        ELSE 'Culturally diverse' END || ' (led by ' || split_part(top_artists, '=', 1) || ')' AS interpretation FROM (SELECT factor, count(*) FILTER (culture = 'vietnamese') / count(*) AS v,
+        count(*) FILTER (culture = 'western') / count(*) AS w, count(*) FILTER (culture = 'bridge') / count(*) AS b FROM tp JOIN baskets USING (item_id) JOIN tracks ON track_id = item_id GROUP BY 1)
+        JOIN ta USING (factor) JOIN (SELECT factor, stddev_pop(loading) AS factor_strength, avg(loading) AS factor_mean FROM ld GROUP BY 1) USING (factor)""",
+        "baskets",
+        "tracks",
+        **MEASURED,
+    ),
+)
+def _(t):
+    return described(t, measured_loadings(t))
 
 
 @query("h7_top_items_per_factor")
 def _(t):
-    top = L.top_items_per_factor(L.long_factors(nmf(t, k=3)[1], "item_id"), "item_id")
-    named = top.join(t.tracks.select(F.col("track_id").alias("item_id"), "artist_name"), "item_id")
-    return rounded(named.select("factor", "rank", "item_id", "artist_name", "loading"), "loading")
+    return listed(t, L.long_factors(nmf(t, k=3)[1], "item_id"))
+
+
+@query(
+    "h7_measured_top_items",
+    sql(
+        """SELECT factor, CAST(rank AS INTEGER) AS rank, item_id, artist_name, round(loading, 6) AS loading, top_artists FROM tp JOIN tracks ON track_id = item_id JOIN ta USING (factor)""",
+        "baskets",
+        "tracks",
+        **MEASURED,
+    ),
+)
+def _(t):
+    return listed(t, measured_loadings(t))
 
 
 USERS = """SELECT user_id, avg(CASE WHEN culture = 'vietnamese' THEN 0.9 ELSE 0.2 END) AS v, avg(CASE WHEN culture = 'western' THEN 0.9 ELSE 0.2 END) AS w,
@@ -222,11 +290,7 @@ def daily_table(t):
 
 @query("l13_volume_regressor")
 def _(t):
-    daily = daily_table(t)
-    fit = ML.volume_regressor
-    scored = fit(daily).transform(daily)
-    whole = ML.regression_metrics(scored, "plays", "prediction").withColumn("fold", F.lit(-1))
-    return rounded(whole.unionByName(ML.expanding_cv(daily, "date", fit)), "mae", "rmse", "r2")
+    return rounded(ML.expanding_cv(daily_table(t), "date", ML.volume_regressor), "mae", "rmse", "r2")
 
 
 @query("l14_volume_forecast")
@@ -277,7 +341,7 @@ def _(t):
 
 @query("l17_session_artist_classifier")
 def _(t):
-    return rounded(ML.session_artist_classifier(session_rows(t), "artist_id", "event_id")[1], "accuracy")
+    return rounded(ML.session_artist_classifier(session_rows(t), "artist_id", "event_id")[1], "accuracy", "cv_accuracy", "cv_std")
 
 
 def moods(t):
@@ -316,9 +380,31 @@ BRIDGE_FEATURES = ["plays", "artists", "hours", "weekdays", *FEATURES, "is_vietn
 
 
 def labelled(t):
-    rows = bridge_features(t)
-    median = rows.select(F.median("artists")).scalar()
-    return rows.withColumn("is_bridge", (F.col("artists") > median) & (F.col("hours") >= 5))
+    """Tracks with the label of a bridge: a behavioural bridge (K4) or an effective transition item (H4)."""
+    from encore.operators.bridges import behavioural_bridges
+
+    known = behavioural_bridges(t.plays, "track_id", "user_id", "label", "ts").select("track_id").unionByName(effective_items(t).select("track_id"))
+    marked = known.distinct().withColumn("is_bridge", F.lit(True))
+    return checkpointed(bridge_features(t).join(marked, "track_id", "left").withColumn("is_bridge", F.coalesce("is_bridge", F.lit(False))))
+
+
+BRIDGES = f"""SELECT track_id FROM (SELECT track_id, count(*) AS plays FROM plays WHERE track_id IN (SELECT track_id FROM plays WHERE user_id IN (SELECT user_id FROM plays
+    GROUP BY 1 HAVING count(DISTINCT label) > 1) UNION SELECT track_id FROM plays GROUP BY 1 HAVING count(DISTINCT hour(ts)) >= 5)
+    GROUP BY 1 ORDER BY plays DESC, track_id LIMIT 50) UNION SELECT track_id FROM ({EFFECTIVE})"""
+
+
+@query(
+    "l20_bridge_labels",
+    sql(
+        "SELECT track_id, plays, track_id IN (SELECT track_id FROM br) AS is_bridge FROM (SELECT track_id, count(*) AS plays FROM plays GROUP BY 1) JOIN tracks USING (track_id)",
+        "plays",
+        "tracks",
+        tr=TRANSITIONS,
+        br=BRIDGES,
+    ),
+)
+def _(t):
+    return labelled(t).select("track_id", "plays", "is_bridge")
 
 
 def forest(t):

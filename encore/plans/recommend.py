@@ -13,6 +13,7 @@ from encore.plans.activity import modal, playlist, PLAYLIST
 from encore.plans.base import query, sql
 from encore.plans.scalar import BANDS_SQL, six
 from encore.plans.sessions import POINTS, SHIFT, TRANSITIONS, after_runs, points
+from encore.operators.timeseries import recent_context_label
 from encore.plans.timeseries import rounded
 from encore.session import checkpointed
 
@@ -307,9 +308,15 @@ def user_profiles(t, users=None):
     sql(
         """SELECT c_custkey AS user_id, coalesce(plays, 0) AS plays, round(coalesce(w_p1, 0.4), 6) AS w_p1, round(coalesce(w_p2, 0.3), 6) AS w_p2,
         round(coalesce(w_p3, 0.3), 6) AS w_p3, round(coalesce(pref_energy, 0.5) + 1e-9, 6) AS pref_energy, round(coalesce(share_vietnamese, 0.5), 6)
-        AS share_vietnamese, round(coalesce(share_other, 0), 6) AS share_other FROM customer LEFT JOIN pf ON c_custkey = user_id""",
+        AS share_vietnamese, round(coalesce(share_other, 0), 6) AS share_other, context FROM customer LEFT JOIN pf ON c_custkey = user_id, (SELECT CASE WHEN count(*) = 0 THEN 'stable'
+        WHEN count(*) FILTER (signal = 'urgent_share') > 0 THEN 'urgent_share_shift' WHEN count(*) FILTER (signal = 'open_share') > 0 THEN 'open_share_shift'
+        WHEN count(*) FILTER (signal LIKE '%value%') > 0 THEN 'energy_shift' ELSE 'preference_exploration' END AS context FROM pts
+        WHERE (SELECT max(date) FROM daily) - date BETWEEN 0 AND 59)""",
         "plays",
         "tracks",
+        "signals",
+        sh=SHIFT,
+        pts=POINTS,
         ws=WIDE,
         pf=PROFILES,
     ),
@@ -318,7 +325,9 @@ def _(t):
     out = user_profiles(t, t.customer.select(F.col("c_custkey").alias("user_id")))
     cols = ["w_p1", "w_p2", "w_p3", "pref_energy", "share_vietnamese", "share_other"]
     out = out.withColumn("pref_energy", F.col("pref_energy") + 1e-9)
-    return rounded(out.select("user_id", "plays", *cols), *cols)
+    now = t.daily.select(F.max("date")).scalar()
+    context = recent_context_label(points(t), "date", "signal", now, "urgent_share", "open_share", "value").select("context").scalar()
+    return rounded(out.select("user_id", "plays", *cols), *cols).withColumn("context", context)
 
 
 RECS = {"ws": WIDE, "pf": PROFILES, "lk": LOOKUP, "br": BRIDGE}
@@ -523,14 +532,28 @@ RECENT = "SELECT * FROM plays ORDER BY ts DESC, event_id DESC LIMIT 1000"
         SELECT 'top_artist', CAST(artist_id AS VARCHAR), n FROM (SELECT artist_id, count(*) AS n FROM r GROUP BY 1 ORDER BY n DESC, artist_id LIMIT 5)
         UNION ALL SELECT 'class_mix', label, round(count(*) / (SELECT count(*) FROM r), 6) FROM r GROUP BY 2 UNION ALL
         SELECT 'peak_hour', CAST(h AS VARCHAR), n FROM (SELECT hour(ts) AS h, count(*) AS n FROM r GROUP BY 1 ORDER BY n DESC, h LIMIT 1) UNION ALL
-        SELECT 'peak_day', CAST(d AS VARCHAR), n FROM (SELECT isodow(ts) - 1 AS d, count(*) AS n FROM r GROUP BY 1 ORDER BY n DESC, d LIMIT 1)""",
+        SELECT 'peak_day', CAST(d AS VARCHAR), n FROM (SELECT isodow(ts) - 1 AS d, count(*) AS n FROM r GROUP BY 1 ORDER BY n DESC, d LIMIT 1) UNION ALL
+        SELECT 'bridge', CAST(item_id AS VARCHAR), bridge_score FROM (SELECT * FROM cand ORDER BY bridge_score DESC, item_id LIMIT 5)""",
         "plays",
+        "baskets",
+        "tracks",
+        **CAND,
         r=RECENT,
     ),
 )
 def _(t):
     recent = S.trailing_n_events(t.plays, [], "ts", "event_id", 1000)
-    return rounded(M.system_insights(recent, "ts", "artist_id", "label"), "value")
+    return rounded(M.system_insights(recent, "ts", "artist_id", "label", bridges=candidates(t), item="item_id"), "value")
+
+
+@query("m12_system_forecasts")
+def _(t):
+    """The forecasts of the report: plays of the next seven days and the class ratio of the next six months."""
+    from encore.plans.base import QUERIES
+
+    plays = QUERIES["l14_volume_forecast"](t).select(F.lit("plays").alias("kind"), F.col("date").alias("key"), F.col("predicted_plays").alias("value"))
+    ratio = QUERIES["l15_ratio_forecaster"](t).select(F.lit("class_ratio").alias("kind"), F.col("months_ahead").cast("string").alias("key"), F.col("predicted").alias("value"))
+    return plays.unionByName(ratio)
 
 
 @query(

@@ -257,6 +257,8 @@ def _(t):
     return rounded(TS.exploration_cycles(t.signals, ["signal"], "date", "x"), "avg_cycle_length", "rhythm_regularity")
 
 
+USER_YEARLY = """SELECT user_id, label, year, n / sum(n) OVER (PARTITION BY user_id, year) AS share FROM (SELECT user_id, year(ts) AS year, label, count(*) AS n
+    FROM history GROUP BY 1, 2, 3)"""
 YEARLY = """SELECT label, year, n / sum(n) OVER (PARTITION BY year) AS share FROM (SELECT year(ts) AS year, label, count(*) AS n
     FROM history GROUP BY 1, 2)"""
 
@@ -264,21 +266,21 @@ YEARLY = """SELECT label, year, n / sum(n) OVER (PARTITION BY year) AS share FRO
 @query(
     "j13_year_over_year_shift",
     sql(
-        """SELECT label, year, round(change, 6) AS change, CASE WHEN change > 0 THEN 'increase' ELSE 'decrease' END AS direction FROM (
-        SELECT *, share - lag(share) OVER (PARTITION BY label ORDER BY year) AS change FROM y) WHERE abs(change) > 0.005""",
+        """SELECT user_id, label, year, round(change, 6) AS change, CASE WHEN change > 0 THEN 'increase' ELSE 'decrease' END AS direction FROM (
+        SELECT *, share - lag(share) OVER (PARTITION BY user_id, label ORDER BY year) AS change FROM y) WHERE abs(change) > 0.15""",
         "history",
-        y=YEARLY,
+        y=USER_YEARLY,
     ),
 )
 def _(t):
     from encore.operators.activity import category_share
 
-    yearly = category_share(t.history.withColumn("year", F.year("ts")), "label", ["year"])
-    out = TS.year_over_year_shift(yearly, "year", "share", ["label"], 0.005)
-    return rounded(out, "change").select("label", "year", "change", "direction")
+    yearly = category_share(t.history.withColumn("year", F.year("ts")), "label", ["user_id", "year"])
+    out = TS.year_over_year_shift(yearly, "year", "share", ["user_id", "label"])
+    return rounded(out, "change").select("user_id", "label", "year", "change", "direction")
 
 
-CPS = "SELECT DISTINCT date AS p FROM pts WHERE signal = 'urgent_share'"
+CPS = "SELECT DISTINCT date AS p FROM pts"
 SPANS = """SELECT * FROM (SELECT 'between' AS kind, p AS s, lead(p) OVER (ORDER BY p) AS e FROM cps UNION ALL SELECT 'before',
     (SELECT min(date) FROM daily), min(p) FROM cps UNION ALL SELECT 'after', max(p), (SELECT max(date) FROM daily) FROM cps)
     WHERE e - s >= 14"""
@@ -286,15 +288,11 @@ STABLE = """SELECT kind, s, e, count(*) AS n, avg(n_plays) AS mean_plays, avg(av
     ON (kind IN ('before', 'between') AND date >= s AND date < e) OR (kind = 'after' AND date > s AND date <= e) GROUP BY 1, 2, 3"""
 
 
-def urgent_points(t):
-    return points(t).filter("signal = 'urgent_share'")
-
-
 @query(
     "j14_stability_periods",
     sql(
         """SELECT kind, strftime(s, '%Y-%m-%d') AS start_date, strftime(e, '%Y-%m-%d') AS end_date, n, round(mean_plays, 6) AS mean_plays,
-        round(m, 6) AS mean_avg_value, round(sd, 6) AS std_avg_value FROM st WHERE kind <> 'between' OR sd / greatest(m, 0.001) <= 0.25""",
+        round(m, 6) AS mean_avg_value, round(sd, 6) AS std_avg_value FROM st WHERE kind <> 'between' OR sd / greatest(m, 0.001) <= 0.1""",
         "signals",
         sh=SHIFT,
         pts=POINTS,
@@ -304,7 +302,7 @@ def urgent_points(t):
     ),
 )
 def _(t):
-    out = TS.stability_periods(t.daily, urgent_points(t), "date", ["avg_value"], "n_plays", 14, 0.25)
+    out = TS.stability_periods(t.daily, points(t), "date", ["avg_value"], "n_plays")
     return dated(rounded(out, "mean_plays", "mean_avg_value", "std_avg_value"), "start_date", "end_date")
 
 
@@ -323,13 +321,46 @@ def _(t):
     return rounded(TS.month_clustering(points(t), "date"), "chi_square").drop("p_value")
 
 
-@query("j16_major_shifts")
+SHIFTING = ["urgent_share", "open_share", "avg_value"]
+NAMES = {"urgent_share": "Urgent Share", "open_share": "Open Share", "avg_value": "Average Value"}
+
+
+def _means(side: str, on: str) -> str:
+    cols = ", ".join(f"avg({c}) AS {c}_{side}" for c in SHIFTING)
+    return f"SELECT head, {cols} FROM strong JOIN daily ON {on} GROUP BY 1"
+
+
+MAJOR = f"""SELECT head, rank, magnitude, {', '.join(f'CASE WHEN {c}_b <> 0 THEN ({c}_a - {c}_b) / {c}_b * 100 ELSE 0 END AS {c}_pct' for c in SHIFTING)}
+    FROM strong JOIN ({_means('b', 'date >= head - 14 AND date < head')}) USING (head) JOIN ({_means('a', 'date > head AND date <= head + 14')}) USING (head)"""
+SAID = ", ".join(
+    f"CASE WHEN abs({c}_pct) > 10 THEN '{NAMES[c]} ' || CASE WHEN {c}_pct > 0 THEN 'increased' ELSE 'decreased' END || printf(' by %.1f%%', abs({c}_pct)) END" for c in SHIFTING
+)
+
+
+@query(
+    "j16_major_shifts",
+    sql(
+        f"""SELECT strftime(head, '%Y-%m-%d') AS shift_date, CAST(rank AS INTEGER) AS rank, round(magnitude, 6) AS magnitude, CASE WHEN said = '' THEN 'Subtle preference shift on ' || strftime(head, '%Y-%m-%d')
+        ELSE 'On ' || strftime(head, '%Y-%m-%d') || ': ' || said END AS description,
+        CASE WHEN abs(urgent_share_pct) > abs(open_share_pct) AND abs(urgent_share_pct) > 15 THEN CASE WHEN urgent_share_pct > 0 THEN 'cultural_shift' ELSE 'cultural_shift_away' END
+        WHEN abs(open_share_pct) > 15 THEN CASE WHEN open_share_pct > 0 THEN 'western_cultural_shift' ELSE 'western_shift_away' END
+        WHEN abs(avg_value_pct) > 15 THEN CASE WHEN avg_value_pct > 0 THEN 'energy_shift' ELSE 'mellowing_shift' END ELSE 'general_preference_shift' END AS shift_type,
+        {', '.join(f'round({c}_pct, 6) AS {c}_pct' for c in SHIFTING)} FROM (SELECT *, concat_ws('; ', {SAID}) AS said FROM major)""",
+        "signals",
+        sh=SHIFT,
+        mixed=MIXED,
+        heads=HEADS,
+        anchored=ANCHORED,
+        strong="""SELECT head, magnitude, row_number() OVER (ORDER BY magnitude DESC, head) AS rank FROM anchored WHERE magnitude > (SELECT quantile_cont(magnitude, 0.5) FROM anchored)
+        QUALIFY rank <= 5""",
+        major=MAJOR,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def _(t):
     merged = anchored(t).withColumnRenamed("head", "date")
-    signals = ["urgent_share", "open_share", "avg_value"]
-    out = TS.major_shifts(t.daily, merged, "date", signals)
-    return dated(rounded(out, "magnitude", *[f"{s}_pct" for s in signals]), "shift_date").select(
-        "shift_date", "rank", "magnitude", "description", "shift_type", *[f"{s}_pct" for s in signals]
+    out = TS.major_shifts(t.daily, merged, "date", SHIFTING)
+    return dated(rounded(out, "magnitude", *[f"{s}_pct" for s in SHIFTING]), "shift_date").select(
+        "shift_date", "rank", "magnitude", "description", "shift_type", *[f"{s}_pct" for s in SHIFTING]
     )
 
 
@@ -451,7 +482,7 @@ def _(t):
         """SELECT '2-month' AS kind, month AS date, CAST(n AS VARCHAR) AS detail FROM m UNION ALL
         SELECT '1-peak', month, CAST(n AS VARCHAR) FROM m WHERE n >= (SELECT quantile_cont(n, 0.95) FROM m) UNION ALL
         SELECT '3-shift', CAST(year AS VARCHAR), label FROM (SELECT *, share - lag(share) OVER (PARTITION BY label ORDER BY year) AS change FROM y)
-        WHERE abs(change) > 0.01 UNION ALL
+        WHERE abs(change) > 0.15 UNION ALL
         SELECT '4-new', CAST(year AS VARCHAR), CAST(item_id AS VARCHAR) FROM rk a WHERE rn <= 5 AND year > (SELECT min(year) FROM rk)
         AND NOT EXISTS (SELECT 1 FROM rk b WHERE b.item_id = a.item_id AND b.year = a.year - 1 AND b.rn <= 10)""",
         "history",
@@ -468,7 +499,7 @@ def _(t):
 
     months = t.history.groupBy(C.month_period("ts").alias("month")).agg(F.count(F.lit(1)).alias("n"))
     yearly = category_share(t.history.withColumn("year", F.year("ts")), "label", ["year"])
-    moves = TS.year_over_year_shift(yearly, "year", "share", ["label"], 0.01)
+    moves = TS.year_over_year_shift(yearly, "year", "share", ["label"])
     fresh = QUERIES["e16_new_top_k_vs_previous_year"](t)
     text = lambda c: F.col(c).cast("string")
     return timeline_events(
