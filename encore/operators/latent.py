@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +18,7 @@ from encore.operators.quality import min_support, unpivot
 from encore.operators.ranking import top_k_per_group
 from encore.operators.scan import HotCells, numbered
 from encore.operators.stats import with_vector
-from encore.session import checkpointed
+from encore.session import checkpointed, ship_package
 
 # Keys and counters that are never standardised.
 NOT_SCALED = ["user_id", "track_id", "artist_id", "session_no", "year", "month", "day_of_week", "hour"]
@@ -117,52 +119,126 @@ def sparsity(matrix: DataFrame) -> DataFrame:
     return row.withColumn("sparsity", 1 - F.try_divide(F.col("n_cells"), F.col("n_users") * F.col("n_items")))
 
 
-def _combine(df: DataFrame, keep: Sequence[str], old: Sequence[str], new: Sequence[str], coef: np.ndarray) -> DataFrame:
-    """Linear combinations of k columns with a k x k table of numbers."""
-    cols = [sum((F.col(o) * float(coef[i, j]) for i, o in enumerate(old)), F.lit(0.0)).alias(n) for j, n in enumerate(new)]
-    return df.select(*keep, *cols)
+#: Random directions beyond the wanted factors, and R factors that one task merges.
+OVERSAMPLED, FAN_IN = 10, 64
 
 
-def _gram(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """k x k inner products of the factor columns, grouped by (i, j) and summed before the shuffle."""
+def _by_window(batch: pa.RecordBatch, by: Sequence[str], cols: Sequence[str]) -> tuple[np.ndarray, list]:
+    """Factor columns of a batch as a matrix, and (window, its rows) pairs."""
+    values = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in cols], axis=1)
+    if not by:
+        return values, [(None, slice(None))]
+    keys = batch[by[0]].to_pylist()
+    return values, [(w, np.array([i for i, k in enumerate(keys) if k == w])) for w in sorted(set(keys))]
+
+
+def _qr(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> dict:
+    """R factor of the rows of each window: each task reduces its rows to one R, and R factors are merged as a tree."""
+    kind = f"{by[0]} {df.schema[by[0]].dataType.simpleString()}, " if by else ""
     k = len(cols)
-    both = df.select(F.array(*cols).alias("v")).select(F.posexplode("v").alias("i", "x"), "v").select("i", "x", F.posexplode("v").alias("j", "y"))
-    out = np.zeros((k, k))
-    for r in both.filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g")).collect():
-        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["g"] or 0.0
+
+    def reduced(groups: dict, like: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(w, np.linalg.qr(np.vstack(r), mode="r")) for w, r in groups.items()]
+        columns = [pa.array([w for w, _ in found], like[by[0]].type)] if by else []
+        return pa.RecordBatch.from_arrays([*columns, pa.array([r.ravel().tolist() for _, r in found], pa.list_(pa.float64()))], [*by, "r"])
+
+    def local(batches):
+        groups: dict = {}
+        for batch in batches:
+            values, parts = _by_window(batch, by, cols)
+            for w, at in parts:
+                groups.setdefault(w, []).append(values[at])
+                if len(groups[w]) > 8:
+                    groups[w] = [np.linalg.qr(np.vstack(groups[w]), mode="r")]
+        if groups:
+            yield reduced(groups, batch)
+
+    def merged(batches):
+        groups: dict = {}
+        for batch in batches:
+            for i, r in enumerate(batch["r"].to_pylist()):
+                groups.setdefault(batch[by[0]][i].as_py() if by else None, []).append(np.array(r).reshape(-1, k))
+        if groups:
+            yield reduced(groups, batch)
+
+    rs = checkpointed(df.select(*by, *cols).mapInArrow(local, kind + "r array<double>"))
+    tasks = rs.count()
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        rs = checkpointed(rs.repartition(tasks).mapInArrow(merged, kind + "r array<double>"))
+    groups: dict = {}
+    for row in rs.collect():
+        groups.setdefault(row[by[0]] if by else None, []).append(np.array(row["r"]).reshape(-1, k))
+    return {w: np.linalg.qr(np.vstack(r), mode="r") for w, r in groups.items()}
+
+
+def _rotate(df: DataFrame, keys: Sequence[str], cols: Sequence[str], by: Sequence[str], turns: dict) -> DataFrame:
+    """Rows times the small matrix of their window."""
+    width = next(iter(turns.values())).shape[1] if turns else len(cols)
+    new = [f"f{i}" for i in range(width)]
+    ddl = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys), *(f"{c} double" for c in new)])
+
+    def turned(batches):
+        for batch in batches:
+            values, parts = _by_window(batch, by, cols)
+            out = np.zeros((len(values), width))
+            for w, at in parts:
+                out[at] = values[at] @ turns[w]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keys), *(pa.array(out[:, i]) for i in range(width))], [*keys, *new])
+
+    return df.select(*keys, *cols).mapInArrow(turned, ddl)
+
+
+def _orthonormal(rs: dict) -> dict:
+    """Matrices that make the columns orthonormal, given their R factors; directions without length become 0."""
+    out = {}
+    for w, r in rs.items():
+        _, s, v = np.linalg.svd(r)
+        s = np.append(s, np.zeros(r.shape[1] - len(s)))
+        keep = s > max(s.max(initial=0.0), 1e-300) * 1e-13
+        out[w] = v.T * np.where(keep, 1.0 / np.where(keep, s, 1.0), 0.0)
     return out
 
 
-def svd_factors(matrix: DataFrame, user: str, item: str, rating: str, k: int = 20, iterations: int = 6, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Truncated SVD by block power iteration: (user factors U*S, item factors V, singular values).
+def svd_factors(
+    matrix: DataFrame, user: str, item: str, rating: str, k: int = 20, iterations: int = 3, seed: int = 42, window: str | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Truncated SVD by a randomised range finder: (user factors U*S, item factors V, singular values).
 
     Factors stay distributed with one column per component; each half step is a
-    join and a map-side combined sum. Only k x k inner products reach the
-    driver. Each round is checkpointed, so lost executors repeat one round.
+    join and a map-side combined sum, 1 + 2 * ``iterations`` in all. Columns are made
+    orthonormal from their R factor (a tall and thin QR, merged as a tree), which
+    does not square the condition as inner products would. The driver sees R
+    factors only. ``window`` factorises the matrix of each window in the same jobs; its
+    column then leads the results.
     """
-    cols = [f"f{i}" for i in range(k)]
-    data = checkpointed(matrix.select(user, item, F.col(rating).cast("double").alias("__x")))
+    ship_package(matrix.sparkSession)
+    by = [window] if window else []
+    cols = [f"f{i}" for i in range(k + OVERSAMPLED)]
+    data = checkpointed(matrix.select(*by, user, item, F.col(rating).cast("double").alias("__x")))
     noise = [(F.pmod(F.xxhash64(item, F.lit(seed + i)), F.lit(20011)) / 10005.5 - 1).alias(c) for i, c in enumerate(cols)]
-    v = data.select(item).distinct().select(item, *noise)
+    start = data.select(*by, item).distinct().select(*by, item, *noise)
 
     def push(factors: DataFrame, on: str, to: str) -> DataFrame:
-        return data.join(factors, on).groupBy(to).agg(*[F.sum(F.col("__x") * F.col(c)).alias(c) for c in cols])
-
-    for _ in range(iterations):
-        v = checkpointed(push(push(v, item, user), user, item))
-        values, vectors = np.linalg.eigh(_gram(v, cols))
-        keep = values > max(values.max(), 1e-300) * 1e-13
-        scale = np.where(keep, 1.0 / np.sqrt(np.where(keep, values, 1.0)), 0.0)
-        v = _combine(v, [item], cols, cols, vectors * scale)
-    u = checkpointed(push(v, item, user))
-    values, vectors = np.linalg.eigh(_gram(u, cols))
-    order = np.argsort(values)[::-1]
-    rotate = vectors[:, order]
-    singular = np.sqrt(np.clip(values[order], 0.0, None))
-    total = data.agg(F.sum(F.col("__x") * F.col("__x"))).first()[0] or 1.0
-    rows = [(i, float(s), float(s * s / total)) for i, s in enumerate(singular)]
-    spectrum = matrix.sparkSession.createDataFrame(rows, "factor int, singular_value double, explained double")
-    return _combine(u, [user], cols, cols, rotate), _combine(v, [item], cols, cols, rotate), spectrum
+        return checkpointed(data.join(factors, [*by, on]).groupBy(*by, to).agg(*[F.sum(F.col("__x") * F.col(c)).alias(c) for c in cols]))
+
+    y = push(start, item, user)
+    for _ in range(max(1, iterations)):
+        z = push(_rotate(y, [*by, user], cols, by, _orthonormal(_qr(y, cols, by))), user, item)
+        turn = _orthonormal(_qr(z, cols, by))
+        y = push(_rotate(z, [*by, item], cols, by, turn), item, user)
+    small = {w: np.linalg.svd(r) for w, r in _qr(y, cols, by).items()}
+    rotate = {w: vt.T[:, :k] for w, (_, _, vt) in small.items()}
+    total = {r[0] if by else None: r["t"] or 1.0 for r in data.groupBy(*by).agg(F.sum(F.col("__x") * F.col("__x")).alias("t")).collect()}
+    rows = []
+    for w, (_, s, _) in small.items():
+        s = np.append(s, np.zeros(max(0, k - len(s))))[:k]
+        rows += [(*([w] if by else []), i, float(x), float(x * x / (total[w] or 1.0))) for i, x in enumerate(s)]
+    kind = f"{window} {data.schema[window].dataType.simpleString()}, " if by else ""
+    spectrum = matrix.sparkSession.createDataFrame(rows, kind + "factor int, singular_value double, explained double")
+    users = _rotate(y, [*by, user], cols, by, rotate)
+    items = _rotate(z, [*by, item], cols, by, {w: turn[w] @ rotate[w] for w in turn if w in rotate})
+    return users, items, spectrum
 
 
 def nmf_factors(matrix: DataFrame, user: str, item: str, rating: str, k: int = 15, reg: float = 0.01, seed: int = 42, iterations: int = 10):
@@ -182,14 +258,18 @@ def nmf_factors(matrix: DataFrame, user: str, item: str, rating: str, k: int = 1
 
 
 def factor_sweep(matrix: DataFrame, user: str, item: str, rating: str, counts: Sequence[int] = (3, 5, 7, 10, 15), iterations: int = 5) -> DataFrame:
-    """Explained share and reconstruction error for each factor count: the whole curve, for an elbow or a threshold."""
-    matrix, out = checkpointed(matrix.select(user, item, rating)), None
-    for k in counts:
-        spectrum = svd_factors(matrix, user, item, rating, k, iterations)[2]
-        error = nmf_factors(matrix, user, item, rating, k, iterations=iterations)[2]
-        row = error.withColumn("explained", spectrum.select(F.sum("explained")).scalar()).withColumn("n_factors", F.lit(k))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Explained share and reconstruction error for each factor count: the whole curve, for an elbow or a threshold.
+
+    The spectra of fewer factors are the first values of one factorisation with the
+    most; the non-negative fits of all counts run side by side.
+    """
+    matrix = checkpointed(matrix.select(user, item, rating))
+    spectrum = svd_factors(matrix, user, item, rating, max(counts))[2]
+    with ThreadPoolExecutor(len(counts)) as pool:
+        errors = list(pool.map(lambda k: nmf_factors(matrix, user, item, rating, k, iterations=iterations)[2].first(), counts))
+    found = [(e["reconstruction_error"], e["n_cells"], k) for e, k in zip(errors, counts)]
+    rows = matrix.sparkSession.createDataFrame(found, "reconstruction_error double, n_cells long, n_factors int")
+    return rows.join(spectrum, F.col("factor") < F.col("n_factors")).groupBy("n_factors", "reconstruction_error", "n_cells").agg(F.sum("explained").alias("explained"))
 
 
 def long_factors(item_factors: DataFrame, item: str) -> DataFrame:
@@ -219,27 +299,24 @@ def factor_sentences(interpreted: DataFrame) -> DataFrame:
     return every.join(named, "factor", "left").withColumn("interpretation", F.coalesce("interpretation", F.lit("uninterpretable")))
 
 
-def factor_stability(df: DataFrame, user: str, item: str, value: str, window: str, windows: Sequence | None = None, k: int = 3, min_rows: int = 100, iterations: int = 5) -> DataFrame:
+def factor_stability(df: DataFrame, user: str, item: str, value: str, window: str, windows: Sequence | None = None, k: int = 3, min_rows: int = 100, iterations: int = 3) -> DataFrame:
     """|r| of same-index user factors of consecutive windows, aligned on the user: mean, std, min, max.
 
-    One factorisation per window; the windows are a short list of labels, by default all of the table.
+    All windows are factorised in the same jobs; they are a short list of labels, by default all of the table.
     """
     cols = [f"f{i}" for i in range(k)]
     known = df.filter(F.col(window).isNotNull() if windows is None else F.col(window).isin(*windows))
     sized = known.groupBy(window).agg(F.count("*").alias("n")).filter(F.col("n") >= min_rows)
     usable = [r[window] for r in sized.orderBy(window).select(window).collect()]  # at most one row per window
-    previous, out = None, None
-    for w in usable:
-        matrix = interaction_matrix(df.filter(F.col(window) == w), user, item, value)
-        users = svd_factors(matrix, user, item, "rating", k, iterations)[0]
-        if previous is not None:
-            pair = previous.join(users.select(user, *[F.col(c).alias(f"n_{c}") for c in cols]), user)
-            row = pair.agg(*[F.abs(F.corr(c, f"n_{c}")).alias(c) for c in cols], F.count("*").alias("n_users"))
-            row = unpivot(row.withColumn("window", F.lit(w)), cols, "factor", "r", "double", ["window", "n_users"])
-            out = row if out is None else out.unionByName(row)
-        previous = users
-    if out is None:
+    if len(usable) < 2:
         raise ValueError("fewer than two windows with enough rows")
+    rated = known.filter(F.col(window).isin(*usable)).groupBy(window, user, item).agg(F.sum(value).alias("__v"))
+    users = svd_factors(rated.withColumn("__r", C.implicit_rating("__v")), user, item, "__r", k, iterations, window=window)[0]
+    place = F.array_position(F.array(*[F.lit(w) for w in usable]), F.col(window))
+    users = checkpointed(users.withColumn("__p", place))
+    after = users.select(user, (F.col("__p") - 1).alias("__p"), *[F.col(c).alias(f"n_{c}") for c in cols])
+    pair = users.join(after, [user, "__p"]).groupBy("__p").agg(*[F.abs(F.corr(c, f"n_{c}")).alias(c) for c in cols], F.count("*").alias("n_users"))
+    out = unpivot(pair, cols, "factor", "r", "double", ["__p", "n_users"])
     return out.groupBy("factor").agg(
         F.avg("r").alias("mean_r"), F.stddev_pop("r").alias("std_r"), F.min("r").alias("min_r"), F.max("r").alias("max_r"), F.count("*").alias("n_pairs")
     )

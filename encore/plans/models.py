@@ -97,7 +97,7 @@ def _(t):
 
 
 def nmf(t, **given):
-    rated = matrix(t)
+    rated = checkpointed(matrix(t))
     users, items, error = L.nmf_factors(rated, "user_idx", "item_idx", "rating", **given)
     return users, items.join(rated.select("item_idx", "item_id").distinct(), "item_idx").drop("item_idx"), error
 

@@ -20,6 +20,28 @@ def test_svd_matches_numpy(spark):
     assert np.linalg.norm(a - u @ v.T) < 1.01 * np.sqrt((s[3:] ** 2).sum()) + 1e-6
 
 
+def test_svd_of_windows_is_orthonormal_and_matches_numpy(spark, monkeypatch):
+    monkeypatch.setattr(L, "FAN_IN", 2)
+    rng = np.random.default_rng(5)
+    blocks = {w: rng.random((30, 4)) @ rng.random((4, 12 + w)) + 0.05 * rng.random((30, 12 + w)) for w in (1, 2)}
+    blocks[3] = np.outer(np.arange(1.0, 9.0), np.ones(5))  # rank one
+    cells = [(w, i, j, float(x)) for w, a in blocks.items() for (i, j), x in np.ndenumerate(a)]
+    table = spark.createDataFrame(cells, "w int, u int, i int, x double").repartition(7)
+    users, items, spectrum = L.svd_factors(table, "u", "i", "x", 3, window="w")
+    users, items, spectrum = users.toPandas(), items.toPandas(), spectrum.toPandas()
+    for w, a in blocks.items():
+        s = np.linalg.svd(a, compute_uv=False)[:3]
+        got = spectrum[spectrum.w == w].sort_values("factor")
+        assert got.singular_value.to_numpy() == pytest.approx(s, rel=1e-6, abs=1e-8)
+        u = users[users.w == w].sort_values("u")[["f0", "f1", "f2"]].to_numpy()
+        v = items[items.w == w].sort_values("i")[["f0", "f1", "f2"]].to_numpy()
+        rank = (s > 1e-8).sum()
+        assert (v.T @ v)[:rank, :rank] == pytest.approx(np.eye(rank), abs=1e-9)
+        assert u.T @ u == pytest.approx(np.diag(s**2), abs=1e-6)
+        best = np.linalg.svd(a)
+        assert u @ v.T == pytest.approx((best[0][:, :3] * best[1][:3]) @ best[2][:3], abs=1e-4)
+
+
 def test_matrix_indices_are_contiguous_and_sorted(rows):
     df = rows([(10, 7, 1.0), (10, 3, 2.0), (4, 7, 3.0), (4, 7, 4.0)], "u long, i long, v double")
     got = {(r.u, r.i): (r.user_idx, r.item_idx, r.rating) for r in L.interaction_matrix(df, "u", "i", "v", rows_per_cell=1).collect()}
