@@ -16,8 +16,8 @@ from encore.llm.toxicity import held_out
 from encore.llm.words import slices, texts
 from encore.session import ship_package
 
-#: Bins of a number, categories of a text column, and the probability from which a view teaches the other.
-BINS, CATEGORIES, SURE = 16, 64, 0.97
+#: Bins of a number, and the probability from which a view teaches the other.
+BINS, SURE = 16, 0.97
 SYMBOLS = "*&%$#@~^=_<>{}[]\\/+"
 
 
@@ -50,7 +50,7 @@ class Binned:
         self.codes = []
         for values in columns:
             if any(isinstance(v, str) for v in values):
-                self.codes.append({v: i + 1 for i, (v, _) in enumerate(sorted(Counter(v for v in values if v is not None).items(), key=lambda x: (-x[1], x[0]))[:CATEGORIES])})
+                self.codes.append({v: i + 1 for i, (v, _) in enumerate(sorted(Counter(v for v in values if v is not None).items(), key=lambda x: (-x[1], x[0])))})
             else:
                 known = np.array([v for v in values if v is not None], float)
                 self.codes.append(np.unique(np.quantile(known, np.linspace(0, 1, BINS + 1)[1:-1])) if len(known) else np.empty(0))
@@ -171,8 +171,8 @@ def score_quality(
     per class, and hands them to the other view; contradictions are dropped. On a
     fifth of the labelled plays each view is calibrated and the calibrated logits
     are combined. Then all plays are scored where they lie, without a shuffle. The
-    two bounds limit the broadcast of chosen ids and what reaches the driver, a
-    few numbers per chosen play.
+    two bounds limit what reaches the driver, a few numbers per chosen play, also
+    where an id has many rows.
 
     Null names are empty; null metadata is a category of its own. Null labels and
     ids teach nothing; of repeated labels the largest counts. Without labels of
@@ -199,9 +199,11 @@ def score_quality(
             yield pa.RecordBatch.from_arrays(columns, ["id", "y", "platform", "country", "length", *wide])
 
     kind = rows.schema["id"].dataType.simpleString()
-    chosen = rows.join(F.broadcast(taught.unionByName(pool)), "id").select("id", "y", "name", "platform", "country", "length")
+    chosen = rows.join(taught.unionByName(pool), "id").select("id", "y", "name", "platform", "country", "length")
     shape = f"id {kind}, y int, platform string, country string, length double, " + ", ".join(f"{v} double" for v in wide)
-    sample = chosen.mapInArrow(viewed, shape).toArrow().sort_by([(c, "ascending") for c in ("id", *wide)])
+    seen = chosen.mapInArrow(viewed, shape)
+    sample = seen.orderBy(F.xxhash64("id", *wide), "id").limit(max_rows + pool_rows).toArrow()  # repeated ids give more rows than ids
+    sample = sample.sort_by([(c, "ascending") for c in ("id", *wide)])
     y = np.array([np.nan if v is None else v for v in sample["y"].to_pylist()], float)
     views = [[sample[v].to_pylist() for v in wide], [sample[c].to_pylist() for c in ("platform", "country", "length")]]
     sent = spark.sparkContext.broadcast(CoTrained(views, y, rounds, grow))

@@ -16,8 +16,8 @@ from encore.llm.words import slices, texts
 from encore.session import ship_package
 
 _WORD = re.compile(r"\w+")
-#: Bits of the hash space, terms that the machine takes, factors per term, least |z| of a term.
-BITS, TERMS, FACTORS, LEAST_Z = 22, 1024, 4, 3.0
+#: Bits of the hash space, terms of the first stage and their least |z|, factors per term and stage, rows a term of the second stage is in at least.
+BITS, TERMS, LEAST_Z, FACTORS, LEAST_ROWS = 22, 1024, 3.0, 4, 3
 #: Words without a term that a worker remembers.
 MEMORY = 500_000
 
@@ -58,12 +58,18 @@ class Machine:
                 self.dull.add(word)
         return sorted(found)
 
+    def logit(self, row: np.ndarray) -> float:
+        """Log-odds of a name given as its sorted distinct buckets."""
+        return self.sum_of(np.searchsorted(self.terms, np.intersect1d(row, self.terms, assume_unique=True)))
+
+    def sum_of(self, held: list[int] | np.ndarray) -> float:
+        v = self.factors[held]
+        return float(self.bias + self.weights[held].sum() + 0.5 * ((v.sum(0) ** 2) - (v**2).sum(0)).sum())
+
     def score(self, names: list[str]) -> list[float]:
         out = []
         for name in names:
-            held = self.known(name)
-            v = self.factors[held]
-            z = self.bias + self.weights[held].sum() + 0.5 * ((v.sum(0) ** 2) - (v**2).sum(0)).sum()
+            z = self.sum_of(self.known(name))
             out.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
         return out
 
@@ -84,7 +90,59 @@ def chosen_terms(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray
     return np.sort(held[order[strong[order] > 0]]).astype(np.int64)
 
 
-def fit_machine(rows: list[np.ndarray], y: np.ndarray, size: int = TERMS, factors: int = FACTORS, epochs: int = 20, rate: float = 0.02, decay: float = 0.01, batch: int = 128) -> Machine:
+def fit_machine(rows: list[np.ndarray], y: np.ndarray, size: int = TERMS, factors: int = FACTORS) -> Machine:
+    """Two stages: the terms whose share differs most between the classes, then every term of ``LEAST_ROWS`` rows or more.
+
+    The second stage learns what the first leaves unexplained, so words that say nothing
+    alone but something together get their pair; shrinkage keeps the rest at 0.
+    A term has the factors of both stages side by side, so scores add up.
+    """
+    base = fit_strong(rows, y, size, factors)
+    if not 0 < y.sum() < len(y):
+        return base
+    rest = fit_rest(rows, y, np.array([base.logit(r) for r in rows], np.float32), factors)
+    weights, both = rest.weights.copy(), np.zeros((len(rest.terms), 2 * factors), np.float32)
+    at = np.searchsorted(rest.terms, base.terms)
+    weights[at] += base.weights
+    both[at, :factors], both[:, factors:] = base.factors, rest.factors
+    keep = (weights != 0) | both.any(axis=1)
+    return Machine(rest.terms[keep], base.bias + rest.bias, weights[keep], both[keep])
+
+
+def fit_rest(rows: list[np.ndarray], y: np.ndarray, offset: np.ndarray, factors: int, epochs: int = 12, rate: float = 0.05, shrink: float = 2e-3, batch: int = 256) -> Machine:
+    """Logistic loss beyond ``offset`` by sparse adaptive steps; weights and rows of factors shrink towards 0."""
+    held, counts = np.unique(np.concatenate(rows), return_counts=True)
+    terms = held[counts >= LEAST_ROWS].astype(np.int64)
+    known = [np.searchsorted(terms, np.intersect1d(r, terms, assume_unique=True)) for r in rows]
+    rng = np.random.default_rng(0)
+    w, v, b = np.zeros(len(terms), np.float32), rng.normal(0, 0.02, (len(terms), factors)).astype(np.float32), 0.0
+    seen_w, seen_v, seen_b = np.full(len(terms), 1e-3, np.float32), np.full(len(terms), 1e-3, np.float32), 1e-3
+    for _ in range(epochs):
+        order = rng.permutation(len(y))
+        for start in range(0, len(order), batch):
+            part = order[start : start + batch]
+            sizes = np.array([len(known[i]) for i in part])
+            at, row = np.concatenate([known[i] for i in part]), np.repeat(np.arange(len(part)), sizes)
+            used, place = np.unique(at, return_inverse=True)
+            total = lambda values: np.bincount(row, values, len(part))
+            sums = np.stack([total(v[at, f]) for f in range(factors)], axis=1)
+            z = offset[part] + b + total(w[at]) + 0.5 * ((sums**2).sum(axis=1) - total((v[at] ** 2).sum(axis=1)))
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
+            dw = np.bincount(place, error[row], len(used))
+            dv = np.stack([np.bincount(place, error[row] * sums[row, f], len(used)) for f in range(factors)], axis=1) - v[used] * dw[:, None]
+            seen_w[used] += dw**2
+            seen_v[used] += (dv**2).mean(axis=1)
+            seen_b += error.sum() ** 2
+            step, turn = rate / np.sqrt(seen_w[used]), (rate / np.sqrt(seen_v[used]))[:, None]
+            moved = w[used] - step * dw
+            w[used] = np.sign(moved) * np.maximum(np.abs(moved) - step * shrink, 0)
+            moved = v[used] - turn * dv
+            v[used] = moved * np.maximum(1 - turn * shrink / np.maximum(np.sqrt((moved**2).sum(axis=1, keepdims=True)), 1e-9), 0)
+            b -= rate / np.sqrt(seen_b) * error.sum()
+    return Machine(terms, float(b), w, v)
+
+
+def fit_strong(rows: list[np.ndarray], y: np.ndarray, size: int, factors: int, epochs: int = 20, rate: float = 0.02, decay: float = 0.01, batch: int = 128) -> Machine:
     """Logistic loss by Adam with decoupled decay over the chosen terms; the pair term is learned with the linear one."""
     terms = chosen_terms(rows, y, size)
     prior = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.5))
@@ -142,9 +200,11 @@ def with_score(
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = [buckets(t) for t in texts(part.column(1))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], ["y", "terms"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32())), part.column(2)], ["y", "terms", "mixed"])
 
-    sample = rows.join(F.broadcast(taught), "id").select("y", "name").mapInArrow(hashed, "y int, terms array<int>").toArrow()
+    named = rows.join(taught, "id").select("y", "name", F.xxhash64("id", "name").alias("mixed"))
+    drawn = named.mapInArrow(hashed, "y int, terms array<int>, mixed long")
+    sample = drawn.orderBy("mixed", "y").limit(max_rows).toArrow()  # repeated ids give more rows than ids
     lists = sample["terms"].combine_chunks()
     known = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1]) if len(lists) else []
     order = sorted(range(len(known)), key=lambda i: (zlib.crc32(known[i].tobytes()), len(known[i])))
@@ -167,10 +227,10 @@ def score_explicit(
     """Score every whole track name for toxicity as ``labels.explicit`` (0 or 1) marks it.
 
     The machine is fitted on at most ``max_rows`` labelled names, chosen by a hash
-    of the id among those that are not held out; this bounds the broadcast of the
-    chosen ids and what reaches the driver (hash buckets only). It takes the terms
-    whose share differs most between the classes, and learns a weight per term
-    and, through their factors, one per pair of terms. All names are then scored
+    of the id among those that are not held out; this bounds what reaches the driver
+    (hash buckets only), also where an id has many rows. It learns a weight per term
+    and, through their factors, one per pair of terms: first of the terms whose
+    share differs most between the classes, then of all others. All names are scored
     where they lie, without a shuffle; id, language and source are no inputs.
 
     Null names are empty and get the score of no terms. Null labels and null ids

@@ -5,7 +5,8 @@ import zlib
 
 import numpy as np
 
-from encore.llm.toxicity import buckets, fit_machine, score_explicit
+from encore.llm import toxicity
+from encore.llm.toxicity import Machine, buckets, fit_machine, score_explicit
 
 SCHEMA = "track_id long, track_name string, score string, y string"
 LABELS = "track_id long, explicit int, name string"
@@ -27,6 +28,37 @@ def test_pairs_that_no_weight_explains():
     assert 0.5 * ((v.sum(0) ** 2) - (v**2).sum(0)).sum() > 0
 
 
+def test_words_that_say_nothing_alone():
+    """Toxic where two words are both there or both missing: no weight and no share of a single word tells."""
+    rng = random.Random(3)
+    names, y = [], []
+    for _ in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        names.append(" ".join(rng.sample(WORDS, 5) + ["insult"] * a + ["groupname"] * b))
+        y.append(float(a == b))
+    scores = fit_machine([buckets(n) for n in names[:3000]], np.array(y[:3000])).score(names[3000:])
+    assert np.mean([(s >= 0.5) == (t == 1) for s, t in zip(scores, y[3000:])]) > 0.95
+
+
+def test_score_is_the_sum_over_all_pairs():
+    rng = np.random.default_rng(0)
+    names = [" ".join(rng.choice(WORDS, 6)) for _ in range(30)]
+    terms = np.unique(np.concatenate([buckets(n) for n in names]))
+    machine = Machine(terms, 0.3, rng.normal(size=len(terms)), rng.normal(size=(len(terms), 3)))
+    for name, score in zip(names, machine.score(names)):
+        at = np.searchsorted(terms, buckets(name)).tolist()
+        z = 0.3 + sum(machine.weights[i] for i in at) + sum(machine.factors[i] @ machine.factors[j] for i in at for j in at if i < j)
+        assert abs(score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
+def test_rows_that_reach_the_driver_are_bounded(spark, rows, monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity, "fit_machine", lambda known, y: taken.append(len(known)) or fit_machine(known, y))
+    data = [(1 if i % 3 == 0 else i + 2, f"name {i}", "", "") for i in range(900)]
+    assert score_explicit(rows(data, SCHEMA), rows([(1, 1, ""), (3, 0, ""), (4, 1, ""), (6, 0, "")], LABELS), max_rows=7).count() == 900
+    assert taken == [7]
+
+
 def test_held_out_accuracy_and_columns(spark, rows):
     rng = random.Random(2)
     data = [(i, " ".join(rng.choices(WORDS, k=20) + ["Vilename!"] * (i % 4 == 0) * 2), "x", "1") for i in range(1200)]
