@@ -15,7 +15,8 @@ CHECKED = [
     "f3_activity_by_dimension", "f35_artist_discovery", "g1_sessionize", "g2_derive_users", "g7_rolling_mean_last_n", "g9_rolling_distinct_entities",
     "g15_class_transitions_after_run", "g24_exposure_windows", "h2_top_k_scores", "i3_overlap_report", "j1_change_points",
     "j3_merge_change_points_chain", "j10_seasonal_decompose", "k1_bridge_candidates", "l4_interaction_matrix", "l18_mood_features",
-    "m5_recommend", "m9_contextual_recommend", "n1_expanding_splits", "n9_ndcg_at_k", "o2_wilcoxon_signed_rank", "o5_mann_whitney_u", "o12_davies_bouldin",
+    "j16_major_shifts", "l16_session_features", "l10_measured_personalities", "m4_user_profile", "m5_recommend", "m7_context_score", "m9_contextual_recommend",
+    "m11_ensemble_recommend", "m12_system_insights", "n17_compare_runs", "o13_permutation_baseline", "o16_bootstrap_ci_median", "n1_expanding_splits", "n9_ndcg_at_k", "o2_wilcoxon_signed_rank", "o5_mann_whitney_u", "o12_davies_bouldin",
 ]
 
 
