@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,7 +115,8 @@ PLAYLIST_SCHEMA = T.StructType(
 
 
 def file_stem() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))  # names come percent-encoded
+    return F.regexp_extract(name, r"^(.+?)(?:\.[^.]*)?$", 1)
 
 
 def read_playlists_csv(
@@ -122,22 +124,30 @@ def read_playlists_csv(
 ) -> DataFrame:
     """Union of the CSV files of a folder with ``playlist_name`` from the file name and a coerced ``Added At``.
 
-    Files of one layout are one scan. With ``mixed_headers`` each file is read by
-    its own header and the files are joined by column name (for a few files).
+    Files of one layout are one scan. With ``mixed_headers`` one pass over the first
+    lines groups the files by header, each header is one scan, and the scans are
+    joined by column name (all text).
     """
     label = file_stem() if name is None else name
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true")
     reader = reader.option("ignoreCorruptFiles", "true").option("multiLine", True).option("escape", '"')
     paths = [folder]
-    if max_files is not None or mixed_headers:
+    if max_files is not None:
         listed = matching_files(spark, folder, "*.csv").select("path").orderBy("path")
-        paths = [r["path"] for r in (listed.limit(max_files) if max_files else listed).collect()]  # file names only
+        paths = [r["path"] for r in listed.limit(max_files).collect()]  # file names only
     if mixed_headers:
+        lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(paths)
+        lines = lines.where(F.col("_metadata.file_block_start") == 0)
+        lines = lines.select(F.col("_metadata.file_path").alias("path"), F.rtrim("value").alias("header"), F.monotonically_increasing_id().alias("n"))
+        first = lines.groupBy("path").agg(F.min_by("header", "n").alias("header"))
+        layouts = first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header").collect()  # file names only
         out = None
-        for p in paths:
-            one = reader.csv(p)
+        for layout in layouts:
+            one = reader.csv([unquote(p) for p in layout["paths"]])
             one = one.select("*", label.alias("playlist_name"))
             out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+        if out is None:
+            raise FileNotFoundError(f"no csv file with a header in {folder}")
     else:
         out = reader.schema(schema or PLAYLIST_SCHEMA).csv(paths)
         out = out.select("*", label.alias("playlist_name"))

@@ -30,6 +30,23 @@ def test_playlists_with_different_headers(spark, tmp_path):
     assert R.read_playlists_csv(spark, str(tmp_path), mixed_headers=True, max_files=1).count() == 1
 
 
+def test_many_files_of_three_headers_are_three_scans(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+
+    headers = ["Track Name,Energy", "Track Name,Added At", "Genres,Track Name"]
+    for i in range(200):
+        (tmp_path / f"list {i:03d}.csv").write_text(f'{headers[i % 3]}\nx{i},"two\nlines"\ny{i},0.5\n')
+    (tmp_path / "empty.csv").write_text("")
+    scans, read = [], DataFrameReader.csv
+    monkeypatch.setattr(DataFrameReader, "csv", lambda self, *a, **k: scans.append(a) or read(self, *a, **k))
+    out = R.read_playlists_csv(spark, str(tmp_path), mixed_headers=True)
+    assert len(scans) == 3 and sorted(len(a[0]) for a in scans) == [66, 67, 67]
+    got = out.collect()
+    assert len(got) == 400 and set(out.columns) == {"Track Name", "Energy", "Added At", "Genres", "playlist_name"}
+    mine = {r["playlist_name"]: r for r in got if r["Energy"] == "0.5"}
+    assert len(mine) == 67 and mine["list 003"]["Track Name"] == "y3" and mine["list 003"]["Genres"] is None
+
+
 def test_declared_and_undeclared_map_keys(rows):
     df = rows([(1, {"a": 1.0}), (2, {"b": 2.0})], "id int, m map<string,double>")
     out = R.spread_map(df, "m", ["a", "b"]).orderBy("id").collect()
