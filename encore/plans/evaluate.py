@@ -8,7 +8,7 @@ from encore.operators import evaluate as V
 from encore.operators import recommend as M
 from encore.operators.ranking import top_k_per_group
 from encore.plans.base import hash_sql, query, sql
-from encore.plans.recommend import FEATURES, IDS, scored_bridges, wide
+from encore.plans.recommend import BRIDGE, FEATURES, IDS, LOOKUP, WIDE, scored_bridges, wide
 from encore.plans.timeseries import rounded
 from encore.session import checkpointed
 
@@ -286,7 +286,56 @@ def split_metrics(t):
 METRICS = ["precision", "recall", "ndcg", "diversity", "cultural_diversity", "temporal_consistency", "novelty", "serendipity", "coverage"]
 
 
-@query("n16_evaluate_splits")
+LIST = "(PARTITION BY split_id, user_id ORDER BY round(score, 9) DESC, track_id)"
+SHAPE = ["energy", "valence", "danceability"]
+WHOLE = {
+    "ws": WIDE,
+    "lk": LOOKUP,
+    "br": BRIDGE,
+    "sp": f"SELECT split_id, cut FROM ({SPLITS}) ORDER BY split_id DESC LIMIT 3",
+    "rr": """SELECT split_id, user_id, item_id AS track_id, CASE WHEN CAST(ts AS DATE) < cut THEN 'train' ELSE 'test' END AS split, count(*) AS n
+        FROM baskets JOIN sp ON CAST(ts AS DATE) < cut + 180 GROUP BY ALL""",
+    "pf": "SELECT split_id, user_id, " + ", ".join(f"w_{i} / ({' + '.join(f'w_{j}' for j in IDS)}) AS w_{i}" for i in IDS) + " FROM (SELECT split_id, user_id, "
+    + ", ".join(f"sum(n * s_{i}) / sum(n) AS w_{i}" for i in IDS) + " FROM rr JOIN ws USING (track_id) WHERE split = 'train' GROUP BY 1, 2)",
+    "us": f"""SELECT split_id, user_id, ws.track_id, 0.6 * ({' + '.join(f'w_{i} * s_{i}' for i in IDS)}) + 0.2 * bridge_score + 0.16 AS score FROM pf JOIN ws ON NOT EXISTS (
+        SELECT 1 FROM rr WHERE rr.split = 'train' AND rr.split_id = pf.split_id AND rr.user_id = pf.user_id AND rr.track_id = ws.track_id) JOIN br USING (track_id)""",
+    "recs": f"SELECT r.*, {', '.join(SHAPE)}, culture, artist_name FROM (SELECT *, row_number() OVER {LIST} AS rank FROM us QUALIFY rank <= 50) r JOIN tracks USING (track_id)",
+    "tst": "SELECT * FROM rr WHERE split = 'test'",
+    "hits": "SELECT r.split_id, r.user_id, rank, CAST(t.track_id IS NOT NULL AS INTEGER) AS hit FROM recs r LEFT JOIN tst t USING (split_id, user_id, track_id) WHERE rank <= 10",
+    "pr": """SELECT split_id, user_id, sum(hit) / 10 AS precision, coalesce(sum(hit) / any_value(c), 0) AS recall, coalesce(sum(hit / log2(rank + 1))
+        / list_sum([1 / log2(i + 1) FOR i IN range(1, CAST(sum(hit) AS BIGINT) + 1)]), 0) AS ndcg
+        FROM hits LEFT JOIN (SELECT split_id, user_id, count(*) AS c FROM tst GROUP BY 1, 2) USING (split_id, user_id) GROUP BY 1, 2""",
+    "dv": f"""SELECT a.split_id, a.user_id, coalesce(avg(CASE WHEN b.rank IS NOT NULL THEN sqrt({' + '.join(f'(a.{c} - b.{c}) ** 2' for c in SHAPE)}) END), 0) AS diversity
+        FROM recs a LEFT JOIN recs b ON a.split_id = b.split_id AND a.user_id = b.user_id AND a.rank < b.rank GROUP BY 1, 2""",
+    "en": """SELECT split_id, user_id, CASE WHEN count(*) > 1 THEN -sum(p * log2(p + 1e-10)) / log2(count(*)) ELSE 0 END AS cultural_diversity FROM (
+        SELECT split_id, user_id, count(*) / sum(count(*)) OVER (PARTITION BY split_id, user_id) AS p FROM recs GROUP BY split_id, user_id, culture) GROUP BY 1, 2""",
+    "tc": f"""SELECT split_id, user_id, ({' + '.join(f'1 - abs(a.{c} - b.{c})' for c in SHAPE)}) / 3 AS temporal_consistency FROM
+        (SELECT split_id, user_id, {', '.join(f'avg({c}) AS {c}' for c in SHAPE)} FROM recs GROUP BY 1, 2) a JOIN
+        (SELECT split_id, user_id, {', '.join(f'avg({c}) AS {c}' for c in SHAPE)} FROM tst JOIN tracks USING (track_id) GROUP BY 1, 2) b USING (split_id, user_id)""",
+    "nv": """SELECT split_id, user_id, avg(1 - coalesce(c, 0) / (SELECT count(*) FROM plays)) AS novelty FROM recs LEFT JOIN (SELECT track_id, count(*) AS c FROM plays GROUP BY 1)
+        USING (track_id) GROUP BY 1, 2""",
+    "se": """SELECT r.split_id, r.user_id, avg(CASE WHEN h.artist_name IS NOT NULL THEN 0.0 WHEN t.track_id IS NOT NULL THEN 1.0 ELSE 0.5 END) AS serendipity FROM recs r
+        LEFT JOIN (SELECT DISTINCT split_id, user_id, artist_name FROM rr JOIN tracks USING (track_id) WHERE split = 'train') h USING (split_id, user_id, artist_name)
+        LEFT JOIN tst t USING (split_id, user_id, track_id) GROUP BY 1, 2""",
+    "cv": "SELECT split_id, count(DISTINCT track_id) / (SELECT count(DISTINCT track_id) FROM tracks) AS coverage FROM recs GROUP BY 1",
+    "every": "SELECT * FROM pr JOIN dv USING (split_id, user_id) JOIN en USING (split_id, user_id) JOIN tc USING (split_id, user_id) JOIN nv USING (split_id, user_id)"
+    " JOIN se USING (split_id, user_id) JOIN cv USING (split_id)",
+    "long": " UNION ALL ".join(f"SELECT split_id, '{m}' AS metric, avg({m}) AS x FROM every GROUP BY 1" for m in METRICS),
+}
+
+
+@query(
+    "n16_evaluate_splits",
+    sql(
+        """SELECT metric, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max, count(x) AS n_splits,
+        CASE WHEN avg(x) > 0.7 THEN 'high' WHEN avg(x) > 0.4 THEN 'medium' ELSE 'low' END AS level FROM long GROUP BY 1""",
+        "history",
+        "baskets",
+        "tracks",
+        "plays",
+        **WHOLE,
+    ),
+)
 def _(t):
     return rounded(V.summarise(split_metrics(t), "split_id", METRICS), "mean", "std", "min", "max")
 
