@@ -33,15 +33,17 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SIDE_ELEMENTS = frozenset("nav aside form menu dialog fieldset footer".split())
 SIDE_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar topnav sidenav navigation menu submenu breadcrumb
-    breadcrumbs crumbs pagination pager sidebar sidebars rail aside comment comments reply replies respond disqus discussion feedback cookie cookies consent gdpr privacy
+    breadcrumbs crumbs pagination pager sidebar sidebars rail aside comment comments reply replies respond disqus cookie cookies consent gdpr privacy
     notice notices notification alert disclaimer newsletter subscribe subscription signup login share sharing social related recommended recommendations popup modal
-    overlay widget widgets toolbar search form complementary footer copyright legal contentinfo""".split()
+    overlay widget widgets toolbar form complementary footer copyright contentinfo""".split()
 )
+# Words that name parts of a frame as well as topics of a text.
+TOPIC_WORDS = frozenset("search legal feedback discussion".split())
 HEAD_WORDS = frozenset("header masthead banner topbar".split())
 MAIN_WORDS = frozenset("article articlebody post entry story main".split())
 WITH_WORDS = frozenset("with has no without".split())
 
-SIDE, OPEN, MAIN = -1, 0, 1
+DOUBTFUL, SIDE, OPEN, MAIN = -2, -1, 0, 1
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH, LINK_HIGH = 0.15, 0.30, 0.2
 #: Below this share of stop words over all undecided text, the language is taken as unknown and stop words decide nothing.
@@ -89,7 +91,8 @@ def holder_label(name: str, attributes: str, outer: int) -> int:
 
     Each name in class, id or role is looked at by its words, so ``post-comments`` is
     beside the text and ``has-sidebar`` says nothing. A header belongs to the text
-    only inside it.
+    only inside it or where it says so. Words that are topics as well (``search-tips``)
+    make a holder doubtful, but an ``article``.
     """
     if name in SIDE_ELEMENTS:
         return SIDE
@@ -104,11 +107,13 @@ def holder_label(name: str, attributes: str, outer: int) -> int:
                     continue
                 if words & SIDE_WORDS and not (words & HEAD_WORDS and outer == MAIN) and name != "main":
                     return SIDE
-                if words & HEAD_WORDS and outer != MAIN and not main:
+                if words & HEAD_WORDS and outer != MAIN and not main and not words & (MAIN_WORDS | {"content"}):
                     return SIDE
+                if words & TOPIC_WORDS and not main:
+                    return SIDE if outer == SIDE else DOUBTFUL
                 main = main or bool(words & MAIN_WORDS)
     if main:
-        return outer if outer == SIDE and name not in ("article", "main") else MAIN
+        return outer if outer < OPEN and name not in ("article", "main") else MAIN
     return SIDE if name == "header" and outer != MAIN else outer
 
 
@@ -184,7 +189,7 @@ def decided(blocks: list[Block]) -> list[int]:
         if b.label == SIDE:
             labels.append(SIDE)
             continue
-        if b.linked > LINK_HIGH * len(b.text) and (b.label == OPEN or b.linked > 0.9 * len(b.text) and len(b.text) < SHORT):
+        if b.linked > LINK_HIGH * len(b.text) and (b.label in (OPEN, DOUBTFUL) or b.linked > 0.9 * len(b.text) and len(b.text) < SHORT):
             labels.append(OPEN if b.label == MAIN else SIDE)
             continue
         if b.label == MAIN:
@@ -192,6 +197,9 @@ def decided(blocks: list[Block]) -> list[int]:
             continue
         own = [w.lower() for w in _WORD.findall(b.text)]
         density = sum(w in STOP_WORDS for w in own) / max(1, len(own))
+        if b.label == DOUBTFUL:
+            labels.append(MAIN if len(b.text) >= LONG and density >= STOP_HIGH else SIDE)
+            continue
         if len(b.text) < SHORT or b.heading:
             labels.append(SIDE if b.linked else OPEN)
         elif not known:
@@ -246,7 +254,7 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     The whole page is cut into blocks at block-level tags. First pass: holders
     such as ``nav`` or ``class="ad"`` and ``article`` decide their blocks; other
     blocks are decided by their length, density of stop words and density of
-    links. Second pass: short blocks inherit the label of their nearest decided
+    links; in a holder named after a topic (``search-tips``) only long prose stays. Second pass: short blocks inherit the label of their nearest decided
     neighbours. Character references are decoded, white space inside a block
     becomes one space, and blocks are joined by two line feeds. Nothing is cut.
 

@@ -34,6 +34,17 @@ def test_holders_by_name():
     assert main_text(f'<main>x<div hidden>{LONG}</div><div style="display: none">{LONG}</div></main>') == "x"
 
 
+def test_names_that_are_topics_as_well():
+    clean = " ".join(LONG.split())
+    assert main_text(f'<article class="legal-news"><p>{LONG}</p><p>Short.</p></article>') == f"{clean}\n\nShort."
+    assert main_text(f'<article><h2>Search</h2><div class="search-tips"><p>{LONG}</p></div></article>') == f"Search\n\n{clean}"
+    assert main_text(f'<article>a<div class="feedback-analysis">{LONG}</div>b</article>') == f"a\n\n{clean}\n\nb"
+    assert main_text(f'<div class="content-header"><h1>T</h1></div><p>{LONG}</p>') == f"T\n\n{clean}"
+    frame = f'<div class="search">Find a song</div><div class="legal"><a href="/l">{LONG}</a></div>'
+    assert main_text(f"<article>{frame}<p>{LONG}</p>{frame}</article>") == clean
+    assert main_text(f'<nav><div class="search-tips">{LONG}</div></nav><main>x</main>') == "x"
+
+
 def test_odd_markup():
     assert main_text("") == ""
     assert main_text("<article>a<p>b</article><p>") == "a\n\nb"
