@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from encore.llm.html_text import STOP_WORDS
-from encore.llm.toxicity import held_out
+from encore.llm.toxicity import held_out, sized
 from encore.llm.words import slices, texts
 from encore.session import ship_package
 
@@ -199,7 +199,7 @@ def score_quality(
             yield pa.RecordBatch.from_arrays(columns, ["id", "y", "platform", "country", "length", *wide])
 
     kind = rows.schema["id"].dataType.simpleString()
-    chosen = rows.join(taught.unionByName(pool), "id").select("id", "y", "name", "platform", "country", "length")
+    chosen = rows.join(sized(taught.unionByName(pool), max_rows + pool_rows), "id").select("id", "y", "name", "platform", "country", "length")
     shape = f"id {kind}, y int, platform string, country string, length double, " + ", ".join(f"{v} double" for v in wide)
     seen = chosen.mapInArrow(viewed, shape)
     sample = seen.orderBy(F.xxhash64("id", *wide), "id").limit(max_rows + pool_rows).toArrow()  # repeated ids give more rows than ids

@@ -178,6 +178,15 @@ def held_out(track_id):
     return F.coalesce(F.crc32(track_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+#: Ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 100_000
+
+
+def sized(ids: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` ids, broadcast if they are few, so that no text is shuffled for a sample."""
+    return F.broadcast(ids) if most <= BROADCAST_IDS else ids
+
+
 def with_score(
     tracks: DataFrame,
     labels: DataFrame,
@@ -202,7 +211,7 @@ def with_score(
             found = [buckets(t) for t in texts(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32())), part.column(2)], ["y", "terms", "mixed"])
 
-    named = rows.join(taught, "id").select("y", "name", F.xxhash64("id", "name").alias("mixed"))
+    named = rows.join(sized(taught, max_rows), "id").select("y", "name", F.xxhash64("id", "name").alias("mixed"))
     drawn = named.mapInArrow(hashed, "y int, terms array<int>, mixed long")
     sample = drawn.orderBy("mixed", "y").limit(max_rows).toArrow()  # repeated ids give more rows than ids
     lists = sample["terms"].combine_chunks()
